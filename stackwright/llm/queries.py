@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import media
+from . import media, secret_scan
 
 QUERIES = {
+    "op1_secret_ownership": secret_scan.op1_secret_ownership,
     "op10_media_tar": media.op10_media_tar,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_ownership": secret_scan.ORACLE,
+}
