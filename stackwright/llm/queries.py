@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import media, pii, secret_scan
+from . import media, pieces, pii, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
+    "op3_pieces": pieces.op3_pieces,
     "op8_pii": pii.op8_pii,
     "op10_media_tar": media.op10_media_tar,
 }
