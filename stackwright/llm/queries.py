@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import media, pieces, pii, secret_scan
+from . import jaccard_join, media, pieces, pii, secret_scan
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
     "op3_pieces": pieces.op3_pieces,
     "op8_pii": pii.op8_pii,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_media_tar": media.op10_media_tar,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_ownership": secret_scan.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
 }
