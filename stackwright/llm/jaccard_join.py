@@ -101,18 +101,16 @@ class Plan:
     def allocate(h: int, size: float, rows: int) -> tuple[int, int]:
         """Segments and how many of them take neighbourhoods, at the least expected cost.
 
-        Costs are index rows a set, and the sets that agree by chance: a share of 1/4 for each element.
+        Costs are index rows a set, and the sets that agree by chance: a share of 1/8 for each element.
         """
         best = (math.inf, 0, 0)
-        for doubles in range((h + 1) // 2 + 1):
+        for doubles in {0, *range(max(1, h + 1 - 64), (h + 1) // 2 + 1)}:  # over 64 segments, none is large
             singles = h + 1 - 2 * doubles
-            if doubles and doubles + singles > 64:
-                continue
-            t = size / (doubles + singles)
-            chance = singles * 0.25**t + doubles * (t + 1) * 0.25 ** (t - 1)
-            best = min(best, (singles + doubles * (1 + t) + rows * chance, doubles + singles, doubles))
-        spare = 0 if best[2] else max(2, (h + 1) // 4)
-        return best[1] + spare, best[2]
+            segments = doubles + singles + (0 if doubles else max(2, (h + 1) // 4))
+            t = size / segments
+            chance = singles * 0.125**t + doubles * (t + 1) * 0.125 ** (t - 1)
+            best = min(best, (singles + doubles * (1 + t) + rows * chance, segments, doubles))
+        return best[1], best[2]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """The index rows of a set."""
