@@ -234,7 +234,8 @@ def _verified(docs: DataFrame, blocks: DataFrame, words: int, num: int, den: int
         return pa.table({"a": nodes[other], "b": nodes[root[other]]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).filter("node is not null")
-    joined = blocks.join(texts, "node").select("cluster", "pair", "node", "side", "text")
+    # Always a sort-merge join: the plan, and with it the disk it needs, is then the same at every size.
+    joined = blocks.hint("merge").join(texts.hint("merge"), "node").select("cluster", "pair", "node", "side", "text")
     return joined.groupBy("cluster", "pair").applyInArrow(run, "a long, b long")
 
 
