@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, media, pieces, pii, secret_scan, token_files, toxicity
+from . import decontaminate, jaccard_join, lm_score, media, pieces, pii, secret_scan, token_files, toxicity
 
 QUERIES = {
     "op1_secret_ownership": secret_scan.op1_secret_ownership,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_pieces": pieces.op3_pieces,
     "op5_rans_tokens": token_files.op5_rans_tokens,
+    "op6_stupid_backoff": lm_score.op6_stupid_backoff,
     "op7_latent_decontamination": decontaminate.op7_latent_decontamination,
     "op8_pii": pii.op8_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
@@ -17,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_ownership": secret_scan.ORACLE,
+    "op6_stupid_backoff": lm_score.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
 }
