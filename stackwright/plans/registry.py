@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from . import catalog, reports
+
+FLAGSHIP = "match_best"
 
 
 def queries() -> dict:
-    return {}
+    return {**catalog.QUERIES, **reports.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**catalog.SQL, **reports.SQL}
