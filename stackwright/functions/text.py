@@ -158,7 +158,7 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
                     break
         if not hits:
             return 0.0
-        moved = sum(x != y for x, y in zip(hits, (c for c, u in zip(t, used) if u))) / 2
+        moved = sum(x != y for x, y in zip(hits, (c for c, u in zip(t, used) if u))) // 2
         m = len(hits)
         jaro = (m / len(s) + m / len(t) + (m - moved) / m) / 3
         if jaro <= 0.7:

@@ -36,7 +36,7 @@ def rank_correlation(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.spearman(_users(spark, d), "n", "v", "user_id")
 
 
-@query(_USERS + ", a AS (SELECT user_id FROM u ORDER BY n DESC, user_id LIMIT 20), b AS (SELECT user_id FROM u ORDER BY v DESC, user_id LIMIT 20) SELECT count(*)::BIGINT AS both, (SELECT count(*) FROM b)::BIGINT AS size, round(count(*) / 20.0, 6) AS overlap FROM a JOIN b USING (user_id)")
+@query(_USERS + ", a AS (SELECT user_id FROM u ORDER BY n DESC, user_id LIMIT 20), b AS (SELECT user_id FROM u ORDER BY v DESC, user_id LIMIT 20) SELECT count(*)::BIGINT AS both, (SELECT count(*) FROM b)::BIGINT AS size, round(count(*) / (SELECT count(*) FROM b)::DOUBLE, 6) AS overlap FROM a JOIN b USING (user_id)")
 def top_overlap(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.top_overlap(_users(spark, d), "n", "v", "user_id", 20)
 
