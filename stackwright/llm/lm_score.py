@@ -13,7 +13,9 @@ The joins go by hash of the n-gram, with rows packed: a batch of documents sends
 n-grams once, with its count there, to the n-gram's bucket; the bucket's count table adds the batches up and
 sends the totals back, in the order asked for; the batch's documents are then scored and summed.  A word or
 pair that is everywhere is one entry a batch, so no bucket is hot; the number of buckets grows with the
-words of the corpus.  Batches are written to the shared folder first and cut the lineage.
+words of the corpus.  Batches are written to files in the shared folder first, named only by the rows of the
+attempt that wrote them, and read back by range: only n-grams and totals are shuffled, packed to six bytes
+a hash (the top two are a table of counts, as hashes go in order).
 
 Defined results
 ---------------
@@ -24,22 +26,24 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import opened, scratch, stored, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BACKOFF = 0.4
 BATCH_CHARS = 6_000_000
 BUCKET_WORDS = 2_000_000
 U = np.uint64
-BATCH = "batch long, words long, doc_ids binary, sizes binary, distinct binary, places binary"
+BATCH = "batch string, words long, file string, at long, parts array<long>"
 RESULT = "doc_id long, n_words long, log_score double, mean_log double"
 NULL = -(1 << 63)
 
@@ -58,45 +62,78 @@ class Hashes(dict):
         return v
 
 
-def _batches(docs: DataFrame) -> DataFrame:
-    """Rows of packed documents: ids, sizes, distinct word hashes and each word's place among them."""
+def _batches(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes packed documents below ``folder``; a row a batch, with its file, place and the parts' lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
+        known, press = Hashes(), zstandard.ZstdCompressor(level=3)
+        fs, base = opened(folder)
+        fs.create_dir(base, recursive=True)
+        name, out, at = uuid.uuid4().hex, None, 0
 
         def packed(ids: list, texts: list) -> pa.RecordBatch:
+            nonlocal out, at
+            if out is None:
+                out = fs.open_output_stream(f"{base}/{name}")
             words = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in ((t or "").encode().translate(LOWER).split() for t in texts)]
             sizes = np.array([len(w) for w in words], np.uint32)
             distinct, places = np.unique(np.concatenate(words), return_inverse=True)
             ids = np.array([NULL if i is None else i for i in ids], np.int64)
-            # The batch's name need only differ from others': it is drawn at random, once, before it is stored.
-            name = int(np.frombuffer(np.random.default_rng().bytes(8), np.int64)[0])
-            blobs = [ids.tobytes(), sizes.tobytes(), distinct.tobytes(), places.astype(np.uint32).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([int(sizes.sum())]), *(pa.array([b], pa.binary()) for b in blobs)], [c.split()[0] for c in BATCH.split(", ")])
-
-        ids, texts, chars = [], [], 0
+            blobs = [press.compress(x.tobytes()) for x in (ids, sizes, distinct, places.astype(np.uint32))]
+            row = pa.RecordBatch.from_arrays([pa.array([f"{name}-{at}"]), pa.array([int(sizes.sum())]), pa.array([name]), pa.array([at]), pa.array([[len(b) for b in blobs]], pa.list_(pa.int64()))], ["batch", "words", "file", "at", "parts"])
+            for b in blobs:
+                out.write(b)
+                at += len(b)
+            return row
+
+        ids, texts, chars, rows = [], [], 0, []
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t)
                 chars += len(t or "")
                 if chars >= BATCH_CHARS or len(ids) >= 50_000:
-                    yield packed(ids, texts)
+                    rows.append(packed(ids, texts))
                     ids, texts, chars = [], [], 0
         if ids:
-            yield packed(ids, texts)
+            rows.append(packed(ids, texts))
+        if out is not None:
+            out.close()
+        yield from rows
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BATCH)
 
 
+def pack(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted hashes as counts by their top 16 bits (from the first to the last in use) and the low 48."""
+    if not len(keys):
+        return b"", b""
+    top = (keys >> U(48)).astype(np.int64)
+    counts = np.bincount(top - top[0]).astype(np.uint32)
+    return np.append(np.uint32(top[0]), counts).astype(np.uint32).tobytes(), keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(counts: bytes, low: bytes) -> np.ndarray:
+    if not low:
+        return np.zeros(0, np.uint64)
+    n = np.frombuffer(counts, np.uint32).astype(np.int64)
+    raw = np.zeros((len(low) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return raw.reshape(-1).view("<u8") | np.repeat(n[0] + np.arange(len(n) - 1), n[1:]).astype(np.uint64) << U(48)
+
+
 class Batch:
     """A batch's documents, its words' places, and its distinct n-grams: words first, then pairs."""
 
-    def __init__(self, row: dict) -> None:
-        self.ids = np.frombuffer(row["doc_ids"], np.int64)
-        self.sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-        self.words = np.frombuffer(row["distinct"], np.uint64)
-        self.places = np.frombuffer(row["places"], np.uint32).astype(np.int64)
+    def __init__(self, folder: str, row: dict) -> None:
+        fs, base = opened(folder)
+        with fs.open_input_file(f"{base}/{row['file']}") as file:
+            file.seek(row["at"])
+            blobs = [zstandard.decompress(file.read(n)) for n in row["parts"]]
+        self.ids = np.frombuffer(blobs[0], np.int64)
+        self.sizes = np.frombuffer(blobs[1], np.uint32).astype(np.int64)
+        self.words = np.frombuffer(blobs[2], np.uint64)
+        self.places = np.frombuffer(blobs[3], np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
         inner = self.doc[1:] == self.doc[:-1]
         self.after = np.flatnonzero(inner) + 1  # words that have one before them
@@ -130,26 +167,32 @@ class Batch:
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, log_score and mean_log for each row of ``docs``."""
-    held = stored(_batches(docs), "lm-batches")
+    folder = scratch(docs.sparkSession, "lm-batches")
+    held = stored(_batches(docs, folder), "lm-index")
     corpus = held.agg(F.sum("words")).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus // BUCKET_WORDS + 1)
-    shift = 64 - 20
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, corpus // BUCKET_WORDS + 1)
+
+    def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order of the hashes and where each bucket, a range of them, ends."""
+        order = np.argsort(keys, kind="stable")
+        bucket = ((keys[order] >> U(44)) * U(buckets) >> U(20)).astype(np.int64)
+        return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = Batch(row).asked()
-                bucket = ((keys >> U(shift)) * U(buckets) >> U(20)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+                keys, counts = Batch(folder, row).asked()
+                order, cuts = ordered(keys)
                 keys, counts = keys[order], counts[order].astype(np.uint32)
-                cols = [pa.array(np.arange(buckets)), pa.array([row["batch"]] * buckets), pa.array([keys[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
-                out = pa.RecordBatch.from_arrays(cols, ["bucket", "batch", "keys", "counts"])
+                packs = [pack(keys[a:b]) for a, b in zip(cuts, cuts[1:])]
+                cols = [pa.array(np.arange(buckets)), pa.array([row["batch"]] * buckets), pa.array([p[0] for p in packs], pa.binary()), pa.array([p[1] for p in packs], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
+                out = pa.RecordBatch.from_arrays(cols, ["bucket", "batch", "tops", "lows", "counts"])
                 for s in range(0, buckets, 64):
                     yield out.slice(s, 64)
 
     def answer(group: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint64) for x in group.column("keys").to_pylist()]
+        keys = [unpack(a, b) for a, b in zip(group.column("tops").to_pylist(), group.column("lows").to_pylist())]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()]).astype(np.int64)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(at, weights=counts, minlength=len(distinct))[at].astype(np.int64)
@@ -160,14 +203,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, words, logs = [], [], []
         for row in left.to_pylist():
-            b = Batch(row)
+            b = Batch(folder, row)
             keys, _ = b.asked()
-            bucket = ((keys >> U(shift)) * U(buckets) >> U(20)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
             back = sorted(right.select(["bucket", "wide", "totals"]).to_pylist(), key=lambda r: r["bucket"])
-            flat = np.concatenate([np.frombuffer(r["totals"], np.uint32 if r["wide"] == 4 else np.int64).astype(np.int64) for r in back])
             totals = np.empty(len(keys), np.int64)
-            totals[order] = flat
+            totals[ordered(keys)[0]] = np.concatenate([np.frombuffer(r["totals"], np.uint32 if r["wide"] == 4 else np.int64).astype(np.int64) for r in back])
             n, log = b.scores(totals, corpus)
             ids.append(b.ids)
             words.append(n)
@@ -176,8 +216,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         mean = np.round(logs / np.maximum(words, 1), 6)
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NULL), "n_words": pa.array(words, pa.int64()), "log_score": pa.array(np.round(logs, 4), pa.float64()), "mean_log": pa.array(mean, pa.float64(), mask=words == 0)})
 
-    asked = held.mapInArrow(ask, "bucket long, batch long, keys binary, counts binary")
-    back = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, wide int, totals binary")
+    asked = held.repartition(parts, "batch").mapInArrow(ask, "bucket long, batch string, tops binary, lows binary, counts binary")
+    back = asked.groupBy("bucket").applyInArrow(answer, "batch string, bucket long, wide int, totals binary")
     return held.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, RESULT)
 
 
