@@ -235,15 +235,27 @@ class Network:
         if not len(docs) or toxic.min() == toxic.max():
             return
         rng = np.random.default_rng(seed)
-        # Documents with a word, by class; copies of one count once, as the word before is then the same.
-        before: dict[str, tuple[set, set]] = {}
-        seen: dict[str, list[int]] = {}
+        # Documents with a word or beginning, by class; copies of one count once, as the word before is then
+        # the same: distinct (mark, class, word before), one a document at most, counted in arrays.
+        marked: dict[str, int] = {}
+        own: dict[str, list[int]] = {}
+        number: dict[str, int] = {"": 0}
+        triples = []
         for words, y in zip(docs, toxic):
-            for w, b in {f: b for b, w in zip(["", *words], words) for f in marks(w)}.items():
-                held = before.setdefault(w, (set(), set()))
-                held[int(y)].add(b)
-        for w, held in before.items():
-            seen[w] = [len(held[0]), len(held[1])]
+            for w in words:
+                if w not in own:
+                    own[w] = [marked.setdefault(f, len(marked)) for f in marks(w)]
+                    number[w] = len(number)
+            m = np.array([own[w] for w in words], np.int64).reshape(-1, 3)
+            b = np.array([number[w] for w in ["", *words[:-1]]], np.int64)[: len(m)]
+            flat, last = np.repeat(b, 3), m.ravel()
+            kept = len(last) - 1 - np.unique(last[::-1], return_index=True)[1]
+            triples.append((last[kept] << 32 | flat[kept]) << 1 | int(y))
+        triples = np.unique(np.concatenate(triples))
+        tally = np.zeros((len(marked), 2), np.int64)
+        np.add.at(tally, (triples >> 33, triples & 1), 1)
+        seen: dict[str, list[int]] = dict(zip(marked, tally.tolist()))
+        del triples, tally, own, number
         n1 = max(1, int(toxic.sum()))
         n0 = len(docs) - n1
         # Telling words and beginnings of words: those whose rate in toxic documents exceeds the other rate by over 3.5 deviations.
