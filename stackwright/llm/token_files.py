@@ -26,6 +26,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def tokenizer_path() -> str:
 class Tokens:
     """Ids of texts.  The library encodes each distinct word of a batch once; words never merge."""
 
-    def __init__(self, path: str, keep: int = 250_000) -> None:
+    def __init__(self, path: str, keep: int = 350_000) -> None:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -69,6 +70,32 @@ class Tokens:
         self.words = regex.compile(public_tokenizers.PATTERN)
         self.keep = keep
         self._clear()
+        # Sorts of characters, as the pattern knows them: 0 others, 1 letters, 2 numbers, 3 white space.
+        every = "".join(map(chr, range(0x110000)))
+        self.sort = np.zeros(0x110000, np.uint8)
+        for k, sort in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+            for m in regex.finditer(sort, every):
+                self.sort[m.start() : m.end()] = k
+
+    def _cuts(self, whole: str, ends: np.ndarray) -> np.ndarray:
+        """Where the pattern parts joined texts without apostrophes; ``ends``: of each text.
+
+        Words are runs of one sort.  Of white space before a word, a last space belongs to the word, another
+        last character stands alone, and the rest is one word; at a text's end the whole run is.
+        """
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        sort, size = self.sort[code], len(code)
+        cut = np.ones(size + 1, bool)
+        cut[1:size] = sort[1:] != sort[:-1]
+        stop = np.zeros(size + 1, bool)
+        stop[ends] = True
+        cut |= stop
+        word = np.flatnonzero(cut[:-1] & (sort != 3))  # first characters of words
+        inner = word[(word > 0)]
+        inner = inner[(sort[inner - 1] == 3) & ~stop[inner]]
+        cut[inner - 1] = True  # the last white space parts from those before it
+        cut[inner[code[inner - 1] == 32]] = False  # and joins the word if it is a space
+        return cut
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
@@ -88,12 +115,14 @@ class Tokens:
 
     def _learn(self, words: list[str]) -> None:
         # Words of a space and letters can be encoded in one string: the library parts them at each space.
-        plain = [w for w in words if w[0] == " " and w[1:].isascii() and w[1:].isalpha()]
+        plain, done = [w for w in words if w[0] == " " and w[1:].isalpha()], set()
         for s in range(0, len(plain), 2000):
             some = plain[s : s + 2000]
             got = self.library.encode("".join(some), add_special_tokens=False)
-            self._add(some, np.bincount(np.array(got.word_ids), minlength=len(some)), np.array(got.ids, np.uint16))
-        done = set(plain)
+            n = np.bincount(np.array(got.word_ids))
+            if len(n) == len(some):  # else the library knows a character otherwise: one by one then
+                self._add(some, n, np.array(got.ids, np.uint16))
+                done.update(some)
         rest = [w for w in words if w not in done]
         for s in range(0, len(rest), 2000):
             some = rest[s : s + 2000]
@@ -104,11 +133,25 @@ class Tokens:
         """The ids of each text and the end id."""
         if len(self.at) > self.keep:
             self._clear()
-        parts = [self.words.findall(t) if SPECIAL not in t else [] for t in texts]
+        # Texts with an apostrophe can hold contractions: the pattern itself parts those.
+        plain = [i for i, t in enumerate(texts) if "'" not in t and SPECIAL not in t and t]
+        parts: list[list[str]] = [[] for _ in texts]
+        for i, t in enumerate(texts):
+            if "'" in t and SPECIAL not in t:
+                parts[i] = self.words.findall(t)
+        if plain:
+            whole = "".join(texts[i] for i in plain)
+            ends = np.cumsum([len(texts[i]) for i in plain])
+            at = np.flatnonzero(self._cuts(whole, ends))
+            border = np.searchsorted(at, ends).tolist()
+            at = at.tolist()
+            every = [whole[a:b] for a, b in zip(at, at[1:])]
+            for i, a, b in zip(plain, [0, *border], border):
+                parts[i] = every[a:b]
         if new := set().union(*parts).difference(self.at):
             self._learn(list(new))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.fromiter((self.at[w] for p in parts for w in p), np.int64, int(sizes.sum()))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
         n, start = self.n[which], self.start[which]
         ends = np.cumsum(n)
         ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)]
@@ -166,7 +209,8 @@ class Coder:
             words[t, live] = (now & U64(0xFFFFFFFF)).astype(np.uint32)
             out[t, live] = full
             now = np.where(full, now >> U64(32), now)
-            x[live] = (now // f << U64(SCALE)) + now % f + self.c[s]
+            many = now // f
+            x[live] = (many << U64(SCALE)) + (now - many * f) + self.c[s]
         first = np.cumsum(k) - k
         states = x.astype("<u8")
         return [states[a : a + m].tobytes() + words[:, a : a + m][out[:, a : a + m]].astype("<u4").tobytes() for a, m in zip(first.tolist(), k.tolist())]
@@ -264,8 +308,8 @@ def write_files(encoded: DataFrame, folder: str, freq: np.ndarray, ranges: int)
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(held.value)
         for batch in batches:
-            ids = [np.frombuffer(x, "<u2") for x in batch.column(2).to_pylist()]
-            for i, j in _batches([len(x) for x in ids], 1_000_000):
+            ids = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(2)]
+            for i, j in _batches([len(x) for x in ids], 2_000_000):
                 some = ids[i:j]
                 part = np.searchsorted(np.array(bounds), batch.column(0).slice(i, j - i).fill_null(-(1 << 62)).to_numpy(), "left")
                 cols = [pa.array(part, pa.int32()), batch.column(0).slice(i, j - i), pa.array([len(x) for x in some], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in some], pa.int64()), pa.array(coder.encode(some), pa.binary())]
@@ -329,7 +373,7 @@ def read_files(manifest: DataFrame, folder: str, freq: np.ndarray) -> DataFrame:
                     index = np.frombuffer(index, ENTRY)
                     start = row["before"] + np.cumsum(index["n"].astype(np.int64)) - index["n"]
                     ends = np.append(index["at"][1:], np.uint64(stop)).astype(np.int64)
-                    for i, j in _batches(index["n"].tolist(), 1_000_000):
+                    for i, j in _batches(index["n"].tolist(), 2_000_000):
                         at = index["at"][i:j].astype(np.int64)
                         file.seek(int(at[0]))
                         raw = file.read(int(ends[j - 1] - at[0]))
@@ -354,7 +398,13 @@ def token_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, st
     """Writes the files of ``docs``; their manifest, their folder and the shared table."""
     spark = docs.sparkSession
     temp, folder = scratch(spark, "token-ids"), scratch(spark, "token-files")
-    encode_documents(docs, path).write.option("compression", "zstd").parquet(temp)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "1000")  # long texts: a batch of them, its copy and its words are held at once
+    try:
+        encode_documents(docs, path).write.option("compression", "zstd").parquet(temp)
+    finally:
+        spark.conf.set(rows, before)
     encoded = spark.read.schema("kind int, doc_id long, n long, ids binary").parquet(temp)
     freq = shared_table(encoded)
     fs, base = opened(folder)
