@@ -42,14 +42,16 @@ def merged_passes(passes: list[tuple[str, DataFrame]], query: str, doc: str, cap
     return best.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).select(query, doc, F.col("b.rank").alias("rank"), F.col("b.pass").alias("pass"), "place")
 
 
-def contains_join(docs: DataFrame, phrases: DataFrame, doc: str, text: str, phrase_id: str, phrase: str, gram: int = 4) -> DataFrame:
-    """Documents that hold a phrase as it is: joined by a window of words, then verified.
+def contains_join(docs: DataFrame, phrases: DataFrame, doc: str, text: str, phrase_id: str, phrase: str, least: int = 4) -> DataFrame:
+    """Documents that hold a phrase of at least ``least`` words as it is.
 
-    Each phrase is probed by its first ``gram`` words, which every document that holds it has as well.
+    A phrase is probed by its longest word, which every document that holds it has too; then it is verified.
+    Only candidate pairs meet the texts.
     """
-    words = lambda c: F.split(c, " ")
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.size(words(c)) - gram + 1), lambda i: F.array_join(F.slice(words(c), i, gram), " "))
-    long = phrases.filter(F.size(words(F.col(phrase))) >= gram)
-    probe = long.select(phrase_id, phrase, F.array_join(F.slice(words(F.col(phrase)), 1, gram), " ").alias("gram_"))
-    index = docs.filter(F.size(words(F.col(text))) >= gram).select(doc, text, F.explode(F.array_distinct(grams(F.col(text)))).alias("gram_"))
-    return index.join(probe, "gram_").filter(F.contains(F.concat(F.lit(" "), F.col(text), F.lit(" ")), F.concat(F.lit(" "), F.col(phrase), F.lit(" ")))).select(doc, phrase_id).distinct()
+    words = lambda c: F.split(F.col(c), " ")
+    longest = F.array_sort(F.transform(words(phrase), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    probe = phrases.filter(F.size(words(phrase)) >= least).select(phrase_id, phrase, longest.alias("word_"))
+    index = docs.select(doc, F.explode(F.array_distinct(words(text))).alias("word_"))
+    pairs = index.join(probe, "word_").select(doc, phrase_id, phrase)
+    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return pairs.join(docs.select(doc, text), doc).filter(F.contains(padded(text), padded(phrase))).select(doc, phrase_id).distinct()
