@@ -49,8 +49,14 @@ def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of an operator's own that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
-    path = scratch(df.sparkSession, what)
+    path = path or scratch(df.sparkSession, what)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

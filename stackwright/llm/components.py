@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, scratch, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     written to the shared folder, so that a lost executor costs one round.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now = stored(now, "edges")
+    path = scratch(edges.sparkSession, "edges")
+    now = stored(now, "edges", path)
     before = None
     while True:
         # Large star: neighbours above a node go to the smallest neighbour (or the node itself).
@@ -27,7 +28,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = stored(small, "edges")
+        last, path = path, scratch(edges.sparkSession, "edges")
+        now = stored(small, "edges", path)
+        dropped(edges.sparkSession, last)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (sums.n, sums.h):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
