@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import catalog, reports
+from . import catalog, more, reports
 
 FLAGSHIP = "match_best"
 
 
 def queries() -> dict:
-    return {**catalog.QUERIES, **reports.QUERIES}
+    return {**catalog.QUERIES, **reports.QUERIES, **more.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalog.SQL, **reports.SQL}
+    return {**catalog.SQL, **reports.SQL, **more.SQL}
