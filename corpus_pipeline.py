@@ -27,7 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of near copies; rows without a doc_id stay."""
+    """The row with the smallest doc_id of each group of near copies; rows without a doc_id stay.
+
+    Rows that share a doc_id are one document here: they stay or go together.
+    """
     groups = jaccard_join.jaccard_components(docs, WORDS, NUM, DEN)
     gone = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
