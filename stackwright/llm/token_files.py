@@ -58,7 +58,7 @@ def tokenizer_path() -> str:
 class Tokens:
     """Ids of texts.  The library encodes each distinct word of a batch once; words never merge."""
 
-    def __init__(self, path: str, keep: int = 350_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
