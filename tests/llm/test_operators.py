@@ -246,6 +246,26 @@ def test_lcs_against_the_table():
         assert decontaminate.lcs(a, b) == t[-1][-1]
 
 
+def test_damaged_passages_reach_the_word_checks():
+    rng, vocabulary = random.Random(3), [b"w%d" % i for i in range(5000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    block = decontaminate.Benchmark([(i, b" ".join(words(rng.randint(20, 50))).decode()) for i in range(150)])
+    finder = decontaminate.Finder(block, np.random.default_rng(2).standard_normal((decontaminate.TERMS, decontaminate.RANK), dtype=np.float32))
+    accepted = found = 0
+    for i, own in enumerate(block.words):
+        near = list(own)
+        for k in rng.sample(range(len(own)), len(own) // 4):
+            near[k] = rng.choice(vocabulary)
+        before = words(rng.randint(10, 60))
+        text = before + near + words(60)
+        margin = max(8, len(own) // 4)
+        region = text[max(0, len(before) - margin) : len(before) + len(own) + margin]
+        if decontaminate.lcs(own, region) >= decontaminate.COMMON * len(own) and decontaminate.lcs(block.answers[i], region) >= decontaminate.ANSWER * len(block.answers[i]):
+            accepted += 1
+            found += i in {x[0] for x in finder.leaks(b" ".join(text).decode())}
+    assert accepted >= 140 and found >= 0.97 * accepted, (found, accepted)
+
+
 # --- 8: personal data
 
 
