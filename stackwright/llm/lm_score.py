@@ -1,4 +1,4 @@
-"""Stupid-backoff scores of documents by bigram and unigram tables of the whole corpus.
+"""Stupid-backoff scores of documents by tables of the whole corpus's n-grams, up to ``order`` words.
 
 Each document is scored by the counts of all other documents (its own are taken off), so that a document
 does not vouch for itself.  With c for such counts, N for the words of the other documents and backoff 0.4:
@@ -7,7 +7,12 @@ does not vouch for itself.  With c for such counts, N for the words of the other
                  = 0.4 c(w) / N         else, where c(w) > 0
                  = 0.4 * 0.4 / (N + 1)  else
 
-and the first word has c(w) / N or 0.4 / (N + 1).  Logarithms (base 10) are summed per document.
+and the first word has c(w) / N or 0.4 / (N + 1).  That is order 2; each further order puts one case before
+these for words with n - 1 others before them in the document, and 0.4 times the shorter context's score else:
+
+    score(w | u v) = c(u v w) / c(u v)  where c(u v w) > 0
+
+Logarithms (base 10) are summed per document.
 
 The joins go by hash of the n-gram, with rows packed: a batch of documents sends each of its distinct
 n-grams once, with its count there, to the n-gram's bucket; the bucket's count table adds the batches up and
@@ -40,6 +45,7 @@ from .common import opened, scratch, stored, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BACKOFF = 0.4
+ORDER = 2  # of op6_stupid_backoff and its SQL
 BATCH_CHARS = 6_000_000
 BUCKET_WORDS = 2_000_000
 U = np.uint64
@@ -123,9 +129,9 @@ def unpack(counts: bytes, low: bytes) -> np.ndarray:
 
 
 class Batch:
-    """A batch's documents, its words' places, and its distinct n-grams: words first, then pairs."""
+    """A batch's documents, its words' places, and its distinct n-grams: words first, then pairs and so on."""
 
-    def __init__(self, folder: str, row: dict) -> None:
+    def __init__(self, folder: str, row: dict, order: int = ORDER) -> None:
         fs, base = opened(folder)
         with fs.open_input_file(f"{base}/{row['file']}") as file:
             file.seek(row["at"])
@@ -135,16 +141,22 @@ class Batch:
         self.words = np.frombuffer(blobs[2], np.uint64)
         self.places = np.frombuffer(blobs[3], np.uint32).astype(np.int64)
         self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        inner = self.doc[1:] == self.doc[:-1]
-        self.after = np.flatnonzero(inner) + 1  # words that have one before them
         h = self.words[self.places]
-        pair = _mix(_mix(h[self.after - 1] + U(1)) + h[self.after])
-        self.pairs, self.pair_places = np.unique(pair, return_inverse=True)
+        start = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        nth = np.arange(len(h)) - start
+        self.grams = []  # a length each, from 2: the last words' positions, distinct hashes and places
+        gram = h
+        for n in range(2, order + 1):
+            after = np.flatnonzero(nth >= n - 1)
+            whole = np.zeros(len(h), np.uint64)
+            whole[after] = _mix(_mix(gram[after - 1] + U(n - 1)) + h[after])
+            self.grams.append((after, *np.unique(whole[after], return_inverse=True)))
+            gram = whole
 
     def asked(self) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all distinct n-grams and their counts here."""
-        keys = np.concatenate([_mix(self.words ^ U(0x5851F42D4C957F2D)), self.pairs])
-        counts = np.concatenate([np.bincount(self.places, minlength=len(self.words)), np.bincount(self.pair_places, minlength=len(self.pairs))])
+        keys = np.concatenate([_mix(self.words ^ U(0x5851F42D4C957F2D)), *(k for _, k, _ in self.grams)])
+        counts = np.concatenate([np.bincount(self.places, minlength=len(self.words)), *(np.bincount(p, minlength=len(k)) for _, k, p in self.grams)])
         return keys, counts
 
     def scores(self, totals: np.ndarray, corpus: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,35 +168,39 @@ class Batch:
             return total[kind] - own[back]
 
         one = others(self.places, self.doc, totals[:n], n)
-        two = others(self.pair_places, self.doc[self.after], totals[n:], len(self.pairs))
         rest = (corpus - self.sizes)[self.doc].astype(np.float64)
         log = np.where(one > 0, np.log10(np.maximum(one, 1)) - np.log10(np.maximum(rest, 1)), np.log10(BACKOFF) - np.log10(rest + 1))
-        backed = log[self.after] + np.log10(BACKOFF)
-        seen = np.log10(np.maximum(two, 1)) - np.log10(np.maximum(one[self.after - 1], 1))
-        log[self.after] = np.where(two > 0, seen, backed)
+        shorter = one
+        for after, keys, places in self.grams:
+            found = others(places, self.doc[after], totals[n : n + len(keys)], len(keys))
+            n += len(keys)
+            seen = np.log10(np.maximum(found, 1)) - np.log10(np.maximum(shorter[after - 1], 1))
+            log[after] = np.where(found > 0, seen, log[after] + np.log10(BACKOFF))
+            shorter = np.zeros(len(self.doc), np.int64)
+            shorter[after] = found
         return self.sizes, np.bincount(self.doc, weights=log, minlength=len(self.ids))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, log_score and mean_log for each row of ``docs``."""
+def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, log_score and mean_log for each row of ``docs``, by contexts of up to order - 1 words."""
     folder = scratch(docs.sparkSession, "lm-batches")
     held = stored(_batches(docs, folder), "lm-index")
     corpus = held.agg(F.sum("words")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, corpus // BUCKET_WORDS + 1)
+    buckets = max(parts, corpus * order // (2 * BUCKET_WORDS) + 1)
 
     def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of the hashes and where each bucket, a range of them, ends."""
-        order = np.argsort(keys, kind="stable")
-        bucket = ((keys[order] >> U(44)) * U(buckets) >> U(20)).astype(np.int64)
-        return order, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+        sort = np.argsort(keys, kind="stable")
+        bucket = ((keys[sort] >> U(44)) * U(buckets) >> U(20)).astype(np.int64)
+        return sort, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = Batch(folder, row).asked()
-                order, cuts = ordered(keys)
-                keys, counts = keys[order], counts[order].astype(np.uint32)
+                keys, counts = Batch(folder, row, order).asked()
+                sort, cuts = ordered(keys)
+                keys, counts = keys[sort], counts[sort].astype(np.uint32)
                 packs = [pack(keys[a:b]) for a, b in zip(cuts, cuts[1:])]
                 cols = [pa.array(np.arange(buckets)), pa.array([row["batch"]] * buckets), pa.array([p[0] for p in packs], pa.binary()), pa.array([p[1] for p in packs], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
                 out = pa.RecordBatch.from_arrays(cols, ["bucket", "batch", "tops", "lows", "counts"])
@@ -203,7 +219,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, words, logs = [], [], []
         for row in left.to_pylist():
-            b = Batch(folder, row)
+            b = Batch(folder, row, order)
             keys, _ = b.asked()
             back = sorted(right.select(["bucket", "wide", "totals"]).to_pylist(), key=lambda r: r["bucket"])
             totals = np.empty(len(keys), np.int64)
@@ -225,6 +241,10 @@ def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), 3)
+
+
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d),

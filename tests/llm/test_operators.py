@@ -208,6 +208,26 @@ def test_scores_of_awkward_rows(spark, awkward, empty):
     assert (lm_score.unpack(*lm_score.pack(keys)) == keys).all() and len(lm_score.unpack(*lm_score.pack(keys[:0]))) == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_of_each_order_against_brute_force(spark, order):
+    rng = random.Random(6)
+    texts = [[rng.choice("abcdef") for _ in range(rng.randint(0, 25))] for _ in range(40)] + [["a"], ["zz"], ["zz", "a", "b"]]
+    grams = lambda ws: collections.Counter(tuple(ws[i : i + n]) for n in range(1, order + 1) for i in range(len(ws) - n + 1))
+    whole = sum((grams(ws) for ws in texts), collections.Counter())
+    got = {r.doc_id: r.log_score for r in lm_score.score_documents(docs(spark, [(i, " ".join(ws)) for i, ws in enumerate(texts)]), order).collect()}
+    for k, ws in enumerate(texts):
+        own, rest = grams(ws), sum(map(len, texts)) - len(ws)
+        c = lambda g: whole[g] - own[g]  # noqa: B023, E731
+
+        def score(g):
+            if len(g) == 1:
+                return c(g) / rest if c(g) else 0.4 / (rest + 1)  # noqa: B023
+            return c(g) / c(g[:-1]) if c(g) else 0.4 * score(g[1:])  # noqa: B023
+
+        want = sum(np.log10(score(tuple(ws[max(0, i - order + 1) : i + 1]))) for i in range(len(ws)))
+        assert abs(got[k] - want) < 1e-3
+
+
 # --- 7: decontamination
 
 
