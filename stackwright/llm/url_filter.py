@@ -5,8 +5,9 @@ unigram Viterbi: the words' counts over the text of all pages (and the words of
 their costs, other characters a cost each.  A multinomial naive Bayes model over the words, fitted to the
 small labelled table below, gives the log odds; a URL of words it does not know is allowed.
 
-Word counts are summed over all pages; the ``VOCABULARY`` most frequent ones are kept, a bounded table that
-each task gets.  Judging is one narrow pass over page_id and url.
+Word counts are summed over all pages.  Those of words that are substrings of a name in a host or path are kept,
+as no other word can be in a split, with the total of all; no word is cut off by rank.  Each task gets this table,
+which grows with the distinct names.  Judging is one narrow pass over page_id and url.
 
 Defined results
 ---------------
@@ -27,11 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 # The rules of the query, host and path with the verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
-VOCABULARY = 50_000
 LONGEST = 20
 PRIOR = 0.2  # share of URLs to block
 SMOOTH = 0.3
@@ -93,18 +93,24 @@ def by_host(rules: tuple[tuple[str, str], ...]) -> dict[str, list[tuple[str, str
     return out
 
 
+class Counts(dict):
+    """Counts of some words, and the total of all words of the text."""
+
+    total = 0
+
+
 class Model:
     """Word costs for segmentation and the naive Bayes weights."""
 
     def __init__(self, counts: dict[str, int]) -> None:
         labelled = [(y, u) for y, text in ((1, BLOCK), (0, ALLOW)) for u in text.split()]
         seeds = Counter(w for _, u in labelled for w in self._seed_words(u))
-        total = sum(counts.values()) + 1
+        total = (counts.total if isinstance(counts, Counts) else sum(c for w, c in counts.items() if 2 <= len(w) <= LONGEST)) + 1
         floor = max(10, total // 20_000)
         words = {w: c for w, c in counts.items() if 2 <= len(w) <= LONGEST}
         for w, c in seeds.items():
+            total += max(0, floor * c - words.get(w, 0))
             words[w] = max(words.get(w, 0), floor * c)
-        total = sum(words.values()) + 1
         self.cost = {w: math.log(total / c) for w, c in words.items()}
         self.other = math.log(total) + 2.0  # of a character outside all words
         self.split = lru_cache(200_000)(self._split)
@@ -143,8 +149,31 @@ class Model:
         return self.prior + sum(self.weight.get(w, 0.0) for w in words)
 
 
-def word_counts(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The counts of the most frequent words in the text of all pages, tags left out."""
+def _substrings(pages: DataFrame) -> DataFrame:
+    """The distinct substrings, of 2 to ``LONGEST`` letters, of names in hosts and paths, and the labelled table's words."""
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {n for u in batch.column(0).to_pylist() for n in NAME.findall("".join(parts_of(u)).lower())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string())], ["name"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[str] = set()
+            for n in batch.column(0).to_pylist():
+                out.update(n[i:j] for i in range(len(n)) for j in range(i + 2, min(len(n), i + LONGEST) + 1))
+                if len(out) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], ["word"])
+                    out = set()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string())], ["word"])
+
+    distinct = pages.select(F.col("url").cast("string")).mapInArrow(names, "name string").distinct()
+    seeds = pages.sparkSession.createDataFrame([(w,) for w in sorted(set(NAME.findall(BLOCK + ALLOW)))], "word string")
+    return distinct.mapInArrow(cut, "word string").unionByName(seeds).distinct()
+
+
+def word_counts(pages: DataFrame) -> Counts:
+    """The counts, in the text of all pages with tags left out, of the words that names in their URLs can hold."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tag, held = re.compile(r"<(?:script|style)\b.*?</(?:script|style)>|<[^>]*>", re.S), Counter()
@@ -161,8 +190,10 @@ def word_counts(pages: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
         yield out()
 
     counted = pages.select(F.col("html").cast("string")).mapInArrow(count, "word string, n long").filter(f"length(word) between 2 and {LONGEST}")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return {r.word: r.n for r in top.collect()}
+    sums = stored(counted.groupBy("word").agg(F.sum("n").alias("n")), "url-words")
+    out = Counts((r.word, r.n) for r in sums.join(_substrings(pages), "word", "left_semi").collect())
+    out.total = sums.agg(F.sum("n")).first()[0] or 0
+    return out
 
 
 def judge(pages: DataFrame, model: Model, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -151,6 +152,17 @@ def test_url_segments_and_verdicts(spark):
     assert url_filter.judge(pages.limit(0), model).count() == 0
 
 
+def test_rare_words_of_a_large_vocabulary_are_kept(spark):
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxy", repeat=4), 60_000)] + ["zcasinoz"]
+    pages = spark.createDataFrame([(1, "http://zcasinoz.org/zcasinozabcd", " ".join(words))], "page_id long, url string, html string")
+    counts = url_filter.word_counts(pages)
+    few, whole = url_filter.Model(counts), url_filter.Model(dict.fromkeys(words, 1))
+    assert counts["zcasinoz"] == 1 and len(counts) < 100 and counts.total == len(words)
+    assert few.other == whole.other and all(whole.cost[w] == c for w, c in few.cost.items())
+    row = url_filter.judge(pages, few).first()
+    assert row.words.split() == whole.words("zcasinoz.org/zcasinozabcd") and "zcasinoz" in row.words.split() and row.verdict == "allow"
+
+
 # --- 5: token files
 
 
