@@ -197,19 +197,28 @@ def multi_pass_union(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q", "p_partkey", F.col("rank").cast("long").alias("rank"), "pass", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_size, try_cast(substr(p_brand, 7) AS INT) % 2 AS side FROM part),
-x AS (SELECT a.p_partkey AS asked, b.p_partkey AS work, 100 - abs(a.p_size - b.p_size) AS score FROM p a JOIN p b ON a.adj = b.adj AND a.noun = b.noun AND a.side = 0 AND b.side = 1 WHERE a.p_partkey % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, work) AS n, lead(score) OVER (PARTITION BY asked ORDER BY score DESC, work) AS nxt FROM x)
-SELECT asked, work, score::BIGINT AS score, CASE WHEN score < 90 THEN 'rejected' WHEN nxt IS NULL OR score - nxt >= 1 THEN 'accepted' ELSE 'ambiguous' END AS decision FROM r WHERE n = 1""")
-def blocked_linkage(spark: SparkSession, d: str) -> DataFrame:
+def _linked(spark: SparkSession, d: str, asked: str) -> DataFrame:
     words = F.split("p_name", " ")
     p = t(spark, d, "part").select("p_partkey", F.array(F.concat_ws("|", words[1], words[0])).alias("keys"), "p_size", (F.substring("p_brand", 7, 9).cast("int") % 2).alias("side"))
-    left = p.filter("side = 0 and p_partkey % 20 = 0").select(F.col("p_partkey").alias("asked"), "keys", F.col("p_size").alias("size_a"))
+    left = p.filter("side = 0").filter(asked).select(F.col("p_partkey").alias("asked"), "keys", F.col("p_size").alias("size_a"))
     right = p.filter("side = 1").select(F.col("p_partkey").alias("work"), "keys", F.col("p_size").alias("size_b"))
     pairs = link.block_join(left, right, "keys", "asked", "work").withColumn("points", 100 - F.abs(F.col("size_a") - F.col("size_b")))
     return link.decide(pairs, "asked", "work", "points", 90, 1).select("asked", "work", F.col("score").cast("long").alias("score"), "decision")
 
 
+@query("""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_size, try_cast(substr(p_brand, 7) AS INT) % 2 AS side FROM part),
+x AS (SELECT a.p_partkey AS asked, b.p_partkey AS work, 100 - abs(a.p_size - b.p_size) AS score FROM p a JOIN p b ON a.adj = b.adj AND a.noun = b.noun AND a.side = 0 AND b.side = 1 WHERE a.p_partkey % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, work) AS n, lead(score) OVER (PARTITION BY asked ORDER BY score DESC, work) AS nxt FROM x)
+SELECT asked, work, score::BIGINT AS score, CASE WHEN score < 90 THEN 'rejected' WHEN nxt IS NULL OR score - nxt >= 1 THEN 'accepted' ELSE 'ambiguous' END AS decision FROM r WHERE n = 1""")
+def blocked_linkage(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d, "p_partkey % 20 = 0")
+
+
+@query()
+def blocked_linkage_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d, "true")
+
+
 @query("""WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS purchases FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT user_id, coalesce(clicks, 0)::BIGINT AS clicks, coalesce(purchases, 0)::BIGINT AS purchases, clicks IS NOT NULL AS in_clicks, purchases IS NOT NULL AS in_purchases FROM a FULL JOIN b USING (user_id)""")
 def consolidated_signals(spark: SparkSession, d: str) -> DataFrame:

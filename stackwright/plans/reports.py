@@ -170,15 +170,24 @@ def box_suppression(spark: SparkSession, d: str) -> DataFrame:
     return spatial.suppressed(b, "scene", 0.3)
 
 
+def _nearest(spark: SparkSession, d: str, asked: str) -> DataFrame:
+    k = F.col("p_partkey")
+    points = t(spark, d, "part").filter(asked).select(k.alias("point_id"), (k % 25).alias("scene"), (k * 91 % 1000).cast("double").alias("x"), (k * 17 % 800).cast("double").alias("y"))
+    b = _boxes(spark, d).select(F.col("id").alias("box_id"), "scene", (F.col("x0") + F.col("w") / 2).alias("cx"), (F.col("y0") + F.col("h") / 2).alias("cy"), "w", "h", F.lit(0.0).alias("angle"))
+    return spatial.nearest(points, b, "scene", 5.0)
+
+
 @query(f"WITH {_BOXES}, q AS (SELECT p_partkey AS point_id, p_partkey % 25 AS scene, (p_partkey * 91 % 1000)::DOUBLE AS x, (p_partkey * 17 % 800)::DOUBLE AS y FROM part WHERE p_partkey % 4 = 0), "
  "j AS (SELECT scene, point_id, b.id AS box_id, abs(x - (x0 + w / 2)) <= w / 2 AND abs(y - (y0 + h / 2)) <= h / 2 AS inside, sqrt((x - x0 - w / 2) ** 2 + (y - y0 - h / 2) ** 2) AS away, least(96.0, greatest(24.0, 0.5 * least(w, h))) AS radius FROM q JOIN b USING (scene)), "
  "r AS (SELECT *, row_number() OVER v AS n, lead(away) OVER v AS na, lead(inside) OVER v AS ni FROM j WHERE inside OR away <= radius WINDOW v AS (PARTITION BY scene, point_id ORDER BY inside DESC, away, box_id)) "
  "SELECT scene, point_id, box_id, inside, round(away, 6) AS away, coalesce(inside = ni AND na - away < 5, false) AS ambiguous FROM r WHERE n = 1")
 def nearest_boxes(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey")
-    points = t(spark, d, "part").filter("p_partkey % 4 = 0").select(k.alias("point_id"), (k % 25).alias("scene"), (k * 91 % 1000).cast("double").alias("x"), (k * 17 % 800).cast("double").alias("y"))
-    b = _boxes(spark, d).select(F.col("id").alias("box_id"), "scene", (F.col("x0") + F.col("w") / 2).alias("cx"), (F.col("y0") + F.col("h") / 2).alias("cy"), "w", "h", F.lit(0.0).alias("angle"))
-    return spatial.nearest(points, b, "scene", 5.0)
+    return _nearest(spark, d, "p_partkey % 4 = 0")
+
+
+@query()
+def nearest_boxes_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _nearest(spark, d, "true")
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) // 86400 AS lo, epoch(o_orderdate) // 86400 + o_orderkey % 60 AS hi FROM orders), w AS (SELECT *, max(hi) OVER (PARTITION BY o_custkey ORDER BY lo, hi, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), "

@@ -70,3 +70,35 @@ def test_stratified_sample_keeps_quotas(spark):
 def test_greedy_cover_gains_fall(spark):
     gains = [r.gain for r in registry.queries()["greedy_cover"](spark, DIR).orderBy("place").collect()]
     assert gains == sorted(gains, reverse=True)
+
+
+def test_whole_linkage_against_all_pairs(spark):
+    parts = spark.read.parquet(f"{DIR}/part.parquet").select("p_partkey", "p_name", "p_size", "p_brand").collect()
+    side = {r.p_partkey: int(r.p_brand[6:]) % 2 for r in parts}
+    want = set()
+    for a in (r for r in parts if not side[r.p_partkey]):
+        found = sorted((-100 + abs(a.p_size - b.p_size), b.p_partkey) for b in parts if side[b.p_partkey] and a.p_name.split()[:2] == b.p_name.split()[:2])
+        if found:
+            score = -found[0][0]
+            sure = len(found) == 1 or score + found[1][0] >= 1
+            want.add((a.p_partkey, found[0][1], score, "rejected" if score < 90 else "accepted" if sure else "ambiguous"))
+    got = registry.queries()["blocked_linkage_whole"](spark, DIR).select("asked", "work", "score", "decision").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and any(r.asked % 20 for r in got)
+
+
+def test_whole_nearest_boxes_against_all_pairs(spark):
+    parts = [(r.p_partkey, r.p_size) for r in spark.read.parquet(f"{DIR}/part.parquet").select("p_partkey", "p_size").collect()]
+    boxes = [(k, k % 25, k * 37 % 1000 + (20 + 4 * n) / 2, k * 53 % 800 + (15 + 3 * n) / 2, 20.0 + 4 * n, 15.0 + 3 * n) for k, n in parts]
+    want = {}
+    for k, _ in parts:
+        x, y, found = k * 91 % 1000, k * 17 % 800, []
+        for b, scene, cx, cy, w, h in boxes:
+            inside, away = abs(x - cx) <= w / 2 and abs(y - cy) <= h / 2, math.hypot(x - cx, y - cy)
+            if scene == k % 25 and (inside or away <= min(96.0, max(24.0, min(w, h) / 2))):
+                found.append((not inside, away, b))
+        found.sort()
+        if found:
+            unsure = len(found) > 1 and found[0][0] == found[1][0] and found[1][1] - found[0][1] < 5
+            want[k] = (found[0][2], not found[0][0], unsure)
+    got = registry.queries()["nearest_boxes_whole"](spark, DIR).collect()
+    assert {r.point_id: (r.box_id, r.inside, r.ambiguous) for r in got} == want and any(r.point_id % 4 for r in got)
