@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackwright.functions import text as tx
@@ -31,17 +31,49 @@ def joined_names(links: DataFrame, names: DataFrame, work: str, author: str, ord
     return found.groupBy(work).agg(tx.join_names(ordered).alias("author"))
 
 
-def ranked(works: DataFrame, key: str, count: str, rank: str = "popularity_rank") -> DataFrame:
-    """A global rank 1..n by falling count, then key, without sorting everything in one task.
+def bucketed(rows: DataFrame, order: list, buckets: int | None = None) -> DataFrame:
+    """``rows`` with ``order_`` (the order as a struct) and ``bucket_``, a number that rises with it.
+
+    The bounds are quantiles of a bounded sample (64 rows a bucket, those with the smallest hashes), held as
+    one array in one row.  A row's bucket depends on its values and the sample alone, never on how rows are
+    dealt over tasks, so that the frame may be planned any number of times.
+    """
+    n = buckets or max(8, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = [c.alias(f"o{i}") for i, c in enumerate(F.col(c) if isinstance(c, str) else c for c in order)]
+    keyed = rows.withColumn("order_", F.struct(*named))
+    sample = keyed.select("order_", F.xxhash64("order_").alias("h_")).orderBy("h_", "order_").limit(64 * n).agg(F.array_sort(F.collect_list("order_")).alias("s_"))
+    steps = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("s_", F.floor(i * F.size("s_") / n).cast("int")))
+    bounds = sample.select(F.filter(steps, lambda x: x.isNotNull()).alias("bounds_"))
+    # Binary search: the number of bounds below the row.
+    size = F.size("bounds_")
+
+    def halve(at: Column, _: Column) -> Column:
+        mid = F.floor((at["a"] + at["b"]) / 2).cast("int")
+        above = F.get("bounds_", mid) < F.col("order_")
+        return F.when(at["a"] >= at["b"], at).when(above, F.struct((mid + 1).alias("a"), at["b"].alias("b"))).otherwise(F.struct(at["a"].alias("a"), mid.alias("b")))
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), F.struct(F.lit(0).alias("a"), size.alias("b")), halve)
+    return keyed.join(F.broadcast(bounds)).withColumn("bucket_", found["a"]).drop("bounds_")
 
-    Rows are ranged over tasks by the sort order; each task's size is added up before it (a row a task), and
-    a task numbers its own rows.
+
+def running_totals(rows: DataFrame, order: list, weight: Column, total: str) -> DataFrame:
+    """``rows`` with the sum of ``weight`` over all rows before theirs in a total order, as ``total``.
+
+    Each bucket's sum is added up before it (a row a bucket), and each bucket sums its own rows: no window
+    goes over the whole table.
     """
-    placed = works.withColumn("neg_", -F.col(count)).repartitionByRange("neg_", key).sortWithinPartitions("neg_", key).withColumn("part_", F.spark_partition_id())
-    sizes = placed.groupBy("part_").agg(F.count("*").alias("n_"))
-    before = sizes.withColumn("before_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("part_").orderBy("neg_", key))
-    return placed.withColumn("own_", own).join(F.broadcast(before), "part_").withColumn(rank, F.col("own_") + F.col("before_")).select(*works.columns, rank)
+    placed = bucketed(rows.withColumn("weight_", weight), order)
+    sums = placed.groupBy("bucket_").agg(F.sum("weight_").alias("n_"))
+    up_to = Window.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    before = sums.select("bucket_", zero(F.sum("n_").over(up_to.orderBy("bucket_"))).alias("before_"))
+    own = zero(F.sum("weight_").over(up_to.partitionBy("bucket_").orderBy("order_")))
+    return placed.withColumn("own_", own).join(F.broadcast(before), "bucket_", "left").withColumn(total, F.col("own_") + F.col("before_")).select(*rows.columns, total)
+
+
+def ranked(works: DataFrame, key: str, count: str, rank: str = "popularity_rank") -> DataFrame:
+    """A global rank 1..n by falling count (null first), then key, without sorting everything in one task."""
+    return running_totals(works, [-F.col(count), F.col(key)], F.lit(1), rank).withColumn(rank, F.col(rank) + 1)
 
 
 def dedupe_then_cap(rows: DataFrame, key: str, order: list, most: int) -> DataFrame:

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 def average_ranks(rows: DataFrame, value: str, rank: str, key: str) -> DataFrame:
     """(key, rank): ranks by rising value, ties at their mean; distinct values are ranked, not rows."""
+    from .etl import running_totals
+
     per = rows.groupBy(value).agg(F.count("*").alias("n_"))
     # A value's first rank is one more than the rows below it: prefix sums over the distinct values.
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    first = per.withColumn("below_", F.coalesce(F.sum("n_").over(w), F.lit(0)))
+    first = running_totals(per, [value], F.col("n_"), "below_")
     return rows.join(first, value).select(key, (F.col("below_") + (F.col("n_") + 1) / 2).alias(rank))
 
 
