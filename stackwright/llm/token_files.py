@@ -26,7 +26,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,7 @@ END = 0
 LANE = 512  # ids of a coder state
 SCALE = 20  # frequencies add up to 2**SCALE
 LOW = 1 << 31
+FILE_IDS = 1 << 26  # ids of a file, about
 MAGIC = b"SWRANS01"
 SPECIAL = "<|endoftext|>"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("at", "<u8"), ("n", "<u4"), ("crc", "<u4")])
@@ -56,10 +56,13 @@ def tokenizer_path() -> str:
 
 
 class Tokens:
-    """Ids of texts.  The library encodes each distinct word of a batch once; words never merge."""
+    """Ids of texts.  The library encodes each distinct word once; words never merge.
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
-        import public_tokenizers
+    Words of a batch are found, hashed and looked up in arrays of characters.  A word found by its hash is
+    compared with the known one character by character, so a collision costs time and never a wrong id.
+    """
+
+    def __init__(self, path: str, keep: int = 1_500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -67,101 +70,179 @@ class Tokens:
         split = json.loads(self.library.to_str())["pre_tokenizer"]
         if split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"]:
             raise ValueError("another way of splitting words")
-        self.words = regex.compile(public_tokenizers.PATTERN)
         self.keep = keep
-        self._clear()
         # Sorts of characters, as the pattern knows them: 0 others, 1 letters, 2 numbers, 3 white space.
         every = "".join(map(chr, range(0x110000)))
         self.sort = np.zeros(0x110000, np.uint8)
         for k, sort in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
             for m in regex.finditer(sort, every):
                 self.sort[m.start() : m.end()] = k
+        # A word's hash: its characters' random numbers times powers of an odd number, in 64 bits.
+        draw = np.random.default_rng(11)
+        self.noise = draw.integers(0, 1 << 64, 0x110000, np.uint64)
+        self.odd = draw.integers(0, 1 << 64, 1, np.uint64) | U64(1)
+        self.powers = np.ones(1, np.uint64)
+        self._clear()
 
-    def _cuts(self, whole: str, ends: np.ndarray) -> np.ndarray:
-        """Where the pattern parts joined texts without apostrophes; ``ends``: of each text.
+    def _cuts(self, code: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the pattern parts joined texts; ``ends``: of each text.
 
         Words are runs of one sort.  Of white space before a word, a last space belongs to the word, another
-        last character stands alone, and the rest is one word; at a text's end the whole run is.
+        last character stands alone, and the rest is one word; at a text's end the whole run is.  An
+        apostrophe that begins a word takes the letters of a contraction with it.
         """
-        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         sort, size = self.sort[code], len(code)
-        cut = np.ones(size + 1, bool)
+        cut = np.ones(size + 4, bool)
         cut[1:size] = sort[1:] != sort[:-1]
-        stop = np.zeros(size + 1, bool)
+        stop = np.zeros(size + 4, bool)
         stop[ends] = True
+        stop[size:] = True
         cut |= stop
-        word = np.flatnonzero(cut[:-1] & (sort != 3))  # first characters of words
-        inner = word[(word > 0)]
+        word = np.flatnonzero(cut[:size] & (sort != 3))  # first characters of words
+        inner = word[word > 0]
         inner = inner[(sort[inner - 1] == 3) & ~stop[inner]]
         cut[inner - 1] = True  # the last white space parts from those before it
         cut[inner[code[inner - 1] == 32]] = False  # and joins the word if it is a space
-        return cut
+        mark = np.flatnonzero(code == 39)
+        mark = mark[cut[mark] & ~stop[mark + 1]]
+        if len(mark):
+            padded = np.append(code, np.zeros(2, np.uint32))
+            one, two = padded[mark + 1], np.where(stop[mark + 2], 0, padded[mark + 2])
+            short = np.isin(one, [ord(c) for c in "stmd"])
+            long = (one == ord("r")) & (two == ord("e")) | (one == ord("v")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+            cut[mark[short | long] + 1] = False
+            cut[mark[short] + 2] = True
+            cut[mark[long] + 3] = True
+        return cut[: size + 1]
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.start, self.n = np.zeros(4096, np.int64), np.zeros(4096, np.int64)
-        self.flat, self.used = np.zeros(1 << 14, np.uint16), 0
-
-    def _add(self, words: list[str], n: np.ndarray, ids: np.ndarray) -> None:
-        i, k = len(self.at), len(words)
-        while i + k > len(self.n):
-            self.start, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.n))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[i : i + k], self.n[i : i + k] = self.used + np.cumsum(n) - n, n
-        self.at.update(zip(words, range(i, i + k)))
-        self.used += len(ids)
-
-    def _learn(self, words: list[str]) -> None:
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted, and the word of each
+        self.first = np.zeros((1 << 18) + 1, np.int32)  # where hashes begin by their top 18 bits
+        self.chars, self.at, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.start, self.n = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _hashes(self, code: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of words of ``code``; equal words have equal hashes wherever they stand."""
+        most = int(size.max())
+        if len(self.powers) <= most:
+            self.powers = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * most, self.odd[0], np.uint64), dtype=np.uint64)])
+        place = np.arange(len(code)) - np.repeat(at, size)
+        run = self.noise[code] * self.powers[place]
+        return np.add.reduceat(run, at) + size.astype(np.uint64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The known word of each hash, -1 without one."""
+        top = (h >> U64(46)).astype(np.int64)
+        place, end = self.first[top], self.first[top + 1]
+        found = np.full(len(h), -1, np.int32)
+        live = np.flatnonzero(place < end)
+        while len(live):  # a few steps: hashes are even
+            here = self.hashes[place[live]]
+            hit = here == h[live]
+            found[live[hit]] = self.order[place[live[hit]]]
+            live = live[here < h[live]]
+            place[live] += 1
+            live = live[place[live] < end[live]]
+        return found
+
+    def _learn(self, words: list[str], h: np.ndarray) -> None:
+        """Adds words; ``h``: their hashes, sorted."""
         # Words of a space and letters can be encoded in one string: the library parts them at each space.
-        plain, done = [w for w in words if w[0] == " " and w[1:].isalpha()], set()
+        plain = [i for i, w in enumerate(words) if w[0] == " " and w[1:].isalpha()]
+        added: list[int] = []
+        ids: list[int] = []
+        n: list[np.ndarray] = []
         for s in range(0, len(plain), 2000):
             some = plain[s : s + 2000]
-            got = self.library.encode("".join(some), add_special_tokens=False)
-            n = np.bincount(np.array(got.word_ids))
-            if len(n) == len(some):  # else the library knows a character otherwise: one by one then
-                self._add(some, n, np.array(got.ids, np.uint16))
-                done.update(some)
-        rest = [w for w in words if w not in done]
+            got = self.library.encode("".join([words[i] for i in some]), add_special_tokens=False)
+            each = np.bincount(np.array(got.word_ids))
+            if len(each) == len(some):  # else the library knows a character otherwise: one by one then
+                added += some
+                ids += got.ids
+                n.append(each)
+        rest = sorted(set(range(len(words))).difference(added))
         for s in range(0, len(rest), 2000):
             some = rest[s : s + 2000]
-            got = [e.ids for e in self.library.encode_batch(some, add_special_tokens=False)]
-            self._add(some, np.array([len(x) for x in got]), np.array([i for x in got for i in x], np.uint16))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text and the end id."""
-        if len(self.at) > self.keep:
-            self._clear()
-        # Texts with an apostrophe can hold contractions: the pattern itself parts those.
-        plain = [i for i, t in enumerate(texts) if "'" not in t and SPECIAL not in t and t]
-        parts: list[list[str]] = [[] for _ in texts]
-        for i, t in enumerate(texts):
-            if "'" in t and SPECIAL not in t:
-                parts[i] = self.words.findall(t)
-        if plain:
-            whole = "".join(texts[i] for i in plain)
-            ends = np.cumsum([len(texts[i]) for i in plain])
-            at = np.flatnonzero(self._cuts(whole, ends))
-            border = np.searchsorted(at, ends).tolist()
-            at = at.tolist()
-            every = [whole[a:b] for a, b in zip(at, at[1:])]
-            for i, a, b in zip(plain, [0, *border], border):
-                parts[i] = every[a:b]
-        if new := set().union(*parts).difference(self.at):
-            self._learn(list(new))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(parts)), np.int64, int(sizes.sum()))
-        n, start = self.n[which], self.start[which]
-        ends = np.cumsum(n)
-        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)]
-        stops = np.concatenate([[0], ends])[np.cumsum(sizes)]
-        end = np.array([END], np.uint16)
-        found = [np.concatenate([x, end]) for x in np.split(ids, stops[:-1])]
-        for i, t in enumerate(texts):
-            if SPECIAL in t:
-                found[i] = np.array([*self.library.encode(t, add_special_tokens=False).ids, END], np.uint16)
-        return found
+            got = [e.ids for e in self.library.encode_batch([words[i] for i in some], add_special_tokens=False)]
+            added += some
+            for x in got:
+                ids += x
+            n.append(np.array([len(x) for x in got]))
+        n = np.concatenate(n)
+        size = np.array([len(words[i]) for i in added], np.int64)
+        number = np.empty(len(words), np.int32)
+        number[added] = len(self.at) + np.arange(len(words))
+        place = np.searchsorted(self.hashes, h)
+        hashes = np.insert(self.hashes, place, h)
+        first = np.searchsorted(hashes, np.arange(1 << 18, dtype=np.uint64) << U64(46))
+        chars = np.frombuffer("".join([words[i] for i in added]).encode("utf-32-le"), np.uint32)
+        self.at, self.size, self.chars, self.start, self.n, self.flat, self.hashes, self.order, self.first = (
+            np.concatenate([self.at, len(self.chars) + np.cumsum(size) - size]),
+            np.concatenate([self.size, size.astype(np.int32)]),
+            np.concatenate([self.chars, chars]),
+            np.concatenate([self.start, len(self.flat) + np.cumsum(n) - n]),
+            np.concatenate([self.n, n.astype(np.int32)]),
+            np.concatenate([self.flat, np.array(ids, np.uint16)]),
+            hashes,
+            np.insert(self.order, place, number),
+            np.append(first, len(hashes)).astype(np.int32),
+        )
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
+        special = [i for i, t in enumerate(texts) if SPECIAL in t]
+        held = {i: np.array([*self.library.encode(texts[i], add_special_tokens=False).ids, END], np.uint16) for i in special}
+        whole = "".join("" if i in held else t for i, t in enumerate(texts)) if held else "".join(texts)
+        ends = np.cumsum([0 if i in held else len(t) for i, t in enumerate(texts)])
+        if not whole:
+            ids, count = np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
+        else:
+            ids, count = self._encoded(whole, ends)
+        stops = np.cumsum(count)
+        if not held:  # the end ids go behind each text
+            return np.insert(ids, stops, np.uint16(END)), count + 1
+        found = [held[i] if i in held else np.append(x, np.uint16(END)) for i, x in enumerate(np.split(ids, stops[:-1]))]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _encoded(self, whole: str, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        cut = np.flatnonzero(self._cuts(code, ends))
+        at, size = cut[:-1], np.diff(cut)
+        h = self._hashes(code, at, size)
+        which = self._find(h)
+        if len(unknown := np.flatnonzero(which < 0)):
+            if len(self.at) > self.keep:
+                self._clear()
+                unknown = np.arange(len(h))
+            new, first = np.unique(h[unknown], return_index=True)
+            first = unknown[first]
+            self._learn([whole[a : a + n] for a, n in zip(at[first].tolist(), size[first].tolist())], new)
+            which[unknown] = self._find(h[unknown])
+        # Character by character: each word is the known one of its hash.
+        same = self.size[which] == size
+        if same.all():
+            known = self.chars[np.arange(len(code)) + np.repeat(self.at[which] - at, size)]
+            same = np.logical_and.reduceat(known == code, at)
+        n, start = self.n[which].astype(np.int64), self.start[which]
+        stop = np.cumsum(n)
+        ids = self.flat[np.arange(int(stop[-1])) + np.repeat(start - (stop - n), n)]
+        text = np.searchsorted(ends, at, "right")
+        if not same.all():  # a collision: those words by the library
+            parts = np.split(ids, stop[:-1])
+            for i in np.flatnonzero(~same).tolist():
+                parts[i] = np.array(self.library.encode(whole[at[i] : at[i] + size[i]], add_special_tokens=False).ids, np.uint16)
+            ids, n = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return ids, np.bincount(text, weights=n, minlength=len(ends)).astype(np.int64)
+
+
+_HELD: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The process's own encoder: a worker that runs many tasks learns a word once."""
+    if path not in _HELD:
+        _HELD[path] = Tokens(path)
+    return _HELD[path]
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -258,6 +339,12 @@ def _batches(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _binary(flat: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Stretches of ``flat`` with n items each as a binary column, without a copy for each."""
+    at = np.concatenate([[0], np.cumsum(n)]) * flat.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
 # --- Spark -----------------------------------------------------------------------------------------
 
 
@@ -266,14 +353,14 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = Tokens(path), np.zeros(1 << 16, np.int64)
+        tokens, counts = tokens_of(path), np.zeros(1 << 16, np.int64)
         names = ["kind", "doc_id", "n", "ids"]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for i, j in _batches([len(t) for t in texts], 1_500_000):
-                ids = tokens.encode(texts[i:j])
-                counts += np.bincount(np.concatenate(ids), minlength=len(counts))
-                cols = [pa.array([0] * (j - i), pa.int32()), batch.column(0).slice(i, j - i), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())]
+                ids, n = tokens.encode(texts[i:j])
+                counts += np.bincount(ids, minlength=len(counts))
+                cols = [pa.array([0] * (j - i), pa.int32()), batch.column(0).slice(i, j - i), pa.array(n), _binary(ids.astype("<u2"), n)]
                 yield pa.RecordBatch.from_arrays(cols, names)
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([None], pa.int64()), pa.array([int(counts.sum())]), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names)
@@ -283,26 +370,31 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def shared_table(encoded: DataFrame) -> np.ndarray:
-    """The frequencies of all ids: tables of 65,536 counts, added up in a few steps on the executors."""
+    """The frequencies of all ids: one row of counts a task, summed as (id, count) rows; 65,536 rows at most."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.frombuffer(x, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["ids"])
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), "<i8")
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    rows = encoded.filter("kind = 1").select("ids").mapInArrow(add, "ids binary").coalesce(8).mapInArrow(add, "ids binary").collect()  # 8 rows at most
-    return frequencies(sum((np.frombuffer(r.ids, "<i8") for r in rows), np.zeros(1 << 16, np.int64)))
+    rows = encoded.filter("kind = 1").select("ids").mapInArrow(each, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << 16, np.int64)
+    total[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+    return frequencies(total)
 
 
 def write_files(encoded: DataFrame, folder: str, freq: np.ndarray, ranges: int) -> DataFrame:
     """Codes and writes; the manifest: part, file, docs and ids, a row a file."""
     spark = encoded.sparkSession
     rows = encoded.filter("kind = 0").select("doc_id", "n", "ids")
-    # Ranges of about equal numbers of documents; their bounds are that many numbers, whatever the table.
+    # Ranges of about equal numbers of documents; their bounds are that many numbers.  A document without an
+    # id comes before all others, in a part of its own.
     marks = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(rows.select("doc_id").approxQuantile("doc_id", marks, 0.2 / ranges))) if marks else []
+    found = rows.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, marks)), F.lit(20 * ranges)).alias("b")).first().b if marks else None
+    bounds = np.array(sorted(set(found or [])), np.int64)
     held = spark.sparkContext.broadcast(freq)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,12 +403,13 @@ def write_files(encoded: DataFrame, folder: str, freq: np.ndarray, ranges: int)
             ids = [np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(2)]
             for i, j in _batches([len(x) for x in ids], 2_000_000):
                 some = ids[i:j]
-                part = np.searchsorted(np.array(bounds), batch.column(0).slice(i, j - i).fill_null(-(1 << 62)).to_numpy(), "left")
+                own = batch.column(0).slice(i, j - i)
+                part = np.where(own.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(bounds, own.fill_null(0).to_numpy(), "left"))
                 cols = [pa.array(part, pa.int32()), batch.column(0).slice(i, j - i), pa.array([len(x) for x in some], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in some], pa.int64()), pa.array(coder.encode(some), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "n", "crc", "block"])
 
     coded = rows.mapInArrow(code, "part int, doc_id long, n long, crc long, block binary")
-    dealt = coded.repartition(ranges, "part").sortWithinPartitions("part", "doc_id", "n", "crc")
+    dealt = coded.repartitionById(len(bounds) + 2, "part").sortWithinPartitions("part", "doc_id", "n", "crc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
@@ -411,7 +504,9 @@ def token_files(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, st
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(f"{base}/table.bin") as out:
         out.write(freq.astype("<u4").tobytes())
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A file holds some 64 million ids, so that no task grows with the table.
+    total = encoded.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_IDS))
     listed = f"{folder}/manifest"
     write_files(encoded, folder, freq, ranges).write.parquet(listed)
     where, at = opened(temp)
