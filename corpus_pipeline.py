@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.llm import decontaminate, jaccard_join, pieces, pii, toxicity
-from stackwright.llm.common import scratch, table
+from stackwright.llm.common import dropped, scratch, table
 
 # Near duplicates in the pipeline: five words and a similarity of 0.8.
 WORDS, NUM, DEN = 5, 80, 100
 
-#: The network and the sentence pieces have no SQL form; tests hold run() against a brute-force version.
+#: The network and the sentence pieces have no SQL form; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
@@ -61,11 +61,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each written to the shared folder and read again by the next; a stage's rows go with its last reader."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         path = scratch(spark, f"pipeline-{name}")
         out.write.option("compression", "zstd").parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        if last:
+            dropped(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
