@@ -37,16 +37,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import dropped, scratch, stored, table
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 U = np.uint64
 M1, M2, M3, M4 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 BLOCK = 300_000  # elements of a block of a cluster
+SETS = 2_000  # sets of a block of a cluster
+HELD = 3_000_000  # index rows held at once
+SALTS = 32
 FEW = 4  # elements below which a segment says little
 
 
@@ -198,32 +201,87 @@ def linked_groups(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray
     return root
 
 
-def _index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
-    """doc_id, n_shingles, digest and index rows, a row a document; copies in a task have no index rows."""
+def _batches(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """(row, set, digest) of the rows of a batch that have a doc_id and a set."""
+    for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+        if doc_id is not None and len(s := shingles(text.as_py(), words)):
+            yield i, s, hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n_shingles, digest and first: the smallest doc_id with that digest among the rows of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        none = np.zeros(0, np.uint64)
         for batch in batches:
-            n, digests, rows = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = batch.column(0).to_pylist()
+            n, digests, least = [0] * len(ids), [None] * len(ids), {}
+            for i, text in enumerate(batch.column(1)):
                 s = shingles(text.as_py(), words)
-                d = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) and doc_id is not None else None
-                n.append(len(s))
-                digests.append(d)
-                rows.append(none if d is None or d in seen else plan.signatures(s))
-                seen.add(d)
-            sizes = np.cumsum([0] + [len(r) for r in rows], dtype=np.int32)
-            flat = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "rows"])
+                n[i] = len(s)
+                if len(s) and ids[i] is not None:
+                    digests[i] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    least[digests[i]] = min(ids[i], least.get(digests[i], ids[i]))
+            first = [None if d is None else least[d] for d in digests]
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(first, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_shingles", "digest", "first"])
+
+    return _small(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, first long")
+
 
-    small = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return small.mapInArrow(run, "doc_id long, n_shingles long, digest binary, rows array<long>")
+def _small(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def met(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index rows and their holders, a row of the smallest holder only.
+
+    The other holders meet it under a row of their own pair, so that who meets whom stays the same and a
+    row that all documents share is held once.
+    """
+    by = np.lexsort((owner, rows))
+    rows, owner = rows[by], owner[by]
+    new = np.ones(len(rows), bool)
+    new[1:] = rows[1:] != rows[:-1]
+    least = owner[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    pair = np.unique(np.stack([owner[~new], least[~new]]), axis=1)
+    pair = pair[:, pair[0] != pair[1]]
+    own = _mix(_mix(pair[0].astype(np.uint64) + M1) + pair[1].astype(np.uint64))
+    return np.concatenate([rows[new], own, own]), np.concatenate([owner[new], pair[0], pair[1]])
+
+
+def _index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
+    """(row, doc_id): index rows and holders.  Of copies in a batch one has rows, of a row's holders one has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            held: dict[bytes, int] = {}
+            rows, owners, n = [], [], 0
+
+            def out() -> pa.RecordBatch:
+                row, owner = met(np.concatenate(rows), np.concatenate(owners))
+                return pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), pa.array(owner)], ["row", "doc_id"])
+
+            for i, s, digest in _batches(batch, words):
+                if digest in held:  # a copy here: it meets the first one, and its other sets meet theirs
+                    r = np.zeros(0, np.uint64)
+                else:
+                    held[digest] = ids[i]
+                    r = plan.signatures(s)
+                rows.append(r)
+                owners.append(np.full(len(r), ids[i], np.int64))
+                n += len(r)
+                if n > HELD:
+                    yield out()
+                    rows, owners, n = [], [], 0
+            if n:
+                yield out()
+
+    return _small(docs).mapInArrow(run, "row long, doc_id long")
 
 
 def _verified(docs: DataFrame, blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(a, b): links as a forest, from ``blocks`` (node, cluster, pair, side) and the texts."""
+    """(a, b): links as a forest, from ``blocks`` (node, cluster, low, high, side) and the texts."""
 
     def run(group: pa.Table) -> pa.Table:
         nodes, side = group.column("node").to_numpy(), group.column("side").to_numpy()
@@ -233,45 +291,56 @@ def _verified(docs: DataFrame, blocks: DataFrame, words: int, num: int, den: int
         other = root != np.arange(len(root))
         return pa.table({"a": nodes[other], "b": nodes[root[other]]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).filter("node is not null")
+    texts = _small(docs).filter("doc_id is not null").withColumnRenamed("doc_id", "node")
     # Always a sort-merge join: the plan, and with it the disk it needs, is then the same at every size.
-    joined = blocks.hint("merge").join(texts.hint("merge"), "node").select("cluster", "pair", "node", "side", "text")
-    return joined.groupBy("cluster", "pair").applyInArrow(run, "a long, b long")
+    joined = blocks.hint("merge").join(texts.hint("merge"), "node").select("cluster", "low", "high", "node", "side", "text")
+    return joined.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``; sets link at a similarity of num/den."""
+    spark, made = docs.sparkSession, []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        made.append(scratch(spark, what))
+        return stored(df, what, made[-1])
+
     plan = Plan(num, den, docs.count())
-    index = stored(_index(docs, words, plan), "jaccard-index")
-    # Exact copies: the smallest doc_id of each digest stands for it.
-    known = index.filter("digest is not null")
-    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = stored(known.select("doc_id", "n_shingles", "digest").join(firsts, "digest").select("doc_id", "n_shingles", "rep"), "jaccard-reps")
-    # Sets that share an index row: each with the smallest one.
-    rows = index.select("doc_id", F.explode("rows").alias("row"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("row")
-    star = rows.withColumn("least", F.min("doc_id").over(w)).filter("doc_id <> least").select("doc_id", "least").distinct()
-    names = reps.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    star = star.join(names, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("doc_id")).join(names, "doc_id").select("a", F.col("rep").alias("b"))
-    found = components(star, "a", "b")
+    sets = kept(_sets(docs, words), "jaccard-sets")
+    # Exact copies: the smallest doc_id of each digest stands for it.  A batch sends one row a digest, so
+    # that a group of copies of any size is a few rows here.
+    known = sets.filter("digest is not null")
+    firsts = known.select("digest", "first").distinct()
+    least = firsts.groupBy("digest").agg(F.min("first").alias("rep"))
+    named = firsts.join(least, "digest")
+    reps = kept(known.join(named, ["first", "digest"]).select("doc_id", "n_shingles", "rep"), "jaccard-reps")
+    # Sets that share an index row, each with the one before it: a window without a buffer.
+    w = Window.partitionBy("row").orderBy("doc_id")
+    chain = _index(docs, words, plan).withColumn("last", F.lag("doc_id").over(w)).filter("doc_id <> last").select("doc_id", "last").distinct()
+    # A copy goes by its representative, unless its doc_id has other texts too: then it stands for them all.
+    per = reps.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    copies = kept(per.filter("lo = hi and lo <> doc_id").select("doc_id", F.col("lo").alias("rep")), "jaccard-copies")
+    by_rep = lambda df, c, out: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(out, F.coalesce("rep", c)).drop("rep", c)
+    found = components(by_rep(by_rep(chain, "doc_id", "a"), "last", "b"), "a", "b")
     # Every cluster into blocks, every pair of its blocks into one group.
-    sizes = reps.filter("doc_id = rep").groupBy("rep").agg(F.max("n_shingles").alias("n")).withColumnRenamed("rep", "node")
-    members = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(sizes, "node")
-    members = stored(members, "jaccard-members")
-    total = members.groupBy("component").agg(F.sum("n").alias("total"))
-    cut = members.join(total, "component").withColumn("cuts", F.ceil(F.col("total") / BLOCK).cast("int"))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cuts").cast("long")).cast("int"))
-    pair = lambda i, j: F.least(i, j) * 100_000 + F.greatest(i, j)
-    each = cut.select("node", F.col("component").alias("cluster"), "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("with"))
-    blocks = each.select("node", "cluster", pair(F.col("block").cast("long"), F.col("with").cast("long")).alias("pair"), (F.col("block") > F.col("with")).cast("int").alias("side"))
+    sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).withColumnRenamed("doc_id", "node")
+    salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    members = kept(salted(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(sizes, "node")), "jaccard-members")
+    total = members.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("sets"))
+    cuts = F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("sets") / SETS)).cast("long")
+    total = total.select("component", cuts.alias("cuts"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    cut = members.join(total, ["component", "salt"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("cuts")))
+    each = cut.select("node", F.col("component").alias("cluster"), "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("with"))
+    blocks = each.select("node", "cluster", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), (F.col("block") > F.col("with")).cast("int").alias("side"))
     links = _verified(docs, blocks, words, num, den)
-    # Rows of one doc_id with different texts belong together too.
-    twins = reps.join(names.withColumnRenamed("rep", "one"), "doc_id").filter("rep <> one").select(F.col("rep").alias("a"), F.col("one").alias("b"))
+    # A doc_id with several texts belongs to each one's group.
+    twins = reps.join(per.filter("lo <> hi").select("doc_id"), "doc_id", "left_semi").filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     joined = components(links.unionByName(twins), "a", "b")
     done = reps.join(joined, reps["rep"] == joined["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    return done.unionByName(index.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    done = stored(done.unionByName(sets.filter("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "jaccard-result")
+    for path in made:
+        dropped(spark, path)
+    return done
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
