@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,6 +56,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that no frame refers to any more, before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: its lineage ends there."""
     path = path or scratch(df.sparkSession, what)

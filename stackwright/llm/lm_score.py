@@ -14,13 +14,14 @@ these for words with n - 1 others before them in the document, and 0.4 times the
 
 Logarithms (base 10) are summed per document.
 
-The joins go by hash of the n-gram, with rows packed: a batch of documents sends each of its distinct
-n-grams once, with its count there, to the n-gram's bucket; the bucket's count table adds the batches up and
-sends the totals back, in the order asked for; the batch's documents are then scored and summed.  A word or
-pair that is everywhere is one entry a batch, so no bucket is hot; the number of buckets grows with the
-words of the corpus.  Batches are written to files in the shared folder first, named only by the rows of the
-attempt that wrote them, and read back by range: only n-grams and totals are shuffled, packed to six bytes
-a hash (the top two are a table of counts, as hashes go in order).
+Counts are rows of DataFrames: a batch of documents is exploded into a row for each distinct n-gram (hash, batch,
+count there), the rows are dealt by hash, summed to count tables, and joined back to the tables; a batch gets the
+totals of those of its n-grams that other batches hold too.  Any other total is the batch's own count.  An n-gram of
+three words or more can stand in another batch only if the two shorter ones that it ends and begins with do, so
+that only such are exploded: that drops no count.  An n-gram that is everywhere is a row a batch, so no key is hot,
+and a batch sends a row to those parts only that it has n-grams for.  The batch's documents are then scored and
+summed.  Batches are written to files in the shared folder first, named only by the rows of the attempt that wrote
+them, and read back by range.
 
 Defined results
 ---------------
@@ -41,17 +42,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import opened, scratch, stored, table
+from .common import opened, released, scratch, stored, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BACKOFF = 0.4
-ORDER = 2  # of op6_stupid_backoff and its SQL
-BATCH_CHARS = 6_000_000
-BUCKET_WORDS = 2_000_000
+ORDER = 3
+BATCH_CHARS = 10_000_000
+PART_ROWS = 4_000_000
 U = np.uint64
-BATCH = "batch string, words long, file string, at long, parts array<long>"
+BATCH = "batch long, words long, file string, at long, parts array<long>"
+ASKED = "gram long, batch long, n long"
 RESULT = "doc_id long, n_words long, log_score double, mean_log double"
-NULL = -(1 << 63)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -84,9 +85,11 @@ def _batches(docs: DataFrame, folder: str) -> DataFrame:
             words = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in ((t or "").encode().translate(LOWER).split() for t in texts)]
             sizes = np.array([len(w) for w in words], np.uint32)
             distinct, places = np.unique(np.concatenate(words), return_inverse=True)
-            ids = np.array([NULL if i is None else i for i in ids], np.int64)
-            blobs = [press.compress(x.tobytes()) for x in (ids, sizes, distinct, places.astype(np.uint32))]
-            row = pa.RecordBatch.from_arrays([pa.array([f"{name}-{at}"]), pa.array([int(sizes.sum())]), pa.array([name]), pa.array([at]), pa.array([[len(b) for b in blobs]], pa.list_(pa.int64()))], ["batch", "words", "file", "at", "parts"])
+            null = np.array([i is None for i in ids], np.uint8)
+            ids = np.array([i or 0 for i in ids], np.int64)
+            blobs = [press.compress(x.tobytes()) for x in (ids, null, sizes, distinct, places.astype(np.uint32))]
+            number = xxhash.xxh3_64_intdigest(f"{name}-{at}") >> 1
+            row = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([int(sizes.sum())]), pa.array([name]), pa.array([at]), pa.array([[len(b) for b in blobs]], pa.list_(pa.int64()))], ["batch", "words", "file", "at", "parts"])
             for b in blobs:
                 out.write(b)
                 at += len(b)
@@ -110,70 +113,69 @@ def _batches(docs: DataFrame, folder: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BATCH)
 
 
-def pack(keys: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted hashes as counts by their top 16 bits (from the first to the last in use) and the low 48."""
-    if not len(keys):
-        return b"", b""
-    top = (keys >> U(48)).astype(np.int64)
-    counts = np.bincount(top - top[0]).astype(np.uint32)
-    return np.append(np.uint32(top[0]), counts).astype(np.uint32).tobytes(), keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack(counts: bytes, low: bytes) -> np.ndarray:
-    if not low:
-        return np.zeros(0, np.uint64)
-    n = np.frombuffer(counts, np.uint32).astype(np.int64)
-    raw = np.zeros((len(low) // 6, 8), np.uint8)
-    raw[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
-    return raw.reshape(-1).view("<u8") | np.repeat(n[0] + np.arange(len(n) - 1), n[1:]).astype(np.uint64) << U(48)
-
-
 class Batch:
-    """A batch's documents, its words' places, and its distinct n-grams: words first, then pairs and so on."""
+    """A batch's documents, its words' places, and its distinct n-grams by length."""
 
     def __init__(self, folder: str, row: dict, order: int = ORDER) -> None:
         fs, base = opened(folder)
         with fs.open_input_file(f"{base}/{row['file']}") as file:
             file.seek(row["at"])
             blobs = [zstandard.decompress(file.read(n)) for n in row["parts"]]
+        self.batch = row["batch"]
         self.ids = np.frombuffer(blobs[0], np.int64)
-        self.sizes = np.frombuffer(blobs[1], np.uint32).astype(np.int64)
-        self.words = np.frombuffer(blobs[2], np.uint64)
-        self.places = np.frombuffer(blobs[3], np.uint32).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(self.ids)), self.sizes)
-        h = self.words[self.places]
-        start = np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        nth = np.arange(len(h)) - start
-        self.grams = []  # a length each, from 2: the last words' positions, distinct hashes and places
+        self.null = np.frombuffer(blobs[1], np.uint8) > 0
+        self.sizes = np.frombuffer(blobs[2], np.uint32).astype(np.int64)
+        words, places = np.frombuffer(blobs[3], np.uint64), np.frombuffer(blobs[4], np.uint32)
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
+        h = words[places]
+        nth = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        # By length: the positions of last words, distinct keys, and the key of each position.
+        self.grams = [(np.arange(len(h)), _mix(words ^ U(0x5851F42D4C957F2D)), places)]
         gram = h
         for n in range(2, order + 1):
             after = np.flatnonzero(nth >= n - 1)
             whole = np.zeros(len(h), np.uint64)
             whole[after] = _mix(_mix(gram[after - 1] + U(n - 1)) + h[after])
-            self.grams.append((after, *np.unique(whole[after], return_inverse=True)))
+            keys, at = np.unique(whole[after], return_inverse=True)
+            self.grams.append((after, keys, at.astype(np.uint32)))
             gram = whole
 
-    def asked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all distinct n-grams and their counts here."""
-        keys = np.concatenate([_mix(self.words ^ U(0x5851F42D4C957F2D)), *(k for _, k, _ in self.grams)])
-        counts = np.concatenate([np.bincount(self.places, minlength=len(self.words)), *(np.bincount(p, minlength=len(k)) for _, k, p in self.grams)])
-        return keys, counts
-
-    def scores(self, totals: np.ndarray, corpus: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words and summed logarithms of each document; totals in the order of ``asked``."""
-        n = len(self.words)
-
-        def others(kind: np.ndarray, doc: np.ndarray, total: np.ndarray, most: int) -> np.ndarray:
-            key, back, own = np.unique(doc * max(1, most) + kind, return_inverse=True, return_counts=True)
-            return total[kind] - own[back]
-
-        one = others(self.places, self.doc, totals[:n], n)
+    def rows(self, length: int, shared: np.ndarray | None = None) -> pa.Table:
+        """Rows of the n-grams of a length; with ``shared``, the sorted shorter ones that other batches hold,
+        only of those whose beginning and end are among them."""
+        after, keys, at = self.grams[length - 1]
+        counts = np.bincount(at, minlength=len(keys))
+        if shared is not None:
+            before, shorter, which = self.grams[length - 2]
+            place = np.minimum(np.searchsorted(shared, shorter), max(0, len(shared) - 1))
+            good = shared[place] == shorter if len(shared) else np.zeros(len(shorter), bool)
+            whole = np.zeros(len(self.doc), bool)
+            whole[before] = good[which]
+            keep = np.zeros(len(keys), bool)
+            keep[at[whole[after] & whole[after - 1]]] = True
+            keys, counts = keys[keep], counts[keep]
+        return pa.table({"gram": keys.view(np.int64), "batch": np.full(len(keys), self.batch), "n": counts})
+
+    def scores(self, grams: np.ndarray, totals: np.ndarray, corpus: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words and summed logarithms of each document; totals of the n-grams that other batches hold."""
+        by = np.argsort(grams)
+        grams, totals = grams[by], totals[by]
+
+        def others(keys: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+            """At each position the n-gram's count in all other documents."""
+            total = np.bincount(at, minlength=len(keys))
+            if len(grams):
+                place = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+                total = np.where(grams[place] == keys, totals[place], total)
+            _, back, own = np.unique(doc * np.int64(max(1, len(keys))) + at, return_inverse=True, return_counts=True)
+            return total[at] - own[back]
+
+        one = others(self.grams[0][1], self.grams[0][2], self.doc)
         rest = (corpus - self.sizes)[self.doc].astype(np.float64)
         log = np.where(one > 0, np.log10(np.maximum(one, 1)) - np.log10(np.maximum(rest, 1)), np.log10(BACKOFF) - np.log10(rest + 1))
         shorter = one
-        for after, keys, places in self.grams:
-            found = others(places, self.doc[after], totals[n : n + len(keys)], len(keys))
-            n += len(keys)
+        for after, keys, at in self.grams[1:]:
+            found = others(keys, at, self.doc[after])
             seen = np.log10(np.maximum(found, 1)) - np.log10(np.maximum(shorter[after - 1], 1))
             log[after] = np.where(found > 0, seen, log[after] + np.log10(BACKOFF))
             shorter = np.zeros(len(self.doc), np.int64)
@@ -181,82 +183,85 @@ class Batch:
         return self.sizes, np.bincount(self.doc, weights=log, minlength=len(self.ids))
 
 
+def shared_counts(asked: DataFrame, parts: int) -> DataFrame:
+    """(batch, gram, total) of the n-grams that more than one batch holds, from rows (gram, batch, n).
+
+    Rows are dealt by n-gram once; the count table and its join use that partitioning.
+    """
+    dealt = asked.repartition(parts, "gram")
+    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("holders")).filter("holders > 1").select("gram", "total")
+    return dealt.hint("merge").join(counts.hint("merge"), "gram").select("batch", "gram", "total")
+
+
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, n_words, log_score and mean_log for each row of ``docs``, by contexts of up to order - 1 words."""
-    folder = scratch(docs.sparkSession, "lm-batches")
+    spark = docs.sparkSession
+    folder = scratch(spark, "lm-batches")
     held = stored(_batches(docs, folder), "lm-index")
-    corpus = held.agg(F.sum("words")).first()[0] or 0
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, corpus * order // (2 * BUCKET_WORDS) + 1)
+    corpus, batches = held.agg(F.sum("words"), F.count("*")).first()
+    corpus = corpus or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, corpus // PART_ROWS + 1)
 
-    def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order of the hashes and where each bucket, a range of them, ends."""
-        sort = np.argsort(keys, kind="stable")
-        bucket = ((keys[sort] >> U(44)) * U(buckets) >> U(20)).astype(np.int64)
-        return sort, np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in rows:
+            for row in some.to_pylist():
+                b = Batch(folder, row, min(order, 2))
+                for n in range(1, min(order, 2) + 1):
+                    yield from b.rows(n).to_batches(200_000)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = Batch(folder, row, order).asked()
-                sort, cuts = ordered(keys)
-                keys, counts = keys[sort], counts[sort].astype(np.uint32)
-                packs = [pack(keys[a:b]) for a, b in zip(cuts, cuts[1:])]
-                cols = [pa.array(np.arange(buckets)), pa.array([row["batch"]] * buckets), pa.array([p[0] for p in packs], pa.binary()), pa.array([p[1] for p in packs], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
-                out = pa.RecordBatch.from_arrays(cols, ["bucket", "batch", "tops", "lows", "counts"])
-                for s in range(0, buckets, 64):
-                    yield out.slice(s, 64)
-
-    def answer(group: pa.Table) -> pa.Table:
-        keys = [unpack(a, b) for a, b in zip(group.column("tops").to_pylist(), group.column("lows").to_pylist())]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("counts").to_pylist()]).astype(np.int64)
-        distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(at, weights=counts, minlength=len(distinct))[at].astype(np.int64)
-        small = totals.astype(np.uint32) if not len(totals) or totals.max() < 1 << 32 else totals
-        parts = np.split(small, np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"batch": group.column("batch"), "bucket": group.column("bucket"), "wide": pa.array([small.itemsize] * len(keys), pa.int32()), "totals": pa.array([p.tobytes() for p in parts], pa.binary())})
+    def ask_longer(length: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            shared = np.sort(right.column("gram").to_numpy().view(U))
+            return pa.concat_tables([pa.table({"gram": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), *(Batch(folder, row, length).rows(length, shared) for row in left.to_pylist())])
+
+        return run
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, words, logs = [], [], []
+        ids, null, words, logs = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for row in left.to_pylist():
             b = Batch(folder, row, order)
-            keys, _ = b.asked()
-            back = sorted(right.select(["bucket", "wide", "totals"]).to_pylist(), key=lambda r: r["bucket"])
-            totals = np.empty(len(keys), np.int64)
-            totals[ordered(keys)[0]] = np.concatenate([np.frombuffer(r["totals"], np.uint32 if r["wide"] == 4 else np.int64).astype(np.int64) for r in back])
-            n, log = b.scores(totals, corpus)
-            ids.append(b.ids)
-            words.append(n)
-            logs.append(log)
-        ids, words, logs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, words, logs))
+            n, log = b.scores(right.column("gram").to_numpy().view(U), right.column("total").to_numpy(), corpus)
+            for x, y in ((ids, b.ids), (null, b.null), (words, n), (logs, log)):
+                x.append(y)
+        ids, null, words, logs = map(np.concatenate, (ids, null, words, logs))
         mean = np.round(logs / np.maximum(words, 1), 6)
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=ids == NULL), "n_words": pa.array(words, pa.int64()), "log_score": pa.array(np.round(logs, 4), pa.float64()), "mean_log": pa.array(mean, pa.float64(), mask=words == 0)})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array(words, pa.int64()), "log_score": pa.array(np.round(logs, 4), pa.float64()), "mean_log": pa.array(mean, pa.float64(), mask=words == 0)})
 
-    asked = held.repartition(parts, "batch").mapInArrow(ask, "bucket long, batch string, tops binary, lows binary, counts binary")
-    back = asked.groupBy("bucket").applyInArrow(answer, "batch string, bucket long, wide int, totals binary")
-    return held.groupBy("batch").cogroup(back.groupBy("batch")).applyInArrow(finish, RESULT)
+    spread = held.repartition(max(least, batches or 1), "batch")
+    answers = [stored(shared_counts(spread.mapInArrow(ask, ASKED), parts), "lm-counts")]
+    for length in range(3, order + 1):
+        released(spark)
+        longer = spread.groupBy("batch").cogroup(answers[-1].groupBy("batch")).applyInArrow(ask_longer(length), ASKED)
+        answers.append(stored(shared_counts(longer, parts), "lm-counts"))
+    released(spark)
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.unionByName(more)
+    return spread.groupBy("batch").cogroup(every.groupBy("batch")).applyInArrow(finish, RESULT)
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
-def op6_trigram_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"), 3)
-
-
+# Order 3; u, v, w are the words before and the word itself, each count less the document's own.
 ORACLE = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n FROM d),
-p AS (SELECT r, i, n, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM t),
+p AS (SELECT r, i, n, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS u FROM t),
 n_all AS (SELECT count(*) AS n FROM t),
-u AS (SELECT w, count(*) AS c FROM t GROUP BY w), ud AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
+a AS (SELECT w, count(*) AS c FROM t GROUP BY w), ad AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
 b AS (SELECT v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY v, w), bd AS (SELECT r, v, w, count(*) AS c FROM p WHERE v IS NOT NULL GROUP BY r, v, w),
-x AS (SELECT p.r, p.n, p.v, u.c - ud.c AS cw, uv.c - udv.c AS cv, b.c - bd.c AS cvw, (SELECT n FROM n_all) - p.n AS rest
-      FROM p JOIN u ON u.w = p.w JOIN ud ON ud.r = p.r AND ud.w = p.w LEFT JOIN u uv ON uv.w = p.v LEFT JOIN ud udv ON udv.r = p.r AND udv.w = p.v
-      LEFT JOIN b ON b.v = p.v AND b.w = p.w LEFT JOIN bd ON bd.r = p.r AND bd.v = p.v AND bd.w = p.w),
-l AS (SELECT r, CASE WHEN v IS NOT NULL AND cvw > 0 THEN log10(cvw) - log10(cv)
-      ELSE CASE WHEN v IS NULL THEN 0 ELSE log10({BACKOFF}) END + CASE WHEN cw > 0 THEN log10(cw) - log10(greatest(rest, 1)) ELSE log10({BACKOFF}) - log10(rest + 1) END END AS g FROM x),
+e AS (SELECT u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY u, v, w), ed AS (SELECT r, u, v, w, count(*) AS c FROM p WHERE u IS NOT NULL GROUP BY r, u, v, w),
+x AS (SELECT p.r, p.n, p.u, p.v, a.c - ad.c AS cw, av.c - avd.c AS cv, b.c - bd.c AS cvw, bu.c - bud.c AS cuv, e.c - ed.c AS cuvw, (SELECT n FROM n_all) - p.n AS rest
+      FROM p JOIN a ON a.w = p.w JOIN ad ON ad.r = p.r AND ad.w = p.w LEFT JOIN a av ON av.w = p.v LEFT JOIN ad avd ON avd.r = p.r AND avd.w = p.v
+      LEFT JOIN b ON b.v = p.v AND b.w = p.w LEFT JOIN bd ON bd.r = p.r AND bd.v = p.v AND bd.w = p.w
+      LEFT JOIN b bu ON bu.v = p.u AND bu.w = p.v LEFT JOIN bd bud ON bud.r = p.r AND bud.v = p.u AND bud.w = p.v
+      LEFT JOIN e ON e.u = p.u AND e.v = p.v AND e.w = p.w LEFT JOIN ed ON ed.r = p.r AND ed.u = p.u AND ed.v = p.v AND ed.w = p.w),
+l AS (SELECT r, CASE WHEN u IS NOT NULL AND cuvw > 0 THEN log10(cuvw) - log10(cuv)
+      ELSE CASE WHEN u IS NULL THEN 0 ELSE log10({BACKOFF}) END + CASE WHEN v IS NOT NULL AND cvw > 0 THEN log10(cvw) - log10(cv)
+      ELSE CASE WHEN v IS NULL THEN 0 ELSE log10({BACKOFF}) END + CASE WHEN cw > 0 THEN log10(cw) - log10(greatest(rest, 1)) ELSE log10({BACKOFF}) - log10(rest + 1) END END END AS g FROM x),
 s AS (SELECT r, sum(g) AS g FROM l GROUP BY r)
 SELECT doc_id, len(ws)::BIGINT AS n_words, round(coalesce(g, 0), 4) AS log_score, CASE WHEN len(ws) > 0 THEN round(g / len(ws), 6) END AS mean_log FROM d LEFT JOIN s USING (r)
 """

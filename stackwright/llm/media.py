@@ -4,7 +4,8 @@
 tar shard in the shared folder and returns one index row per document: digest, shard, offset and length.
 Within a shard a payload is stored once, under its SHA-256, whatever the number of rows that hold it.
 ``header_columns`` fills metadata columns from the tar header and the PNG header alone, by range reads of
-545 bytes.  ``read_payloads`` reads whole members, checks them against their digest and computes features.
+545 bytes.  ``read_payloads`` reads whole members, checks them against their digest and header columns, and
+computes features.  Both run over the same dealing of the index, one after the other.
 
 No row is shuffled on the way to the shards, so the payloads are written once and cross no network.
 
@@ -141,12 +142,16 @@ def write_shards(docs: DataFrame, folder: str, shard_bytes: int = 256 << 20) ->
     return small.mapInArrow(write, INDEX)
 
 
-def _each_member(index: DataFrame, folder: str, length, what, schema: str) -> DataFrame:
-    """Rows of ``what(row, bytes)`` for every index row; a task reads a stretch of a shard in order."""
+def by_place(index: DataFrame) -> DataFrame:
+    """Index rows dealt so that a task reads a stretch of a shard in order; rows that share a payload stand together."""
     stretch = F.floor(F.col("offset") / (4 << 20))
     n = index.sparkSession.sparkContext.defaultParallelism
     n = max(n, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = index.repartition(n, "shard", stretch).sortWithinPartitions("shard", "offset")
+    return index.repartition(n, "shard", stretch).sortWithinPartitions("shard", "offset")
+
+
+def _each_member(index: DataFrame, folder: str, length, what, schema: str) -> DataFrame:
+    """Rows of ``what(row, bytes)`` for every index row, in the order of the rows."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
@@ -159,7 +164,7 @@ def _each_member(index: DataFrame, folder: str, length, what, schema: str) -> Da
                         file.close()
                     name, last = row["shard"], None
                     file = fs.open_input_file(f"{base}/{name}")
-                if row["offset"] != last:  # rows that share a payload stand together
+                if row["offset"] != last:
                     file.seek(row["offset"])
                     last, found = row["offset"], what(row, file.read(length(row)))
                 rows.append({**row, **found})
@@ -169,11 +174,11 @@ def _each_member(index: DataFrame, folder: str, length, what, schema: str) -> Da
         if file is not None:
             file.close()
 
-    return dealt.mapInArrow(read, schema)
+    return index.mapInArrow(read, schema)
 
 
 def header_columns(index: DataFrame, folder: str) -> DataFrame:
-    """The index with media_bytes, width, height and payload_bytes, from the headers alone."""
+    """The index with media_bytes, width, height and payload_bytes, by range reads of the headers alone."""
 
     def what(row: dict, head: bytes) -> dict:
         size, width, height = parse_head(head)
@@ -182,19 +187,18 @@ def header_columns(index: DataFrame, folder: str) -> DataFrame:
     return _each_member(index, folder, lambda row: HEAD, what, HEADERS)
 
 
-def read_payloads(index: DataFrame, folder: str) -> DataFrame:
-    """Each document's payload, read back and checked, as digests and features."""
+def read_payloads(headed: DataFrame, folder: str) -> DataFrame:
+    """Each document's payload, read back and checked against digest and header columns, as digests and features."""
 
     def what(row: dict, member: bytes) -> dict:
-        size, width, height = parse_head(member)
         media = member[512:]
         payload = from_png(media)
         digest = hashlib.sha256(payload).hexdigest()
-        if digest != row["digest"] or size != len(media) or width * height != len(payload):
+        if digest != row["digest"] or row["media_bytes"] != len(media) or row["payload_bytes"] != len(payload):
             raise ValueError(f"{row['shard']} at {row['offset']}: the payload is not {row['digest']}")
-        return {"payload_bytes": width * height, "payload_sha256": digest, "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_bytes": size, "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(payload)}
+        return {"payload_sha256": digest, "tail_crc32": zlib.crc32(payload[-UNIT:]), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature_of(payload)}
 
-    return _each_member(index, folder, lambda row: row["length"], what, READ)
+    return _each_member(headed, folder, lambda row: row["length"], what, READ)
 
 
 def media_columns(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -204,4 +208,5 @@ def media_columns(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def op10_media_tar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_payloads(*media_columns(table(spark, sf_dir, "documents")))
+    index, folder = media_columns(table(spark, sf_dir, "documents"))
+    return read_payloads(header_columns(by_place(index), folder), folder)

@@ -74,8 +74,9 @@ class PieceTable:
         merges = sorted((i for i in words if len(names[i]) > 1), key=lambda i: -model.get_score(i))
         rank = {names[i]: k for k, i in enumerate(merges)}
         merges = [i for i in merges if len(_merged(list(names[i]), rank)) == 1]  # the others never arise
-        order = chars + merges
+        order, set_ = chars + merges, set(merges)
         self.ids = np.array(order, np.int32)
+        self.score = np.array([float(model.get_score(i)) if i in set_ else 0.0 for i in order])
         at = {names[i]: k for k, i in enumerate(order)}
         self.known = frozenset(names[i] for i in chars)
         self.longest = max(len(names[i]) for i in order)
@@ -225,27 +226,22 @@ class Encoder:
         for j in range(size):
             prefix[j + 1] = prefix[j] * BASE + codes[j]
         last, back = np.full((size + 1, count), START, np.int64), np.zeros((size + 1, count), np.int8)
+        best = np.full((size + 1, count), -np.inf)
+        best[0] = 0
         for j in range(1, size + 1):
-            todo = np.arange(count)
             for k in range(min(p.longest, j), 0, -1):
-                h = prefix[j, todo] - prefix[j - k, todo] * power[k]
-                hit, piece = p.find(h)
-                if not len(hit):
+                h = prefix[j] - prefix[j - k] * power[k]
+                row, piece = p.find(h)
+                if not len(row):
                     continue
-                row = todo[hit]
-                before = last[j - k, row]
-                ok = before == START if j > k else np.ones(len(hit), bool)
+                score = best[j - k, row] + p.score[piece]
                 if j > k:
-                    ok = self._fits(before, piece)
-                row = row[ok]
-                last[j, row], back[j, row] = piece[ok], k
-                keep = np.ones(len(todo), bool)
-                keep[hit[ok]] = False
-                todo = todo[keep]
-                if not len(todo):
-                    break
-            if len(todo):
-                raise ValueError("a prefix without a last piece")
+                    score[~self._fits(last[j - k, row], piece)] = -np.inf
+                better = score > best[j, row]
+                row = row[better]
+                best[j, row], last[j, row], back[j, row] = score[better], piece[better], k
+        if (best[size] == -np.inf).any():
+            raise ValueError("a word without a path")
         return last, back
 
     def _learn(self, fragments: list[str]) -> None:
@@ -319,10 +315,24 @@ class Encoder:
         return [self._runs(x) if SPACE * 2 in m else x for x, m in zip(found, marked)]
 
 
-def decode(ids: np.ndarray, pieces: PieceTable) -> str:
-    """The text of some ids: the pieces' bytes joined, less the space mark at the front."""
-    raw = b"".join(map(pieces.raw.__getitem__, ids.tolist()))
-    return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
+class Decoder:
+    """Texts of many id arrays at once: the pieces' bytes are gathered from one flat array."""
+
+    def __init__(self, pieces: PieceTable) -> None:
+        self.n = np.array([len(x) for x in pieces.raw], np.int64)
+        self.at = np.cumsum(self.n) - self.n
+        self.flat = np.frombuffer(b"".join(pieces.raw), np.uint8)
+
+    def decode(self, found: list[np.ndarray]) -> list[str]:
+        """Each text: the pieces' bytes joined, less the space mark at the front."""
+        if not found:
+            return []
+        ids = np.concatenate(found).astype(np.int64)
+        n, ends = self.n[ids], np.cumsum([len(x) for x in found])
+        stop = np.concatenate([[0], np.cumsum(n)])
+        raw = self.flat[np.arange(int(stop[-1])) + np.repeat(self.at[ids] - stop[:-1], n)].tobytes()
+        cuts = [0, *stop[ends].tolist()]
+        return [raw[a + (raw[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, chars: int = 2_000_000) -> DataFrame:
@@ -333,7 +343,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chars: int = 2_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
-        encoder = Encoder(p)
+        encoder, decoder = Encoder(p), Decoder(p)
         for batch in batches:
             doc_ids, texts, i = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
             while i < len(texts):
@@ -349,7 +359,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, chars: int = 2_00
                         pa.array([int(p.is_byte[x].sum()) for x in found], pa.int64()),
                         pa.array([x.astype("<u2").tobytes() for x in found], pa.binary()),
                         pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
-                        pa.array([decode(x, p) == t for x, t in zip(found, texts[i:j])], pa.bool_()),
+                        pa.array([x == t for x, t in zip(decoder.decode(found), texts[i:j])], pa.bool_()),
                     ],
                     [c.split()[0] for c in SCHEMA.split(", ")],
                 )
@@ -363,8 +373,9 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     held = encoded.sparkSession.sparkContext.broadcast(PieceTable(path or model_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(held.value)
         for batch in batches:
-            texts = [decode(np.frombuffer(x or b"", "<u2"), held.value) for x in batch.column(1).to_pylist()]
+            texts = decoder.decode([np.frombuffer(x or b"", "<u2") for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")

@@ -11,7 +11,6 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_rans_tokens": token_files.op5_rans_tokens,
     "op6_stupid_backoff": lm_score.op6_stupid_backoff,
-    "op6_trigram_backoff": lm_score.op6_trigram_backoff,
     "op7_latent_decontamination": decontaminate.op7_latent_decontamination,
     "op8_pii": pii.op8_pii,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,

@@ -2,8 +2,8 @@
 
 Every text is searched for candidates.  Each candidate's SHA-256 is then counted over the whole corpus by
 distinct owners (by default the ``source`` column) and distinct repositories (by default ``source`` with
-``lang``).  A value that many owners hold is a copied example; one that a single owner holds and that
-looks random is a live-looking credential.  Candidates of the generic kind ``key`` become spans only if
+``lang``).  A value that three owners or more hold is a copied example; one that fewer hold and that looks
+random is a live-looking credential.  Candidates of the generic kind ``key`` become spans only if
 they are of that second sort; spans of the base kinds always stay.
 
 The text column is read once: the candidates of each row are written to the shared folder, and all counting
@@ -107,7 +107,7 @@ def scan(found: DataFrame) -> DataFrame:
     some = found.filter(has)
     each = some.select("row", F.explode(F.concat("base", "more")).alias("c")).select("row", "c.*")
     each = each.join(ownership(some), "hash")
-    live = F.col("live") & (F.col("owners") == 1)
+    live = F.col("live") & (F.col("owners") < COPIED_OWNERS)
     keep = (F.col("kind") != "key") | live
     span = F.struct("start", "kind_no", "kind", "stop")
     back = each.groupBy("row").agg(
@@ -144,7 +144,7 @@ def _sql() -> str:
              FROM spots WHERE length(v) >= CASE kind {least} END AND (kind <> 'key' OR (regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]')))),
     cands AS (SELECT * FROM good g WHERE kind <> 'key' OR NOT EXISTS (SELECT 1 FROM good b WHERE b.row = g.row AND b.kind <> 'key' AND b.start < g.stop AND g.start < b.stop)),
     owned AS (SELECT hash, count(DISTINCT coalesce(owner, chr(30))) AS owners FROM cands GROUP BY hash),
-    judged AS (SELECT c.*, o.owners, c.live AND o.owners = 1 AS alive FROM cands c JOIN owned o USING (hash)),
+    judged AS (SELECT c.*, o.owners, c.live AND o.owners < {COPIED_OWNERS} AS alive FROM cands c JOIN owned o USING (hash)),
     per AS (SELECT row, sum((kind = 'assign')::INT) AS a, sum((kind = 'access')::INT) AS b, sum((kind = 'hex')::INT) AS h,
             string_agg(CASE WHEN kind <> 'key' THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, kind_no) AS base,
             string_agg(CASE WHEN kind <> 'key' OR alive THEN kind || ':' || start || ':' || stop END, ',' ORDER BY start, kind_no) AS spans,

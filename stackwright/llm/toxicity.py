@@ -1,12 +1,13 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word is the attention-pooled states of a bidirectional GRU over its characters, beside an embedding of
-the word if it is a frequent one.  A second bidirectional GRU with attention runs over windows of words that
-overlap by half; all windows of a text are scored, and the highest decides.  A one-dimensional logistic fit
+the word if it is a frequent one.  A second bidirectional GRU with attention runs over windows of 32 words, one
+from every eighth word; all windows of a text are scored, and the highest decides.  A one-dimensional logistic fit
 on the labelled documents' highest window scores turns that into a probability at the labels' own rates.
 
 Training: labels count only from rows whose crc32(doc_id as text) mod 4 is not 2.  The network is fitted
-on at most ``SAMPLE`` labelled documents of either class (in the order of a hash of their id); the rates of
+on at most ``SAMPLE`` labelled documents and ``SAMPLE_CHARS`` characters of either class (in the order of a hash
+of their id, a document that passes the second bound is left out); the rates of
 the classes are counted over all labelled rows.  Scoring is one narrow pass over all texts; characters of a
 distinct word are run once a batch.
 
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE = 1000
-WINDOW, STEP = 32, 16
+SAMPLE_CHARS = 12_000_000  # of the sampled documents of a class
+WINDOW, STEP = 32, 8
 H = 8  # states of a direction
 LONGEST = 20  # characters of a word; longer ones are cut into several
 THRESHOLD = 0.3
@@ -424,7 +426,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").toArrow().sort_by("doc_id")  # at most 2 x sample rows
+    # One row a doc_id (of several texts one by a hash), then rows in the order of the hash up to the bound:
+    # at most 2 x sample rows and 2 x SAMPLE_CHARS characters reach the driver.
+    each = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.xxhash64("text")).alias("text"))
+    sizes = each.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")]).to_pylist()
+    fits, held = [], {0: 0, 1: 0}
+    for r in sizes:
+        held[r["toxic"]] += r["n"]
+        if held[r["toxic"]] <= SAMPLE_CHARS:
+            fits.append(r["doc_id"])
+        else:
+            held[r["toxic"]] -= r["n"]
+    rows = (each if len(fits) == len(sizes) else each.filter(F.col("doc_id").isin(fits))).toArrow().sort_by("doc_id")
     net = Network()
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0

@@ -32,13 +32,14 @@ from .common import stored, table
 
 # The rules of the query, host and path with the verdict.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
-LONGEST = 20
+LONGEST = 64  # letters of a word; a longer run of letters is none
 PRIOR = 0.2  # share of URLs to block
 SMOOTH = 0.3
 # Parts of URLs that say nothing of their content.
 SILENT = frozenset("www m com net org edu gov info biz html php index".split())
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, words string, log_odds double"
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[^\W\d_]+")  # letters of any script
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 # The labelled table: URLs to block, then URLs to allow.
 BLOCK = """
@@ -66,7 +67,7 @@ def parts_of(url: str | None) -> tuple[str, str]:
         return "", ""
     rest = re.split(r"[?#]", url[at + 3 :], maxsplit=1)[0]
     host, slash, path = rest.partition("/")
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+    return host.translate(LOWER), slash + path
 
 
 def rule_of(host: str, path: str, rules: dict[str, list[tuple[str, str, str]]]) -> tuple[str | None, str | None]:

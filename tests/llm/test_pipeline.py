@@ -42,7 +42,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     table = pieces.PieceTable(pieces.model_path())
     import numpy as np
 
-    assert {r.doc_id: pieces.decode(np.frombuffer(r.ids, "<u2"), table) for r in ids} == {r.doc_id: r.text for r in planted.collect()}
+    assert {r.doc_id: pieces.Decoder(table).decode([np.frombuffer(r.ids, "<u2")])[0] for r in ids} == {r.doc_id: r.text for r in planted.collect()}
 
 
 def test_stages_on_an_empty_table(spark):
