@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, scratch, stored, table
+from .common import dropped, released, scratch, stored, table
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -297,6 +297,14 @@ def _verified(docs: DataFrame, blocks: DataFrame, words: int, num: int, den: int
     return joined.groupBy("cluster", "low", "high").applyInArrow(run, "a long, b long")
 
 
+def _chains(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """(a, b): sets that share an index row, each with the one before it, by a window without a buffer."""
+    w = Window.partitionBy("row").orderBy("doc_id")
+    chain = rows.withColumn("last", F.lag("doc_id").over(w)).filter("doc_id <> last").select("doc_id", "last").distinct()
+    by_rep = lambda df, c, out: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(out, F.coalesce("rep", c)).drop("rep", c)
+    return by_rep(by_rep(chain, "doc_id", "a"), "last", "b")
+
+
 def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``; sets link at a similarity of num/den."""
     spark, made = docs.sparkSession, []
@@ -314,14 +322,11 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     least = firsts.groupBy("digest").agg(F.min("first").alias("rep"))
     named = firsts.join(least, "digest")
     reps = kept(known.join(named, ["first", "digest"]).select("doc_id", "n_shingles", "rep"), "jaccard-reps")
-    # Sets that share an index row, each with the one before it: a window without a buffer.
-    w = Window.partitionBy("row").orderBy("doc_id")
-    chain = _index(docs, words, plan).withColumn("last", F.lag("doc_id").over(w)).filter("doc_id <> last").select("doc_id", "last").distinct()
     # A copy goes by its representative, unless its doc_id has other texts too: then it stands for them all.
     per = reps.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     copies = kept(per.filter("lo = hi and lo <> doc_id").select("doc_id", F.col("lo").alias("rep")), "jaccard-copies")
-    by_rep = lambda df, c, out: df.join(copies.withColumnRenamed("doc_id", c), c, "left").withColumn(out, F.coalesce("rep", c)).drop("rep", c)
-    found = components(by_rep(by_rep(chain, "doc_id", "a"), "last", "b"), "a", "b")
+    found = components(_chains(_index(docs, words, plan), copies), "a", "b")
+    released(spark)  # the index rows, the largest shuffle, are read
     # Every cluster into blocks, every pair of its blocks into one group.
     sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).withColumnRenamed("doc_id", "node")
     salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))

@@ -186,10 +186,11 @@ class Batch:
 def shared_counts(asked: DataFrame, parts: int) -> DataFrame:
     """(batch, gram, total) of the n-grams that more than one batch holds, from rows (gram, batch, n).
 
-    Rows are dealt by n-gram once; the count table and its join use that partitioning.
+    Rows are dealt by n-gram once; the count table and its join use that partitioning, and the same columns, so
+    that there is one exchange.
     """
     dealt = asked.repartition(parts, "gram")
-    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("holders")).filter("holders > 1").select("gram", "total")
+    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("holders")).filter("holders > 1").select("gram", "total")
     return dealt.hint("merge").join(counts.hint("merge"), "gram").select("batch", "gram", "total")
 
 
