@@ -11,27 +11,39 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 ROMAN = "i ii iii iv v vi vii viii ix x xi xii xiii xiv xv".split()
 
 
+def fixed(words) -> Column:
+    """A constant array of strings, as one literal that is split when the plan is made."""
+    return F.split(F.lit("|".join(words)), r"\|")
+
+
+def _low(n: int) -> str:
+    return UNITS[n] if n < 20 else TENS[n // 10 - 2] + ("" if n % 10 == 0 else " " + UNITS[n % 10])
+
+
 def below_hundred(n: Column) -> Column:
     """Words for 0 to 99; null beyond."""
-    units, tens = F.array(*map(F.lit, UNITS)), F.array(*map(F.lit, TENS))
-    ten = F.get(tens, (F.floor(n / 10) - 2).cast("int"))
-    return F.when((n < 0) | (n > 99), None).when(n < 20, F.get(units, n.cast("int"))).when(n % 10 == 0, ten).otherwise(F.concat_ws(" ", ten, F.get(units, (n % 10).cast("int"))))
+    return F.get(fixed(map(_low, range(100))), n.cast("int"))
 
 
 def in_words(n: Column) -> Column:
-    """Words for 0 to 9,999; 1,100 to 1,999 as two pairs, as years are read."""
-    hundreds, rest = F.floor(n / 100), n % 100
-    pair = F.when(rest == 0, F.concat(below_hundred(hundreds), F.lit(" hundred"))).when(rest < 10, F.concat(below_hundred(hundreds), F.lit(" oh "), below_hundred(rest))).otherwise(F.concat(below_hundred(hundreds), F.lit(" "), below_hundred(rest)))
-    thousand = F.concat(below_hundred(F.floor(n / 1000)), F.lit(" thousand"))
-    under = F.when(n % 1000 == 0, "").otherwise(F.concat(F.lit(" "), F.when(n % 1000 < 100, below_hundred(n % 100)).otherwise(F.concat(below_hundred(F.floor(n % 1000 / 100)), F.lit(" hundred"), F.when(rest == 0, "").otherwise(F.concat(F.lit(" "), below_hundred(rest)))))))
-    return F.when((n < 0) | (n > 9999), None).when(n < 100, below_hundred(n)).when((n >= 1100) & (n < 2000), pair).when(n < 1000, F.concat(below_hundred(hundreds), F.lit(" hundred"), F.when(rest == 0, "").otherwise(F.concat(F.lit(" "), below_hundred(rest))))).otherwise(F.concat(thousand, under))
+    """A number as titles spell it: 1984 is nineteen eighty four, 1805 eighteen five, 1900 nineteen.
+
+    0 and below are empty; from 10,000 on digits stand.
+    """
+    under = lambda x: F.when(x == 0, "").otherwise(below_hundred(x))
+    joined = lambda *parts: F.array_join(F.filter(F.array(*parts), lambda w: w != ""), " ")
+    floor = lambda x, k: F.floor(x / k).cast("int")
+    hundreds = lambda x: joined(under(floor(x, 100)), F.when(x >= 100, "hundred").otherwise(""), under(x % 100))
+    pair = joined(under(floor(n, 100)), under(n % 100))
+    thousands = joined(under(floor(n, 1000)), F.lit("thousand"), F.when(n % 1000 == 0, "").otherwise(hundreds(n % 1000)))
+    return F.when(n <= 0, "").when(n < 100, under(n)).when((n >= 1100) & (n <= 1999), pair).when(n < 1000, hundreds(n)).when(n < 10000, thousands).otherwise(n.cast("string"))
 
 
 def volume_numbers(words: Column) -> Column:
     """The numbers among some words: digits 1 to 99, number words, roman i to xv; distinct and sorted."""
-    table = {w: i for i, w in enumerate(UNITS) if i} | {w: i + 1 for i, w in enumerate(ROMAN)}
-    known = F.create_map(*(F.lit(x) for kv in table.items() for x in kv))
-    one = lambda w: F.when(w.rlike(r"^[1-9]\d?$"), w.try_cast("int")).otherwise(F.try_element_at(known, w))
+    table = {w: i for i, w in enumerate(UNITS) if i} | {w: 10 * (i + 2) for i, w in enumerate(TENS)} | {w: i + 1 for i, w in enumerate(ROMAN)}
+    known = F.expr("map(" + ", ".join(f"'{w}', {i}" for w, i in table.items()) + ")")
+    one = lambda w: F.when(w.rlike(r"^0*[1-9]\d?$"), w.try_cast("int")).otherwise(F.try_element_at(known, w))
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(words, one))))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,30 +10,63 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Latin letters with marks and their plain forms, for input that is already composed.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-ARTICLES = ("a", "an", "the")
+from stackwright.functions import numbers as nu
+
 STOPWORDS = ("a", "an", "and", "the", "of", "in", "on", "to", "for", "by", "with", "or")
+# Punctuation that says nothing, and is dropped without a blank.
+DECORATIVE = "\"“”()[]{}!?;:,*#@–—/\\_~`^|<>=+."
+
+
+def _folded() -> tuple[str, str]:
+    """Characters below U+2100 and in full width whose compatibility decomposition, without marks, is one other character."""
+    pairs = []
+    for c in map(chr, [*range(0x80, 0x2100), *range(0xFF01, 0xFFEF)]):
+        d = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) != "Mn")
+        if len(d) == 1 and d != c:
+            pairs.append((c, d))
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, PLAIN = _folded()
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: an expression used n times is otherwise planned n times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fold_case(x: Column | str) -> Column:
+    """Without marks, in lower case."""
+    return F.lower(F.regexp_replace(F.translate(col(x), MARKED, PLAIN), r"\p{Mn}", ""))
+
+
 def normalize(x: Column | str) -> Column:
-    """Lower case, no marks, ``&`` as ``and``, no decorative punctuation, single spaces."""
-    y = F.translate(col(x), MARKED, PLAIN)
-    y = F.regexp_replace(y, r"[\p{Mn}\p{Cf}]", "")
-    y = F.translate(F.lower(y), "‘’“”", "''")
-    y = F.regexp_replace(F.replace(y, F.lit("&"), F.lit(" and ")), r"[\"!?,.;:()\[\]{}*#|/\\]", " ")
-    return F.trim(F.regexp_replace(y, r"\s+", " "))
+    """Lower case, no marks, ``&`` as ``and``, single blanks; decorative punctuation and format marks dropped.
+
+    A blank is kept on either side of a dropped mark.  ``normalize_nfkd`` also decomposes ligatures.
+    """
+    y = F.regexp_replace(fold_case(x), r"[\s\p{Z}\x1c-\x1f\x85]+", " ")
+    y = F.regexp_replace(F.translate(y, "‘’" + DECORATIVE, "''"), r"\p{Cf}", "")
+    return F.regexp_replace(F.ltrim(F.replace(y, F.lit("&"), F.lit("and"))), " $", "")
 
 
 @F.pandas_udf(T.StringType())
 def normalize_nfkd(x: pd.Series) -> pd.Series:
-    """Compatibility decomposition without marks, in lower case; for text outside ``MARKED``."""
-    return x.map(lambda s: None if s is None else " ".join("".join(c for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c) not in ("Mn", "Cf")).lower().split()))
+    """``normalize`` with full compatibility decomposition, for text outside ``MARKED``."""
+    drop = {ord(c): None for c in DECORATIVE} | {0x2018: "'", 0x2019: "'", ord("&"): "and"}
+
+    def one(s: str | None) -> str | None:
+        if s is None:
+            return None
+        t = "".join(c for c in unicodedata.normalize("NFKD", s) if unicodedata.category(c) != "Mn").lower()
+        t = re.sub(r"\s+", " ", t).translate(drop)
+        return "".join(c for c in t if unicodedata.category(c) != "Cf").lstrip(" ").removesuffix(" ")
+
+    return x.map(one)
 
 
 def tokens(x: Column | str) -> Column:
@@ -43,7 +77,7 @@ def tokens(x: Column | str) -> Column:
 def content_tokens(x: Column | str) -> Column:
     """Words that are no stopwords; all words if none is left."""
     all_words = tokens(x)
-    kept = F.filter(all_words, lambda t: ~t.isin(*STOPWORDS))
+    kept = F.filter(all_words, lambda t: ~F.array_contains(nu.fixed(STOPWORDS), t))
     return F.when(F.size(kept) > 0, kept).otherwise(all_words)
 
 
@@ -224,19 +258,103 @@ def number_in(x: Column | str, pattern: str) -> Column:
     return F.replace(F.regexp_extract(col(x), pattern, 1), F.lit(",")).try_cast("bigint")
 
 
+# What names a volume, and how its number may be written.
+VOLUME_WORDS = ("volume", "vol", "part", "book", "chapter", "bk")
+NUMBER_WORDS = (*nu.UNITS[1:], *nu.TENS, *nu.ROMAN)
+SERIES_MARK = r"\s*\([^()]*#[^())]*\)?\s*$"
+SERIES_WORDS = r"(?i)\s*\([^()]*?\b(?:book|volume|vol\.?|part|bk\.?)\s+(?:\d+|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + r")\b[^()]*\)\s*$"
+BLOCK_STOP = ("the", "a", "an", "of", "and", "or", "in", "on", "to", "for", "with", "from", "by", "at")
+
+
 def series_stripped(title: Column | str) -> Column:
-    """Without a ``(..., #n)`` or ``(... Book N)`` tail."""
-    t = F.regexp_replace(col(title), r"\s*\([^()]*#\d+(?:\.\d+)?[^()]*\)?\s*$", "")
-    return F.trim(F.regexp_replace(t, r"(?i)\s*\([^()]*\b(?:book|vol|volume)\s+\w+\)\s*$", ""))
+    """Without a ``(..., #n)`` tail, cut off or not, or else a ``(... Book N)`` one; N is a number."""
+    t = col(title)
+    return F.trim(let(F.regexp_replace(t, SERIES_MARK, ""), lambda marked: F.when(marked == t, F.regexp_replace(t, SERIES_WORDS, "")).otherwise(marked)))
+
+
+def unhyphened(x: Column | str) -> Column:
+    """Hyphens as blanks, single blanks."""
+    return F.trim(F.regexp_replace(F.replace(col(x), F.lit("-"), F.lit(" ")), r"\s+", " "))
+
+
+def has_volume(x: Column | str) -> Column:
+    """Whether a text names a volume, by a word for one or a small number of its own."""
+    return let(tokens(unhyphened(normalize(x))), lambda words: F.arrays_overlap(words, nu.fixed(VOLUME_WORDS)) | (F.size(nu.volume_numbers(words)) > 0))
 
 
 def title_core(title: Column | str) -> Column:
-    """Normalised head of a title: no series, no subtitle after a head of two or more words, no article."""
-    t = series_stripped(title)
-    head = F.split(t, ":")[0]
-    t = normalize(F.when(F.size(tokens(normalize(head))) >= 2, head).otherwise(t))
-    t = F.trim(F.regexp_replace(F.replace(t, F.lit("-"), F.lit(" ")), r"\s+", " "))
-    return F.regexp_replace(t, r"^(?:(?:a|an|the) )+", "")
+    """The head of a title, normalised: no series, no subtitle, no second title after ``or``, no article.
+
+    A subtitle goes after a head of two words or more, unless it names a volume.
+    """
+
+    def head(raw: Column) -> Column:
+        cut = F.instr(raw, ":")
+        first, tail = F.trim(F.substring(raw, F.lit(1), cut - 1)), F.substring(raw, cut + 1, F.length(raw))
+        long = F.size(F.filter(F.split(first, r"\s+"), lambda w: w != "")) >= 2
+        return F.when((cut > 0) & long & ~has_volume(tail), first).otherwise(raw)
+
+    def one(t: Column) -> Column:
+        first = F.trim(F.split(t, " or ", 2)[0])
+        return F.when(F.contains(t, F.lit(" or ")) & (first != ""), first).otherwise(t)
+
+    def bare(words: Column) -> Column:
+        return F.regexp_replace(F.array_join(words, " "), "^(?:(?:a|an|the)(?: |$))+", "")
+
+    return let(tokens(let(unhyphened(normalize(let(series_stripped(title), head))), one)), bare)
+
+
+def _number_of(core: Column, most: int = 2100) -> Column:
+    """The number that a title core is, from 1 to ``most``; null else."""
+    n = F.when(core.rlike(r"^\d{1,9}$"), core.try_cast("int"))
+    return F.when((n >= 1) & (n <= most), n)
+
+
+def spelled(core: Column) -> Column:
+    """The words of the number that a title core is; null else."""
+    return nu.in_words(_number_of(core))
+
+
+def block_tokens(core: Column | str) -> Column:
+    """The first two content words of a title core."""
+    return F.slice(F.filter(tokens(core), lambda t: ~F.array_contains(nu.fixed(BLOCK_STOP), t) & (F.length(t) > 1)), 1, 2)
+
+
+def title_prefix(title: Column | str) -> Column:
+    """The first two content words, or the only one, if eight characters long; null else."""
+    return let(F.array_join(block_tokens(title_core(title)), " "), lambda p: F.when(F.length(p) >= 8, p))
+
+
+def lookup_keys(title: Column | str) -> Column:
+    """The normalised titles under which a title may be stored, in the order to try them."""
+
+    def joined(year: Column) -> Column:
+        """Nineteen eighty four is also written nineteen eighty-four."""
+        parts = F.split(year, " ")
+        rest = F.array_join(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), " ")
+        return F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], F.concat(parts[1], F.lit("-"), rest)))
+
+    def tried(core: Column) -> Column:
+        plain = F.array(core, F.concat(F.lit("the "), core), F.concat(F.lit("a "), core), F.replace(core, F.lit(" "), F.lit("-")))
+        return F.concat(plain, let(nu.in_words(_number_of(core)), lambda year: F.array(year, F.replace(year, F.lit(" "), F.lit("-")), joined(year))))
+
+    keys = F.concat(F.array(normalize(series_stripped(title))), let(title_core(title), tried))
+    return F.array_distinct(F.filter(F.transform(keys, lambda k: F.trim(k)), lambda k: k.isNotNull() & (k != "")))
+
+
+def same_title(a: Column | str, b: Column | str) -> Column:
+    """Whether two title cores are equal but for hyphens, or one is the other's number in words."""
+    no = F.lit(False)
+    spelled = lambda x, y: F.coalesce(nu.in_words(_number_of(x)) == y, no)
+    return let(unhyphened(a), lambda x: let(unhyphened(b), lambda y: (x == y) | spelled(x, y) | spelled(y, x)))
+
+
+def title_score(a: Column | str, b: Column | str) -> Column:
+    """100 for the same title, 0 if both hold volume numbers and share none, else the ratio of sorted words."""
+    x, y = nu.volume_numbers(tokens(a)), nu.volume_numbers(tokens(b))
+    apart = (F.size(x) > 0) & (F.size(y) > 0) & ~F.arrays_overlap(x, y)
+    words = lambda t: F.array_join(F.array_sort(tokens(t)), " ")
+    return F.when(same_title(a, b), 100.0).when(apart, 0.0).otherwise(ratio_udf(words(a), words(b)))
 
 
 def hold_out_unit(key: Column | str, salt: str) -> Column:
@@ -245,33 +363,36 @@ def hold_out_unit(key: Column | str, salt: str) -> Column:
     return F.conv(h, 16, 10).cast("double") / F.lit(4294967295.0)
 
 
-def ocr_variants(word: Column | str) -> Column:
-    """Up to two spellings with one confused character each, in rule order."""
+# Characters that scanning confuses, either way, in the order to try them.
+CONFUSED = (("o", "0"), ("i", "l"), ("l", "1"), ("s", "5"), ("z", "2"), ("b", "8"), ("g", "6"), ("rn", "m"), ("cl", "d"), ("vv", "w"))
+
+
+def ocr_variants(word: Column | str, confidence: Column | None = None) -> Column:
+    """Up to two spellings with one confused character each, in rule order.
+
+    None for words under 4 or over 18 characters, or read with a confidence of 0.94 or more.
+    """
     w = col(word)
-    rules = (("rn", "m"), ("m", "rn"), ("0", "o"), ("1", "l"), ("5", "s"), ("vv", "w"), ("cl", "d"))
-    tried = F.array(*(F.when(F.contains(w, F.lit(a)), F.regexp_replace(w, f"^(.*?){a}", f"$1{b}")) for a, b in rules))
-    fits = (F.length(w) >= 4) & (F.length(w) <= 18)
+    sure = F.lit(0.0) if confidence is None else confidence
+    once = lambda a, b: F.when(F.contains(w, F.lit(a)), F.regexp_replace(w, f"^(.*?){a}", f"$1{b}"))
+    tried = F.array(*(once(*r) for a, b in CONFUSED for r in ((a, b), (b, a))))
+    fits = (F.length(w) >= 4) & (F.length(w) <= 18) & (sure < 0.94)
     return F.when(fits, F.slice(F.array_distinct(F.array_compact(tried)), 1, 2)).otherwise(F.array().cast("array<string>"))
 
 
-def people(author: Column | str) -> Column:
-    """The names in an author string: parted at ``and``, ``&`` or commas; one comma turns a name round."""
-    a = F.trim(col(author))
-    commas = F.length(a) - F.length(F.replace(a, F.lit(",")))
-    many = F.split(F.regexp_replace(a, r"\s*(?:,?\s+and\s+|\s*&\s*|,)\s*", "\u0001"), "\u0001")
-    turned = F.array(F.concat(F.trim(F.split(a, ",")[1]), F.lit(" "), F.trim(F.split(a, ",")[0])))
-    one = (commas == 1) & ~a.rlike(r"(?i)\band\b|&")
-    return F.filter(F.when(one, turned).otherwise(many), lambda n: F.trim(n) != "")
+def author_key(author: Column | str) -> Column:
+    """The letters a-z and digits of a normalised author."""
+    return F.regexp_replace(normalize(author), "[^a-z0-9]", "")
 
 
-def family_name(person: Column | str) -> Column:
-    """The last word of a normalised name that is no suffix, initial or particle."""
-    words = F.filter(tokens(normalize(person)), lambda t: ~t.isin("jr", "sr", "ii", "iii", "iv", "phd", "md") & (F.length(t) > 1))
-    return F.try_element_at(words, F.lit(-1))
+def plain_words(x: Column | str) -> Column:
+    """Another normaliser: lower case, letters and digits, everything else a blank, single blanks."""
+    return F.trim(F.regexp_replace(F.regexp_replace(fold_case(x), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
-def names_compatible(a: Column | str, b: Column | str) -> Column:
-    """One name's words hold all of the other's, or the family names agree and the first letters do."""
-    x, y = tokens(normalize(a)), tokens(normalize(b))
-    inside = (F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0)
-    return inside | ((family_name(a) == family_name(b)) & (F.substring(normalize(a), 1, 1) == F.substring(normalize(b), 1, 1)))
+def hit(truth: Column | str, picked: Column | str) -> Column:
+    """(exact, loose): whether a picked title is the true one, or one of at least four characters holds the other."""
+    a, b = plain_words(truth), plain_words(F.coalesce(col(picked), F.lit("")))
+    exact = (a == b) & (b != "")
+    loose = exact | ((F.length(b) >= 4) & F.contains(a, b)) | ((F.length(a) >= 4) & F.contains(b, a))
+    return F.struct(exact.alias("exact"), loose.alias("loose"))

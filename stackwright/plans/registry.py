@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import catalog, more, reports
+from . import books, catalog, files, more, reports
 
 FLAGSHIP = "match_best"
+MODULES = (catalog, reports, more, books, files)
 
 
 def queries() -> dict:
-    return {**catalog.QUERIES, **reports.QUERIES, **more.QUERIES}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalog.SQL, **reports.SQL, **more.SQL}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}

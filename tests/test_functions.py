@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackwright.functions import geometry as g
+from stackwright.functions import names as na
+from stackwright.functions import numbers as nu
 from stackwright.functions import text as tx
 from stackwright.operators import etl, monitor, spatial
 from stackwright.sources import records, sinks
@@ -23,16 +25,25 @@ def test_ratio_engines_agree(spark, a, b, want):
 def test_normalize(spark):
     assert one(spark, tx.normalize(F.lit("Café & Crème, 2!")))[0] == "cafe and creme 2"
     assert one(spark, tx.normalize_nfkd(F.lit("ﬁne  Ünder")))[0] == "fine under"
+    for raw, want in (("11.22.63", "112263"), ("U.S.A.", "usa"), ("The \u200bCrown", "the crown"), ("It’s “A” – B&C", "it's a  bandc"), (" ( x ) ", "x "), ("Ａ１ Ł É", "a1 ł e")):
+        assert one(spark, tx.normalize(F.lit(raw)), tx.normalize_nfkd(F.lit(raw))) == (want, want)
     assert one(spark, tx.tokens(F.lit("")))[0] == []
 
 
 def test_names(spark):
     j = lambda *n: one(spark, tx.join_names(F.array(*map(F.lit, n))))[0]
     assert j("A") == "A" and j("A", "B") == "A and B" and j("A", "B", "C") == "A, B, and C"
-    assert one(spark, tx.people(F.lit("Doe, Jane")))[0] == ["Jane Doe"]
-    assert one(spark, tx.people(F.lit("Jane Doe and John Roe")))[0] == ["Jane Doe", "John Roe"]
-    assert one(spark, tx.names_compatible(F.lit("J. Doe"), F.lit("Jane Doe")))[0] is True
-    assert one(spark, tx.names_compatible(F.lit("Ann Roe"), F.lit("Jane Doe")))[0] is False
+    people = lambda a: [(p.family, list(p.tokens), p.inverted) for p in one(spark, na.people(F.lit(a)))[0]]
+    assert people("Doe, Jane") == [("doe", ["doe", "jane"], True)]
+    assert people("Jane Doe and John van Roe Jr.") == [("doe", ["jane", "doe"], False), ("roe", ["john", "roe"], False)]
+    assert people("Le Guin, Ursula K.") == [("guin", ["guin", "ursula"], True)] and people("A, B, C & D")[0] == ("a", ["a"], False)
+    assert people("Garcia Marquez, Gabriel") == [("gabriel", ["garcia", "marquez", "gabriel"], False)] and people("") == []
+    ok = lambda a, b: one(spark, na.compatible(F.lit(a), F.lit(b)))[0]
+    assert ok("J. Doe", "Jane Doe") and ok("Liu Cixin", "Cixin Liu") and ok("Ann Lee", "Ann Lee Moss") and ok("J.K. Marsh", "J. K. Marsh")
+    assert not ok("Ann Roe", "Jane Doe") and not ok("", "Jane Doe") and not ok("Jan Green", "Jan Boyne")
+    assert one(spark, na.family_keys(na.people(F.lit("Mary Anne Ito"))[0]))[0] == ["ito", "mary", "anne"]
+    assert one(spark, na.block_keys(F.lit("The Red Ring of Sand"), F.lit("Roe, Jo")))[0] == ["roe|red", "roe|ring", "jo|red", "jo|ring"]
+    assert one(spark, na.block_keys(F.lit("1984"), F.lit("")))[0] == [] and one(spark, na.block_keys(F.lit("1984"), F.lit("Ed Roe")))[0][:2] == ["roe|1984", "roe|nineteen"]
 
 
 def test_book_numbers(spark):
@@ -45,7 +56,20 @@ def test_book_numbers(spark):
 def test_titles_and_numbers(spark):
     assert one(spark, tx.title_core(F.lit("The Long Road: A Tale (Roads, #3)")))[0] == "long road"
     assert one(spark, tx.number_in(F.lit("score: 42,463"), r"score: ([\d,]+)"), tx.path_id(F.lit("/book/show/12-x"))) == (42463, 12)
-    assert one(spark, tx.ocr_variants(F.lit("c0rn")))[0] == ["c0m", "corn"]
+    core = lambda t: one(spark, tx.title_core(F.lit(t)))[0]
+    assert core("The Songs of Amber: Volume II (Songs, #3-5)") == "songs of amber volume ii" and core("Hawk: Night, Part Three") == "hawk night part three"
+    assert core("The Diamond Time: Or, a Girl's Primer") == "diamond time" and core("A The Hill—and & Dale") == "hilland and dale"
+    stripped = lambda t: one(spark, tx.series_stripped(F.lit(t)))[0]
+    assert stripped("Two Top 2 (The Saga Book 1)") == "Two Top 2" and stripped("A Court (A Court, #1") == "A Court"
+    assert stripped("Jo (Book of the Year)") == "Jo (Book of the Year)" and stripped("Scarlet (Holmes Book One)") == "Scarlet"
+    words = lambda n: one(spark, nu.in_words(F.lit(n)))[0]
+    assert [words(n) for n in (0, 7, 40, 99, 100, 1805, 1900, 1984, 2000, 2105, 10000)] == ["", "seven", "forty", "ninety nine", "one hundred", "eighteen five", "nineteen", "nineteen eighty four", "two thousand", "two thousand one hundred five", "10000"]
+    assert one(spark, tx.same_title(F.lit("1984"), F.lit("nineteen eighty-four")), tx.title_score(F.lit("amber volume 2"), F.lit("amber volume 3"))) == (True, 0.0)
+    assert one(spark, tx.lookup_keys(F.lit("The Red Ring")))[0] == ["the red ring", "red ring", "a red ring", "red-ring"]
+    assert "nineteen eighty-four" in one(spark, tx.lookup_keys(F.lit("1984")))[0]
+    assert one(spark, tx.title_prefix(F.lit("The Hungry Games")), tx.title_prefix(F.lit("Help"))) == ("hungry games", None)
+    assert one(spark, tx.ocr_variants(F.lit("c0rn")))[0] == ["corn", "c0m"] and one(spark, tx.ocr_variants(F.lit("c0rn"), F.lit(0.95)))[0] == []
+    assert one(spark, tx.hit(F.lit("The Red Ring!"), F.lit("red ring")))[0] == (False, True)
 
 
 def test_geometry(spark):
