@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import opened, released, scratch, stored, table
@@ -186,12 +186,12 @@ class Batch:
 def shared_counts(asked: DataFrame, parts: int) -> DataFrame:
     """(batch, gram, total) of the n-grams that more than one batch holds, from rows (gram, batch, n).
 
-    Rows are dealt by n-gram once; the count table and its join use that partitioning, and the same columns, so
-    that there is one exchange.
+    Rows are dealt by n-gram once; each row meets its n-gram's sum there.  A sum over a window is the count table
+    and its join in one sort: as two plans, Spark would make and deal the rows twice.
     """
-    dealt = asked.repartition(parts, "gram")
-    counts = dealt.groupBy("gram").agg(F.sum("n").alias("total"), F.count("batch").alias("holders")).filter("holders > 1").select("gram", "total")
-    return dealt.hint("merge").join(counts.hint("merge"), "gram").select("batch", "gram", "total")
+    w = Window.partitionBy("gram")
+    each = asked.repartition(parts, "gram").select("batch", "gram", F.sum("n").over(w).alias("total"), F.count("*").over(w).alias("holders"))
+    return each.filter("holders > 1").select("batch", "gram", "total")
 
 
 def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
