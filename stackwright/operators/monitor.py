@@ -70,7 +70,18 @@ def funnel(rows: DataFrame, user: str, step: str, steps: list[str]) -> DataFrame
 
 
 def sample_quota(rows: DataFrame, stratum: str, key: str, share: float, seed: int) -> DataFrame:
-    """A share of each stratum (rounded), by the order of a seeded hash; the same rows each time."""
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), key), key)
-    size = rows.groupBy(F.col(stratum).alias("s_")).agg(F.round(F.count("*") * share).cast("long").alias("quota_"))
+    """A share of each stratum (rounded half up), by the order of a seeded hash; the same rows each time."""
+    order = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)
+    w = Window.partitionBy(stratum).orderBy(order, key)
+    size = rows.groupBy(F.col(stratum).alias("s_")).agg(F.floor(F.count("*") * share + 0.5).cast("long").alias("quota_"))
     return rows.withColumn("n_", F.row_number().over(w)).join(size, F.col(stratum).eqNullSafe(F.col("s_"))).filter("n_ <= quota_").drop("n_", "s_", "quota_")
+
+
+def repaired_quotas(sizes: DataFrame, stratum: str, count: str, total: int) -> DataFrame:
+    """(stratum, quota): shares of ``total`` in proportion, rounded down, the rest to the largest remainders (ties by name)."""
+    all_ = sizes.agg(F.sum(count).alias("all_"))
+    exact = F.col(count) * total / F.col("all_")
+    parts = sizes.crossJoin(F.broadcast(all_)).withColumn("base_", F.floor(exact)).withColumn("rest_", F.round(exact - F.floor(exact), 9))
+    short = parts.agg((F.lit(total) - F.sum("base_")).alias("short_"))
+    place = F.row_number().over(Window.orderBy(F.desc("rest_"), stratum))  # strata are few
+    return parts.withColumn("p_", place).crossJoin(F.broadcast(short)).select(stratum, (F.col("base_") + (F.col("p_") <= F.col("short_")).cast("long")).alias("quota"))

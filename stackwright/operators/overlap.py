@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stackwright.sources.shared import stored
+
 
 def pair_overlaps(members: DataFrame, group: str, item: str) -> DataFrame:
     """(a, b, both, jaccard, a_in_b, b_in_a) for groups a < b that share an item.
@@ -28,13 +30,18 @@ def own_contributions(members: DataFrame, target: DataFrame, group: str, item: s
     return m.select(group).distinct().join(own, group, "left").select(group, F.coalesce("own", F.lit(0)).alias("own"))
 
 
-def greedy_cover(members: DataFrame, group: str, item: str, steps: int) -> list[tuple]:
-    """Groups in the order of most new items; stops without gain.  A small aggregate a step, at most ``steps``."""
-    left, out = members.select(group, item).distinct(), []
-    for _ in range(steps):
+def greedy_cover(members: DataFrame, group: str, item: str, steps: int) -> DataFrame:
+    """(place, group, gain): groups in the order of most new items (ties by name); stops without gain.
+
+    A step is one small aggregate; what is left after it is written to the shared folder, so that no plan grows.
+    """
+    spark = members.sparkSession
+    left, out = stored(members.select(group, item).distinct(), "cover"), []
+    for place in range(1, steps + 1):
         best = left.groupBy(group).agg(F.count("*").alias("gain")).orderBy(F.desc("gain"), group).first()
         if best is None:
             break
-        out.append((best[group], best.gain))
-        left = left.join(left.filter(F.col(group) == best[group]).select(item), item, "left_anti")
-    return out
+        out.append((place, best[group], best.gain))
+        left = stored(left.join(left.filter(F.col(group) == best[group]).select(item), item, "left_anti").select(group, item), "cover")
+    kind = dict(members.dtypes)[group]
+    return spark.createDataFrame(out, f"place int, {group} {kind}, gain long")

@@ -10,7 +10,7 @@ from stackwright.functions import numbers as nu
 from stackwright.functions import text as tx
 from stackwright.operators import linkage
 
-from .tables import register, sql_core, sql_in_words, sql_lcs, sql_norm, sql_numbers, sql_words, t
+from .tables import register, sql_confused, sql_core, sql_in_words, sql_lcs, sql_norm, sql_numbers, sql_words, t
 
 QUERIES, SQL, query = register()
 
@@ -206,13 +206,8 @@ def spelled_numbers(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", "p_size", nu.in_words((1 + F.col("p_partkey") % 9999).cast("int")).alias("words"), nu.in_words(F.col("p_size") + 1850).alias("year"))
 
 
-def _confused() -> str:
-    once = lambda a, b: f"CASE WHEN contains(w, '{a}') THEN regexp_replace(w, '^(.*?){a}', '\\1{b}') END"
-    return "[" + ", ".join(once(*r) for a, b in tx.CONFUSED for r in ((a, b), (b, a))) + "]"
-
-
 @query(f"""WITH w AS (SELECT DISTINCT unnest(string_split({sql_norm('p_name')} || ' c0rn1 ' || p_size || 'modern clvv58z', ' ')) AS w FROM part),
-v AS (SELECT w, unnest({_confused()}) AS v, unnest(range(1, {2 * len(tx.CONFUSED) + 1})) AS i FROM w WHERE length(w) BETWEEN 4 AND 18), f AS (SELECT w, v, min(i) AS i FROM v WHERE v IS NOT NULL GROUP BY ALL),
+v AS (SELECT w, unnest({sql_confused('w')}) AS v, unnest(range(1, {2 * len(tx.CONFUSED) + 1})) AS i FROM w WHERE length(w) BETWEEN 4 AND 18), f AS (SELECT w, v, min(i) AS i FROM v WHERE v IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY i) AS place FROM f) SELECT w AS word, v AS variant, place::BIGINT AS place FROM r WHERE place <= 2""")
 def scan_variants(spark: SparkSession, d: str) -> DataFrame:
     line = F.concat(tx.normalize("p_name"), F.lit(" c0rn1 "), F.col("p_size").cast("string"), F.lit("modern clvv58z"))

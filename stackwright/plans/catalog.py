@@ -8,22 +8,9 @@ from pyspark.sql import functions as F
 from stackwright.functions import text as tx
 from stackwright.operators import etl, link, retrieve
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .tables import register, sql_confused, sql_norm, sql_ratio, sql_sorted, sql_token_set, t
 
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+QUERIES, SQL, query = register()
 
 
 def _catalog(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +25,12 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return w.select("work", F.regexp_replace(F.regexp_replace("work", "^(.*?)l", "$11"), "^(.*?)o", "$10").alias("asked"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT {sql_norm('p_name')} AS work FROM part), k AS (SELECT work AS truth, regexp_replace(regexp_replace(work, '^(.*?)l', '\\11'), '^(.*?)o', '\\10') AS asked FROM w),
+tk AS (SELECT DISTINCT asked, unnest(string_split(asked, ' ')) AS w FROM k), v AS (SELECT asked, w, unnest({sql_confused('w')}) AS v, unnest(range(1, 21)) AS i FROM tk WHERE length(w) BETWEEN 4 AND 18),
+f AS (SELECT asked, w, v, min(i) AS i FROM v WHERE v IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY asked, w ORDER BY i) AS n FROM f), tried AS (SELECT asked, w AS token FROM tk UNION SELECT asked, v FROM r WHERE n <= 2),
+h AS (SELECT DISTINCT asked, work FROM tried JOIN (SELECT work, unnest(string_split(work, ' ')) AS token FROM w) USING (token)), s AS (SELECT asked, work, {sql_token_set('asked', 'work')} AS raw FROM h),
+b AS (SELECT *, row_number() OVER o AS n, lead(raw) OVER o AS nx FROM s WINDOW o AS (PARTITION BY asked ORDER BY raw DESC, work))
+SELECT asked, work, round(raw, 6) AS score, round(raw - nx, 6) AS margin, CASE WHEN raw < 80 THEN 'rejected' WHEN nx IS NULL OR raw - nx >= 8 THEN 'accepted' ELSE 'ambiguous' END AS decision FROM b WHERE n = 1""")
 def match_best(spark: SparkSession, d: str) -> DataFrame:
     """Garbled names against the catalog: token retrieval, token-set score, threshold and margin."""
     works, asked = _catalog(spark, d).select("work"), _asked(spark, d).select("asked")
@@ -95,13 +87,11 @@ def isbn_convert(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", "isbn10", "isbn13", (tx.isbn10_ok("isbn10") & tx.isbn13_ok("isbn13")).alias("ok"))
 
 
-@query("""SELECT c_custkey, c_name || ', The (Part #' || (c_custkey % 9) || ')' AS raw, lower(c_name) || ' the' AS core, lower(c_name) || ' the part ' || (c_custkey % 9) AS k FROM customer""")
+@query("""SELECT c_custkey, c_name || ', The (Part #' || (c_custkey % 9) || ')' AS raw, replace(lower(c_name), '#', '') || ' the' AS core, replace(lower(c_name), '#', '') || ' the part ' || (c_custkey % 9) AS k FROM customer""")
 def normalized_titles(spark: SparkSession, d: str) -> DataFrame:
     raw = F.concat("c_name", F.lit(", The (Part #"), (F.col("c_custkey") % 9).cast("string"), F.lit(")"))
     c = t(spark, d, "customer").select("c_custkey", raw.alias("raw"))
-    marked = F.translate("raw", "#", " ")
-    core = F.replace(tx.normalize(tx.series_stripped("raw")), F.lit("customer "), F.lit("customer#"))
-    return c.select("c_custkey", "raw", core.alias("core"), F.replace(tx.normalize(marked), F.lit("customer "), F.lit("customer#")).alias("k"))
+    return c.select("c_custkey", "raw", tx.title_core("raw").alias("core"), tx.normalize("raw").alias("k"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^(\\w+)://', 1) AS scheme, try_cast(regexp_extract(url, '/[a-z]{2}/(\\d+)', 1) AS BIGINT) AS number,
@@ -140,7 +130,9 @@ def name_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a", "b", F.round(tx.jaro_winkler("a", "b"), 5).alias("jw"))
 
 
-@query()
+@query(f"""WITH n AS (SELECT DISTINCT lower(p_name) AS n FROM part), w AS (SELECT n, unnest(string_split(n, ' ')) AS w FROM n), p AS (SELECT DISTINCT x.n AS a, y.n AS b FROM w x JOIN w y USING (w) WHERE x.n < y.n),
+r AS (SELECT a, b, {sql_ratio('a', 'b')} AS plain, {sql_ratio(sql_sorted('a'), sql_sorted('b'))} AS sort, {sql_token_set('a', 'b')} AS set_ FROM p)
+SELECT a, b, round(sort, 6) AS sort, round(set_, 6) AS "set", round(greatest(plain, 0.95 * sort, 0.95 * set_), 6) AS weighted FROM r""")
 def ratio_family(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a", "b", F.round(tx.token_sort_ratio("a", "b"), 6).alias("sort"), F.round(tx.token_set_ratio("a", "b"), 6).alias("set"), F.round(tx.weighted_ratio("a", "b"), 6).alias("weighted"))
 
@@ -166,21 +158,21 @@ s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) """
 
 
-def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    words = t(spark, d, "documents").select("doc_id", F.split(_plain("text"), " ").alias("ws"))
+def _best(spark: SparkSession, d: str, k: int) -> DataFrame:
+    docs = t(spark, d, "documents").select("doc_id", _plain("text").alias("t"))
     asked = t(spark, d, "benchmark").select("item_id", F.explode(F.split(_plain("text"), " ")).alias("token"))
-    return retrieve.bm25(asked, retrieve.postings(words, "doc_id", "ws"), "item_id", "doc_id").withColumn("score", F.round("score", 6))
+    return retrieve.best_documents(docs, asked, "item_id", "doc_id", "t", k)
 
 
 @query(_BM25 + "SELECT item_id, doc_id, round(round(score, 6), 4) AS score, hits::BIGINT AS hits, rank::BIGINT AS rank FROM r WHERE rank <= 5")
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.top_per_query(_bm25(spark, d), "item_id", "doc_id", "score", 5).select("item_id", "doc_id", F.round("score", 4).alias("score"), "hits", F.col("rank").cast("long").alias("rank"))
+    return _best(spark, d, 5).select("item_id", "doc_id", F.round(F.round("score", 6), 4).alias("score"), "hits", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_BM25 + """, l AS (SELECT item_id, doc_id, score, score - lead(score) OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS gap, rank FROM r)
 SELECT item_id, doc_id, CASE WHEN score < 60 THEN 'rejected' WHEN gap IS NULL OR gap >= 8 THEN 'accepted' ELSE 'ambiguous' END AS decision FROM l WHERE rank = 1""")
 def accept_policy(spark: SparkSession, d: str) -> DataFrame:
-    return link.decide(_bm25(spark, d), "item_id", "doc_id", "score", 60, 8).select("item_id", "doc_id", "decision")
+    return link.decide(_best(spark, d, 2), "item_id", "doc_id", "score", 60, 8).select("item_id", "doc_id", "decision")
 
 
 @query("""WITH w AS (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS b, p_retailprice FROM part), q AS (SELECT DISTINCT split_part(lower(p_name), ' ', 1) AS q FROM part),
@@ -197,26 +189,21 @@ def multi_pass_union(spark: SparkSession, d: str) -> DataFrame:
     return out.select("q", "p_partkey", F.col("rank").cast("long").alias("rank"), "pass", F.col("place").cast("long").alias("place"))
 
 
-def _linked(spark: SparkSession, d: str, asked: str) -> DataFrame:
+def _linked(spark: SparkSession, d: str) -> DataFrame:
     words = F.split("p_name", " ")
     p = t(spark, d, "part").select("p_partkey", F.array(F.concat_ws("|", words[1], words[0])).alias("keys"), "p_size", (F.substring("p_brand", 7, 9).cast("int") % 2).alias("side"))
-    left = p.filter("side = 0").filter(asked).select(F.col("p_partkey").alias("asked"), "keys", F.col("p_size").alias("size_a"))
+    left = p.filter("side = 0").select(F.col("p_partkey").alias("asked"), "keys", F.col("p_size").alias("size_a"))
     right = p.filter("side = 1").select(F.col("p_partkey").alias("work"), "keys", F.col("p_size").alias("size_b"))
     pairs = link.block_join(left, right, "keys", "asked", "work").withColumn("points", 100 - F.abs(F.col("size_a") - F.col("size_b")))
     return link.decide(pairs, "asked", "work", "points", 90, 1).select("asked", "work", F.col("score").cast("long").alias("score"), "decision")
 
 
 @query("""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun, p_size, try_cast(substr(p_brand, 7) AS INT) % 2 AS side FROM part),
-x AS (SELECT a.p_partkey AS asked, b.p_partkey AS work, 100 - abs(a.p_size - b.p_size) AS score FROM p a JOIN p b ON a.adj = b.adj AND a.noun = b.noun AND a.side = 0 AND b.side = 1 WHERE a.p_partkey % 20 = 0),
+x AS (SELECT a.p_partkey AS asked, b.p_partkey AS work, 100 - abs(a.p_size - b.p_size) AS score FROM p a JOIN p b ON a.adj = b.adj AND a.noun = b.noun AND a.side = 0 AND b.side = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY asked ORDER BY score DESC, work) AS n, lead(score) OVER (PARTITION BY asked ORDER BY score DESC, work) AS nxt FROM x)
 SELECT asked, work, score::BIGINT AS score, CASE WHEN score < 90 THEN 'rejected' WHEN nxt IS NULL OR score - nxt >= 1 THEN 'accepted' ELSE 'ambiguous' END AS decision FROM r WHERE n = 1""")
 def blocked_linkage(spark: SparkSession, d: str) -> DataFrame:
-    return _linked(spark, d, "p_partkey % 20 = 0")
-
-
-@query()
-def blocked_linkage_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _linked(spark, d, "true")
+    return _linked(spark, d)
 
 
 @query("""WITH a AS (SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS purchases FROM events WHERE event_type = 'purchase' GROUP BY 1)

@@ -8,26 +8,15 @@ from pyspark.sql import functions as F
 from stackwright.functions import numbers as nu
 from stackwright.operators import etl
 
-from .catalog import t
+from .tables import register, sql_in_words, t
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES, SQL, query = register()
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("WITH a AS (SELECT DISTINCT user_id AS u FROM events WHERE event_type = 'click' AND value > 30), b AS (SELECT DISTINCT user_id AS u FROM events WHERE event_type = 'error' AND value > 30) SELECT 'union' AS op, u FROM (SELECT u FROM a UNION SELECT u FROM b) UNION ALL SELECT 'both', u FROM (SELECT u FROM a INTERSECT SELECT u FROM b) UNION ALL SELECT 'less', u FROM (SELECT u FROM a EXCEPT SELECT u FROM b)")
+@query("WITH a AS (SELECT DISTINCT l_orderkey AS u FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey AS u FROM lineitem WHERE l_returnflag = 'R') SELECT 'union' AS op, u FROM (SELECT u FROM a UNION SELECT u FROM b) UNION ALL SELECT 'both', u FROM (SELECT u FROM a INTERSECT SELECT u FROM b) UNION ALL SELECT 'less', u FROM (SELECT u FROM a EXCEPT SELECT u FROM b)")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").filter("value > 30")
-    a, b = (e.filter(F.col("event_type") == k).select(F.col("user_id").alias("u")).distinct() for k in ("click", "error"))
+    x = t(spark, d, "lineitem")
+    a, b = (x.filter(F.col("l_returnflag") == k).select(F.col("l_orderkey").alias("u")).distinct() for k in ("A", "R"))
     named = lambda k, x: x.select(F.lit(k).alias("op"), "u")
     return named("union", a.union(b).distinct()).union(named("both", a.intersect(b))).union(named("less", a.subtract(b)))
 
@@ -49,7 +38,7 @@ def first_rule(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", rule.alias("class"))
 
 
-@query(f"SELECT p_partkey, p_size, CASE WHEN p_size < 20 THEN {nu.UNITS}[p_size + 1] WHEN p_size % 10 = 0 THEN {nu.TENS}[p_size // 10 - 1] ELSE {nu.TENS}[p_size // 10 - 1] || ' ' || {nu.UNITS}[p_size % 10 + 1] END AS words FROM part")
+@query(f"SELECT p_partkey, p_size, {sql_in_words('p_size')} AS words FROM part")
 def number_words(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select("p_partkey", "p_size", nu.in_words(F.col("p_size")).alias("words"))
 

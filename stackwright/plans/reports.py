@@ -8,21 +8,9 @@ from pyspark.sql import functions as F
 from stackwright.functions import geometry as g
 from stackwright.operators import evaluate, monitor, overlap, spatial
 
-from .catalog import t
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from .tables import register, t
 
+QUERIES, SQL, query = register()
 
 _USERS = "WITH u AS (SELECT user_id, count(*)::BIGINT AS n, round(sum(value), 4) AS v FROM events GROUP BY 1) "
 
@@ -47,11 +35,13 @@ def hold_out_confusion(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.confusion(x.select((F.col("quality") == 1).alias("t"), (F.col("n_chars") > 800).alias("p")), "t", "p")
 
 
-@query("WITH h AS (SELECT substr(lower(text), 1, 40) AS head, doc_id, n_chars FROM documents), g AS (SELECT head, count(*)::BIGINT AS n, count(DISTINCT n_chars)::BIGINT AS sizes, min(doc_id) AS first FROM h GROUP BY head HAVING count(*) >= 2) SELECT head, n, sizes, first, sizes > 1 AS suspicious FROM g")
+@query("WITH h AS (SELECT trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k, text, doc_id FROM documents WHERE text IS NOT NULL) SELECT sha256(k) AS key, count(*)::BIGINT AS n, count(DISTINCT text)::BIGINT AS texts, min(doc_id) AS first, count(DISTINCT text) > 1 AS suspicious FROM h GROUP BY k HAVING count(*) >= 2")
 def suspicious_groups(spark: SparkSession, d: str) -> DataFrame:
-    h = t(spark, d, "documents").select(F.substring(F.lower("text"), 1, 40).alias("head"), "doc_id", "n_chars")
-    groups = h.groupBy("head").agg(F.count("*").alias("n"), F.countDistinct("n_chars").alias("sizes"), F.min("doc_id").alias("first")).filter("n >= 2")
-    return groups.withColumn("suspicious", F.col("sizes") > 1)
+    """Documents whose whole texts have the same words: suspicious where the texts themselves differ."""
+    plain = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    h = t(spark, d, "documents").filter("text is not null").select(F.sha2(plain, 256).alias("key"), F.sha2("text", 256).alias("text"), "doc_id")
+    groups = h.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("text").alias("texts"), F.min("doc_id").alias("first")).filter("n >= 2")
+    return groups.withColumn("suspicious", F.col("texts") > 1)
 
 
 @query("WITH a AS (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.n, 0)::BIGINT AS a, coalesce(b.n, 0)::BIGINT AS b, (coalesce(b.n, 0) - coalesce(a.n, 0))::BIGINT AS delta FROM a FULL JOIN b ON a.event_type IS NOT DISTINCT FROM b.event_type")
@@ -72,11 +62,12 @@ def acceptance_gate(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.gate(m.filter("l_linestatus = 'F'"), m.filter("l_linestatus = 'O'"), ["recall"], ["conflict"])
 
 
-_LISTS = "WITH m AS (SELECT DISTINCT event_type AS l, user_id AS i FROM events WHERE value > 40), s AS (SELECT l, count(*) AS n FROM m GROUP BY l) "
+_LISTS = "WITH m AS (SELECT DISTINCT 'L' || (l_suppkey % 23) AS l, l_partkey AS i FROM lineitem), s AS (SELECT l, count(*) AS n FROM m GROUP BY l) "
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "events").filter("value > 40").select(F.col("event_type").alias("l"), F.col("user_id").alias("i")).distinct()
+    """Lists of parts, by their suppliers."""
+    return t(spark, d, "lineitem").select(F.concat(F.lit("L"), (F.col("l_suppkey") % 23).cast("string")).alias("l"), F.col("l_partkey").alias("i")).distinct()
 
 
 @query(_LISTS + ", p AS (SELECT a.l AS a, b.l AS b, count(*) AS k FROM m a JOIN m b ON a.i = b.i AND a.l < b.l GROUP BY ALL) SELECT p.a, p.b, k::BIGINT AS both, round(k / (x.n + y.n - k), 6) AS jaccard, round(k / x.n, 6) AS a_in_b, round(k / y.n, 6) AS b_in_a FROM p JOIN s x ON x.l = p.a JOIN s y ON y.l = p.b")
@@ -90,10 +81,19 @@ def own_contributions(spark: SparkSession, d: str) -> DataFrame:
     return overlap.own_contributions(m, m.filter("i % 2 = 0"), "l", "i")
 
 
-@query()
+def _cover_sql(steps: int) -> str:
+    """The step-wise choice, one pair of CTEs a step."""
+    ctes, rows = [], []
+    for k in range(1, steps + 1):
+        gone = " UNION ALL ".join(f"SELECT i FROM c{j}" for j in range(1, k)) or "SELECT i FROM m WHERE false"
+        ctes += [f"g{k} AS MATERIALIZED (SELECT l, count(*) AS gain FROM m WHERE i NOT IN ({gone}) GROUP BY l ORDER BY gain DESC, l LIMIT 1)", f"c{k} AS MATERIALIZED (SELECT i FROM m WHERE l IN (SELECT l FROM g{k}))"]
+        rows.append(f"SELECT {k} AS place, l, gain::BIGINT AS gain FROM g{k}")
+    return _LISTS + ", " + ", ".join(ctes) + " " + " UNION ALL ".join(rows)
+
+
+@query(_cover_sql(10))
 def greedy_cover(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(i + 1, x, n) for i, (x, n) in enumerate(overlap.greedy_cover(_lists(spark, d), "l", "i", 10))]
-    return spark.createDataFrame(rows, "place int, l string, gain long")
+    return overlap.greedy_cover(_lists(spark, d), "l", "i", 10)
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1 HAVING count(*) >= 3 AND count(*) FILTER (l_linestatus = 'F') = 0)")
@@ -120,9 +120,9 @@ def dominant_stage(spark: SparkSession, d: str) -> DataFrame:
     return monitor.dominant(e, "user_id", "event_type", "k")
 
 
-@query("WITH u AS (SELECT user_id, max((event_type = 'view')::INT) AS a, max((event_type = 'click' AND value > 20)::INT) AS b, max((event_type = 'purchase' AND value > 40)::INT) AS c FROM events GROUP BY 1) SELECT 1 AS place, 'view' AS step, sum(a)::BIGINT AS users FROM u UNION ALL SELECT 2, 'click', sum(a * b)::BIGINT FROM u UNION ALL SELECT 3, 'purchase', sum(a * b * c)::BIGINT FROM u")
+@query("WITH u AS (SELECT user_id, max((event_type = 'view')::INT) AS a, max((event_type = 'click')::INT) AS b, max((event_type = 'purchase')::INT) AS c FROM events GROUP BY 1) SELECT 1 AS place, 'view' AS step, sum(a)::BIGINT AS users FROM u UNION ALL SELECT 2, 'click', sum(a * b)::BIGINT FROM u UNION ALL SELECT 3, 'purchase', sum(a * b * c)::BIGINT FROM u")
 def step_funnel(spark: SparkSession, d: str) -> DataFrame:
-    e = t(spark, d, "events").filter("event_type = 'view' or event_type = 'click' and value > 20 or event_type = 'purchase' and value > 40")
+    e = t(spark, d, "events")
     return monitor.funnel(e, "user_id", "event_type", ["view", "click", "purchase"])
 
 
@@ -170,24 +170,19 @@ def box_suppression(spark: SparkSession, d: str) -> DataFrame:
     return spatial.suppressed(b, "scene", 0.3)
 
 
-def _nearest(spark: SparkSession, d: str, asked: str) -> DataFrame:
+def _nearest(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    points = t(spark, d, "part").filter(asked).select(k.alias("point_id"), (k % 25).alias("scene"), (k * 91 % 1000).cast("double").alias("x"), (k * 17 % 800).cast("double").alias("y"))
+    points = t(spark, d, "part").select(k.alias("point_id"), (k % 25).alias("scene"), (k * 91 % 1000).cast("double").alias("x"), (k * 17 % 800).cast("double").alias("y"))
     b = _boxes(spark, d).select(F.col("id").alias("box_id"), "scene", (F.col("x0") + F.col("w") / 2).alias("cx"), (F.col("y0") + F.col("h") / 2).alias("cy"), "w", "h", F.lit(0.0).alias("angle"))
     return spatial.nearest(points, b, "scene", 5.0)
 
 
-@query(f"WITH {_BOXES}, q AS (SELECT p_partkey AS point_id, p_partkey % 25 AS scene, (p_partkey * 91 % 1000)::DOUBLE AS x, (p_partkey * 17 % 800)::DOUBLE AS y FROM part WHERE p_partkey % 4 = 0), "
+@query(f"WITH {_BOXES}, q AS (SELECT p_partkey AS point_id, p_partkey % 25 AS scene, (p_partkey * 91 % 1000)::DOUBLE AS x, (p_partkey * 17 % 800)::DOUBLE AS y FROM part), "
  "j AS (SELECT scene, point_id, b.id AS box_id, abs(x - (x0 + w / 2)) <= w / 2 AND abs(y - (y0 + h / 2)) <= h / 2 AS inside, sqrt((x - x0 - w / 2) ** 2 + (y - y0 - h / 2) ** 2) AS away, least(96.0, greatest(24.0, 0.5 * least(w, h))) AS radius FROM q JOIN b USING (scene)), "
  "r AS (SELECT *, row_number() OVER v AS n, lead(away) OVER v AS na, lead(inside) OVER v AS ni FROM j WHERE inside OR away <= radius WINDOW v AS (PARTITION BY scene, point_id ORDER BY inside DESC, away, box_id)) "
  "SELECT scene, point_id, box_id, inside, round(away, 6) AS away, coalesce(inside = ni AND na - away < 5, false) AS ambiguous FROM r WHERE n = 1")
 def nearest_boxes(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d, "p_partkey % 4 = 0")
-
-
-@query()
-def nearest_boxes_whole(spark: SparkSession, d: str) -> DataFrame:
-    return _nearest(spark, d, "true")
+    return _nearest(spark, d)
 
 
 @query("WITH o AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) // 86400 AS lo, epoch(o_orderdate) // 86400 + o_orderkey % 60 AS hi FROM orders), w AS (SELECT *, max(hi) OVER (PARTITION BY o_custkey ORDER BY lo, hi, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM o), "

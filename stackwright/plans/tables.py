@@ -81,3 +81,24 @@ def sql_lcs(a: str, b: str) -> str:
     """Length of the longest common subsequence: a fold over a's characters, each a fold over b's."""
     row = f"list_reduce(list_transform(range(1, length({b}) + 1), lambda j: [j]), lambda r, j: list_append(r, CASE WHEN substr({b}, j[1], 1) = substr({a}, i[1], 1) THEN acc[j[1]] + 1 ELSE greatest(acc[j[1] + 1], r[len(r)]) END), [0])"
     return f"list_last(list_reduce(list_transform(range(1, length({a}) + 1), lambda i: [i]), lambda acc, i: {row}, list_transform(range(0, length({b}) + 1), lambda x: 0)))"
+
+
+def sql_ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 200.0 * {sql_lcs(a, b)} / (length({a}) + length({b})) END)"
+
+
+def sql_sorted(a: str) -> str:
+    return f"array_to_string(list_sort({sql_words(a)}), ' ')"
+
+
+def sql_token_set(a: str, b: str) -> str:
+    x, y = f"list_distinct({sql_words(a)})", f"list_distinct({sql_words(b)})"
+    both = f"array_to_string(list_sort(list_intersect({x}, {y})), ' ')"
+    only = lambda p, q: f"trim({both} || ' ' || array_to_string(list_sort(list_filter({p}, lambda v: NOT list_contains({q}, v))), ' '))"
+    return f"(SELECT greatest({sql_ratio('m', 'p')}, {sql_ratio('m', 'q')}, {sql_ratio('p', 'q')}) FROM (SELECT {both} AS m, {only(x, y)} AS p, {only(y, x)} AS q))"
+
+
+def sql_confused(w: str) -> str:
+    """Spellings of a word with one confused character, in rule order, null where a rule does not fit."""
+    once = lambda a, b: f"CASE WHEN contains({w}, '{a}') THEN regexp_replace({w}, '^(.*?){a}', '\\1{b}') END"
+    return "[" + ", ".join(once(*r) for a, b in tx.CONFUSED for r in ((a, b), (b, a))) + "]"

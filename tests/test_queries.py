@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from stackwright.plans import registry
@@ -14,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "NULL"
     if isinstance(v, (float, np.floating)):
         return f"{float(v):.9g}"
@@ -82,7 +83,7 @@ def test_whole_linkage_against_all_pairs(spark):
             score = -found[0][0]
             sure = len(found) == 1 or score + found[1][0] >= 1
             want.add((a.p_partkey, found[0][1], score, "rejected" if score < 90 else "accepted" if sure else "ambiguous"))
-    got = registry.queries()["blocked_linkage_whole"](spark, DIR).select("asked", "work", "score", "decision").collect()
+    got = registry.queries()["blocked_linkage"](spark, DIR).select("asked", "work", "score", "decision").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) and any(r.asked % 20 for r in got)
 
 
@@ -100,5 +101,5 @@ def test_whole_nearest_boxes_against_all_pairs(spark):
         if found:
             unsure = len(found) > 1 and found[0][0] == found[1][0] and found[1][1] - found[0][1] < 5
             want[k] = (found[0][2], not found[0][0], unsure)
-    got = registry.queries()["nearest_boxes_whole"](spark, DIR).collect()
+    got = registry.queries()["nearest_boxes"](spark, DIR).collect()
     assert {r.point_id: (r.box_id, r.inside, r.ambiguous) for r in got} == want and any(r.point_id % 4 for r in got)
