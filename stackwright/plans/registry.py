@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import books, catalog, files, more, reports
+from . import books, catalog, files, more, queues, reports
 
 FLAGSHIP = "match_best"
-MODULES = (catalog, reports, more, books, files)
+MODULES = (catalog, reports, more, books, files, queues)
 
 
 def queries() -> dict:

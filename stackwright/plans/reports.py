@@ -139,11 +139,6 @@ def daily_totals(spark: SparkSession, d: str) -> DataFrame:
     return e.select("day", "event_type", "n", "total")
 
 
-@query()
-def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
-    return monitor.sample_quota(t(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", 0.1, 42)
-
-
 _BOXES = "b AS (SELECT p_partkey AS id, p_partkey % 25 AS scene, (p_partkey * 37 % 1000)::DOUBLE AS x0, (p_partkey * 53 % 800)::DOUBLE AS y0, (20 + p_size * 4)::DOUBLE AS w, (15 + p_size * 3)::DOUBLE AS h FROM part)"
 
 

@@ -62,7 +62,7 @@ def test_suppressed_boxes_do_not_overlap(spark):
 
 
 def test_stratified_sample_keeps_quotas(spark):
-    p = registry.queries()["stratified_sample"](spark, DIR).toPandas()
+    p = registry.queries()["quota_sample"](spark, DIR).toPandas()
     docs = spark.read.parquet(f"{DIR}/documents.parquet").toPandas()
     for lang, n in docs.lang.value_counts().items():
         assert (p.lang == lang).sum() == math.floor(n * 0.1 + 0.5)
