@@ -108,8 +108,8 @@ def rotated_iou(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
     return pd.Series([box_iou(x, y) for x, y in zip(a[keys].itertuples(index=False, name=None), b[keys].itertuples(index=False, name=None))], dtype="float64")
 
 
-def point_in_polygon(x: Column, y: Column, points: Column) -> Column:
-    """Ray casting over an array of points."""
+def point_in_polygon(x: Column, y: Column, points: Column, boundary: bool = True) -> Column:
+    """Ray casting over an array of points; with ``boundary`` a point within a pixel of an edge is inside."""
     n = F.size(points)
 
     def flip(inside: Column, i: Column) -> Column:
@@ -118,7 +118,12 @@ def point_in_polygon(x: Column, y: Column, points: Column) -> Column:
         at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
         return F.when(crosses & (x < at), ~inside).otherwise(inside)
 
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(False), flip)
+    inside = F.when(n >= 3, F.aggregate(F.sequence(F.lit(1), n), F.lit(False), flip)).otherwise(False)
+    if not boundary:
+        return inside
+    from .planar import on_boundary
+
+    return inside | ((n >= 3) & on_boundary(x, y, points))
 
 
 def convex_hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:

@@ -86,3 +86,26 @@ def tiles(images: DataFrame, width: str, height: str, size: int, step: int) -> D
     """An overlapping grid over each image; the last tile of a row ends at the edge."""
     along = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(c) - size + step - 1), F.lit(step)), lambda x: F.least(x, F.greatest(F.lit(0), F.col(c) - size))))
     return images.withColumn("tile_x", F.explode(along(width))).withColumn("tile_y", F.explode(along(height)))
+
+
+def _corners(boxes: DataFrame) -> DataFrame:
+    return boxes.select("*", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1")) if "x1" not in boxes.columns else boxes
+
+
+def overlap_groups(boxes: DataFrame, scene: str, least: float, cell: float) -> DataFrame:
+    """(scene, boxes, grouped, pairs): the share of boxes that overlap another by ``least``, and the number of pairs.
+
+    A box of a connected group of two or more is one with a pair; no components have to be built for that.
+    """
+    b = _corners(boxes)
+    pairs = iou_pairs(b, b, scene, least, cell).filter("a_id < b_id")
+    n = pairs.groupBy(scene).agg(F.count("*").alias("pairs"))
+    inside = pairs.select(scene, F.explode(F.array("a_id", "b_id")).alias("id")).distinct().groupBy(scene).agg(F.count("*").alias("in_"))
+    out = b.groupBy(scene).agg(F.count("*").alias("boxes")).join(n, scene, "left").join(inside, scene, "left")
+    return out.select(scene, "boxes", F.round(F.coalesce("in_", F.lit(0)) / F.col("boxes"), 6).alias("grouped"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
+def untouched(boxes: DataFrame, truth: DataFrame, scene: str, cell: float) -> DataFrame:
+    """Boxes that share no area with any box of ``truth`` in their scene."""
+    hit = iou_pairs(boxes, truth, scene, 1e-12, cell).select(scene, F.col("a_id").alias("id")).distinct()
+    return boxes.join(hit, [scene, "id"], "left_anti")

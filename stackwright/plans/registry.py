@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import books, catalog, files, more, queues, reports
+from . import books, catalog, files, more, queues, reports, roles, shapes
 
 FLAGSHIP = "match_best"
-MODULES = (catalog, reports, more, books, files, queues)
+MODULES = (catalog, reports, more, books, files, queues, roles, shapes)
 
 
 def queries() -> dict:
