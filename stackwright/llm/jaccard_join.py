@@ -7,12 +7,13 @@ on some segment of any H + 1 of them.
 
 * Size bands: a pair is looked for under the band of its larger set, so a set is indexed under its own
   band and, if sets of the next one can be similar to it, under that too.
-* Allocation: a segment counts 1 when indexed as it is, 2 when indexed with its one-deletion
-  neighbourhood (the subsets that lack one element), 0 when left out; the counts must come to H + 1.
-  ``allocate`` weighs index rows against agreements by chance for each band.  Bands without deletion
-  neighbourhoods have spare segments: a segment with few elements says little and is left out while
-  others make up for it.  Whether it is left out depends on its content alone, so that the two sets of a
-  pair leave out the same ones and no pair is lost.
+* Segments: H differences touch at most H segments, and at most H/2 of those that two differences are needed to
+  tell apart, which are segments indexed with their one-deletion neighbourhood (the subsets that lack one element).
+  A segment with few elements says little and is left out, by its own content alone.  A set that keeps over H (or
+  H/2) segments so keeps one in which a similar set is the same (or a neighbour), and that set has it too; a set
+  that does not keep as many is indexed under all of them, so that two such sets meet as well.
+* Allocation: ``allocate`` weighs index rows against agreements by chance for each band, over the number of
+  segments, the least elements, and neighbourhoods or none.
 * Verification: sets that share an index row are gathered into clusters by connected components.  A cluster
   is cut into blocks of bounded size; each pair of blocks is compared in full by one task.  Links leave the
   task as a spanning forest, never as all pairs.
@@ -50,7 +51,6 @@ BLOCK = 300_000  # elements of a block of a cluster
 SETS = 2_000  # sets of a block of a cluster
 HELD = 3_000_000  # index rows held at once
 SALTS = 32
-FEW = 4  # elements below which a segment says little
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -78,13 +78,14 @@ class Band:
     low: int
     high: int
     segments: int
-    doubles: int  # the first so many segments take one-deletion neighbourhoods
+    few: int  # elements below which a segment says little
+    doubles: bool  # whether segments take one-deletion neighbourhoods
 
 
 class Plan:
     """The bands and their allocation for a threshold of num/den and a table of some number of rows."""
 
-    def __init__(self, num: int, den: int, rows: int, widen: float = 1.35) -> None:
+    def __init__(self, num: int, den: int, rows: int, widen: float = 1.6) -> None:
         self.num, self.den = num, den
         self.bands: list[Band] = []
         low = 1
@@ -92,7 +93,7 @@ class Plan:
             low += 1
         while low < 1 << 31:
             high = max(low, int(low * max(widen, den / num + 0.02)))
-            self.bands.append(Band(low, high, *self.allocate(self.most(high, high), (low + high) / 2, rows)))
+            self.bands.append(Band(low, high, *self.allocate(low, high, rows)))
             low = high + 1
         self.lows = np.array([b.low for b in self.bands])
 
@@ -100,31 +101,48 @@ class Plan:
         """The most elements in which similar sets of these sizes can differ."""
         return (a + c) * (self.den - self.num) // (self.den + self.num)
 
-    @staticmethod
-    def allocate(h: int, size: float, rows: int) -> tuple[int, int]:
-        """Segments and how many of them take neighbourhoods, at the least expected cost.
+    def apart(self, n: int, high: int) -> int:
+        """The most elements in which a set of n differs from a similar one of at most ``high``."""
+        return self.most(n, min(high, n * self.den // self.num))
 
-        Costs are index rows a set, and the sets that agree by chance: a share of 1/8 for each element.
+    def allocate(self, low: int, high: int, rows: int) -> tuple[int, int, bool]:
+        """Segments, least elements and neighbourhoods of a band, at the least expected cost.
+
+        Costs are index rows a set, and the sets that agree by chance: one set in fifty shares an eighth of the
+        elements.  Only allocations count that leave a set enough segments, by three deviations.
         """
-        best = (math.inf, 0, 0)
-        for doubles in {0, *range(max(1, h + 1 - 64), (h + 1) // 2 + 1)}:  # over 64 segments, none is large
-            singles = h + 1 - 2 * doubles
-            segments = doubles + singles + (0 if doubles else max(2, (h + 1) // 4))
-            t = size / segments
-            chance = singles * 0.125**t + doubles * (t + 1) * 0.125 ** (t - 1)
-            best = min(best, (singles + doubles * (1 + t) + rows * chance, segments, doubles))
-        return best[1], best[2]
+        best = (math.inf, 1, 0, True)
+        sizes = sorted({low, int((low * high) ** 0.5), high})
+        for doubles in (False, True):
+            required = {n: (self.apart(n, high) // 2 if doubles else self.apart(n, high)) + 1 for n in sizes}
+            most = max(required.values())
+            for segments in sorted({most + most * k // 8 + j for k in range(17) for j in (0, 1)}):
+                for few in (0, 2, 3, 4, 5, 6):
+                    cost = 0.0
+                    for n in sizes:
+                        t = n / segments
+                        k = np.arange(0, int(t + 8 * math.sqrt(t) + 12))
+                        p = np.exp(k * math.log(t) - t - np.array([math.lgamma(x + 1) for x in k]))
+                        good = float(p[few:].sum())
+                        if few and segments * good - 3 * math.sqrt(segments * good * (1 - good)) < required[n]:
+                            cost = math.inf
+                            break
+                        index = (p * (k + 1))[few:].sum() if doubles else good
+                        chance = (p * (k + 1) * 0.125 ** np.maximum(0, k - 1))[few:].sum() if doubles else (p * 0.125**k)[few:].sum()
+                        cost = max(cost, segments * float(index + rows / 50 * chance))
+                    best = min(best, (cost, segments, few, doubles))
+        return best[1:]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """The index rows of a set."""
         n, out = len(s), []
         k = int(np.searchsorted(self.lows, n, "right")) - 1
-        if k < 0 and n * self.den // self.num < self.bands[0].low:
-            return np.zeros(0, np.uint64)
         reach = n * self.den // self.num
+        if k < 0 and reach < self.bands[0].low:
+            return np.zeros(0, np.uint64)
         for b in ([k] if k >= 0 else []) + ([k + 1] if reach >= self.bands[k + 1].low else []):
             band = self.bands[b]
-            need = self.most(n, min(band.high, reach)) + 1
+            apart = self.apart(n, band.high)
             seg = ((s * M4 >> U(32)) * U(band.segments) >> U(32)).astype(np.int64)
             order = np.argsort(seg, kind="stable")
             vals = _mix(s[order] + M3)
@@ -132,19 +150,17 @@ class Plan:
             ends = np.cumsum(count)
             run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(vals, dtype=np.uint64)])
             sums = run[ends] - run[ends - count]
-            salt = (U(b) << U(32)) + np.arange(band.segments, dtype=np.uint64)
-            if not band.doubles:
-                good = count >= FEW
-                have = np.cumsum(good)
-                take = good & (have <= need) if have[-1] >= need else np.ones(band.segments, bool)
-                out.append(_mix(sums[take] ^ _mix(salt[take])))
-                continue
-            value = np.where(np.arange(band.segments) < band.doubles, 2, 1)
-            take = np.cumsum(value) - value < need
-            out.append(_mix(sums[take] ^ _mix(salt[take])))
-            near = take[seg[order]] & (seg[order] < band.doubles)
-            at = seg[order][near]
-            out.append(_mix((sums[at] - vals[near]) ^ _mix(salt[at])))
+            salt = _mix((U(b) << U(32)) + np.arange(band.segments, dtype=np.uint64))
+            good = count >= band.few
+            if int(good.sum()) < (apart // 2 if band.doubles else apart) + 1:
+                good[:] = True  # too few say enough: all count then
+            # With neighbourhoods, a segment with one element less can be another's neighbour.
+            whole = good | (count == band.few - 1) if band.doubles else good
+            out.append(_mix(sums[whole] ^ salt[whole]))
+            if band.doubles:
+                near = good[seg[order]]
+                at = seg[order][near]
+                out.append(_mix((sums[at] - vals[near]) ^ salt[at]))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
