@@ -50,3 +50,47 @@ def test_stages_on_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR) if os.path.isdir(DIR) else docs
     assert docs.count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_run_against_plain_python(spark):
+    """run() on the smallest tables: each stage's decisions, made once more for one document after the other."""
+    import sentencepiece
+    from test_operators import slow_components
+
+    from stackwright.llm import decontaminate, pii, toxicity
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    net = toxicity.train(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    scorer = toxicity.Scorer(net)
+    left = {i: t for i, t in rows.items() if scorer.scores([t])[0] < toxicity.THRESHOLD}
+    group = slow_components(list(left.items()), corpus_pipeline.WORDS, corpus_pipeline.NUM, corpus_pipeline.DEN)
+    left = {i: t for i, t in left.items() if group.get(i, i) == i}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    block = decontaminate.Benchmark(items)
+
+    def leaks(text):
+        words = decontaminate.words_of(text)
+        for own, answer in zip(block.words, block.answers):
+            if len(set(own) & set(words)) < 0.5 * len(set(own)):
+                continue
+            margin = max(8, len(own) // 4)
+            for at in range(-margin, len(words), 2):
+                region = words[max(0, at - margin) : max(0, at + len(own) + margin)]
+                if decontaminate.lcs(own, region) >= decontaminate.COMMON * len(own) and decontaminate.lcs(answer, region) >= decontaminate.ANSWER * len(answer):
+                    return True
+        return False
+
+    leaking = {i for i, t in left.items() if leaks(t)}
+    decoder = pii.Decoder(pii.train())
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, DIR).collect()}
+    assert set(out) <= set(left) and not set(left) - set(out) - leaking
+    assert len(leaking & set(out)) <= 0.1 * len(leaking)
+    import numpy as np
+
+    for i, r in out.items():
+        spans = next(pii.spans_of([left[i]], decoder))
+        want = model.encode(pii.masked(left[i], spans) if spans else left[i])
+        assert np.frombuffer(r.ids, "<u2").tolist() == want and r.n_pieces == len(want)
