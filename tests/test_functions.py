@@ -1,14 +1,17 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stackwright.functions import geometry as g
 from stackwright.functions import names as na
 from stackwright.functions import numbers as nu
+from stackwright.functions import planar as pl
+from stackwright.functions import quality as q
 from stackwright.functions import text as tx
-from stackwright.operators import etl, monitor, spatial
-from stackwright.sources import records, sinks
+from stackwright.operators import etl, monitor, queue, spatial
+from stackwright.sources import books, records, sinks
 from stackwright.streaming import jobs
 
 
@@ -153,3 +156,64 @@ def test_stream_cooldowns(spark, tmp_path):
     q.stop()
     got = {r.k: (r.attempts, r.retry_after.strftime("%H:%M")) for r in spark.table("c").collect()}
     assert got == {1: (2, "00:50"), 2: (1, "00:10")}
+
+
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ranks_over_many_range_partitions(spark, coalesce):
+    """Every row is ranked once, in order, whatever Spark makes of its partitions."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    try:
+        n = 400_000
+        rows = spark.range(0, n, 1, 9).select(F.col("id").alias("k"), (F.xxhash64("id") % 500).alias("c"), F.lit("x").alias("more"))
+        out = etl.ranked(rows, "k", "c").select("k", "c", F.col("popularity_rank").alias("r")).toPandas().sort_values("r")
+        assert out.r.tolist() == list(range(1, n + 1))
+        want = out.sort_values(["c", "k"], ascending=[False, True])
+        assert want.k.tolist() == out.k.tolist()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_totals_before_rows_with_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(1, None, 2), (2, 5, 3), (3, 5, 4), (4, 1, 10)], "k int, v int, w int")
+    out = {r.k: r.before for r in etl.running_totals(rows, [F.col("v"), F.col("k")], F.col("w"), "before").collect()}
+    assert out == {1: 0, 4: 2, 2: 12, 3: 15}
+    assert etl.running_totals(rows.limit(0), ["v"], F.lit(1), "before").count() == 0
+
+
+def test_plane_geometry(spark):
+    square = [(0, 0), (4, 0), (4, 4), (0, 4)]
+    arrow = [(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]
+    assert pl.is_convex(square) and not pl.is_convex(arrow)
+    assert sum(g.area(t) for t in pl.triangles(arrow)) == pytest.approx(abs(g.area(arrow)))
+    assert pl.overlap_area(square, [(2, 2), (6, 2), (6, 6), (2, 6)]) == pytest.approx(4) and pl.overlap_area(arrow, square) == pytest.approx(10)
+    assert pl.segment_cross([(0, 0), (2, 2)], [(0, 2), (2, 0)]) == pytest.approx((0.5, 0.5)) and pl.segment_cross([(0, 0), (1, 0)], [(0, 1), (1, 1)]) is None
+    assert pl.separating_angle(square, [(5, 0), (9, 0), (9, 4)]) == 0 and pl.separating_angle(square, arrow) is None
+    assert pl.smooth(np.array([0, 0, 5, 0, 0.0]), 5).tolist() == [1, 1, 1, 1, 1] and pl.best_gap([5, 5, 0, 5, 5, 1, 5], 0, 6, [(1, 3)], 1) == 5
+    assert pl.projective([(0, 0)] * 4, square) is None
+    pts = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in square))
+    at = lambda x, y: one(spark, g.point_in_polygon(F.lit(x), F.lit(y), pts), pl.strictly_inside(F.lit(x), F.lit(y), pts), g.point_in_polygon(F.lit(x), F.lit(y), pts, boundary=False))
+    assert at(2.0, 2.0) == (True, True, True) and at(0.0, 2.0)[:2] == (True, False) and at(9.0, 9.0) == (False, False, False)
+
+
+def test_picture_gate(spark):
+    flat, lines = bytes([128]) * 64, bytes([0, 255] * 32)
+    got = one(spark, q.sharpness(F.lit(flat), F.lit(8)), q.sharpness(F.lit(lines), F.lit(8)), q.exposure(F.lit(flat)), q.exposure(F.lit(b"")))
+    assert got[0] == 0 and got[1] > 0.99 and got[2] == pytest.approx(1 - 0.5 / 127.5) and got[3] == 0
+
+
+def test_ring_and_rates(spark):
+    ring = F.array(*map(F.lit, "abc"))
+    assert one(spark, *(queue.successor(ring, F.lit(c)) for c in "acz")) == ("b", "a", "a")
+    r = one(spark, queue.rate(F.lit(1), F.lit(0), F.lit(0)))[0]
+    assert (r.success, r.per_minute) == (0.0, 0.0)
+
+
+def test_absent_and_strict_json(spark, tmp_path):
+    assert books.existing(spark, str(tmp_path / "none"), "a long").count() == 0
+    (tmp_path / "x.json").write_text('{"a": 1}\n{"a": \n')
+    assert books.existing(spark, str(tmp_path / "x.json"), "a long").filter("a = 1").count() == 1
+    with pytest.raises(Exception):
+        books.strict(spark, str(tmp_path / "x.json"), "a long").collect()
