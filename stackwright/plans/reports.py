@@ -148,13 +148,26 @@ def _boxes(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("x1", F.col("x0") + F.col("w")).withColumn("y1", F.col("y0") + F.col("h"))
 
 
-@query(f"WITH {_BOXES}, p AS (SELECT a.scene, a.id AS a_id, c.id AS b_id, greatest(0, least(a.x0 + a.w, c.x0 + c.w) - greatest(a.x0, c.x0)) * greatest(0, least(a.y0 + a.h, c.y0 + c.h) - greatest(a.y0, c.y0)) AS i, a.w * a.h + c.w * c.h AS s FROM b a JOIN b c USING (scene) WHERE a.id % 2 = 0 AND c.id % 2 = 1) SELECT scene, a_id, b_id, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.2")
+_IOU = f"{_BOXES}, ij AS (SELECT a.scene, a.id AS a_id, c.id AS b_id, greatest(0, least(a.x0 + a.w, c.x0 + c.w) - greatest(a.x0, c.x0)) * greatest(0, least(a.y0 + a.h, c.y0 + c.h) - greatest(a.y0, c.y0)) AS i, a.w * a.h + c.w * c.h AS s FROM b a JOIN b c USING (scene) WHERE a.id % 2 = 0 AND c.id % 2 = 1), p AS (SELECT scene, a_id, b_id, round(i / (s - i), 6) AS iou FROM ij WHERE i / (s - i) >= 0.2)"
+
+
+@query(f"WITH {_IOU} SELECT * FROM p")
 def box_iou_join(spark: SparkSession, d: str) -> DataFrame:
     b = _boxes(spark, d)
     return spatial.iou_pairs(b.filter("id % 2 = 0"), b.filter("id % 2 = 1"), "scene", 0.2, 200.0).withColumn("iou", F.round("iou", 6))
 
 
-@query()
+def _greedy_sql(rounds: int) -> str:
+    """Round by round, the pairs that come first for both their boxes; the rest goes on without those boxes."""
+    ctes, left = [], "p"
+    for k in range(1, rounds + 1):
+        ctes.append(f"m{k} AS MATERIALIZED (SELECT scene, a_id, b_id, iou FROM (SELECT *, row_number() OVER (PARTITION BY scene, a_id ORDER BY iou DESC, b_id) AS x, row_number() OVER (PARTITION BY scene, b_id ORDER BY iou DESC, a_id) AS y FROM {left}) WHERE x = 1 AND y = 1)")
+        ctes.append(f"p{k} AS MATERIALIZED (SELECT * FROM {left} WHERE (scene, a_id) NOT IN (SELECT (scene, a_id) FROM m{k}) AND (scene, b_id) NOT IN (SELECT (scene, b_id) FROM m{k}))")
+        left = f"p{k}"
+    return f"WITH {_IOU}, " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT * FROM m{k}" for k in range(1, rounds + 1))
+
+
+@query(_greedy_sql(16))
 def box_greedy_match(spark: SparkSession, d: str) -> DataFrame:
     return spatial.greedy_matches(box_iou_join(spark, d), "scene")
 

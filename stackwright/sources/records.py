@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,9 +40,12 @@ def zipped(pages: DataFrame, arrays: list[str]) -> DataFrame:
     return pages.filter(n > 0).select(*rest, F.explode(cut).alias("z_")).select(*rest, *(F.col("z_").getField(c).alias(c) for c in arrays))
 
 
-def require_fields(raw: DataFrame, fields: list[str], value: str = "value") -> DataFrame:
-    """(file, missing): files whose first line lacks a field; an empty result is a pass."""
-    first = raw.groupBy("file").agg(F.first(value).alias(value))
+def require_fields(raw: DataFrame, fields: list[str], value: str = "value", order: Column | None = None) -> DataFrame:
+    """(file, missing): files whose first line lacks a field; an empty result is a pass.
+
+    ``order`` says which line is first; without it, it is the place in the task that read the file.
+    """
+    first = raw.withColumn("order_", F.monotonically_increasing_id() if order is None else order).groupBy("file").agg(F.min_by(value, "order_").alias(value))
     missing = F.array_except(F.array(*map(F.lit, fields)), F.coalesce(F.json_object_keys(value), F.array().cast("array<string>")))
     return first.select("file", missing.alias("missing")).filter(F.size("missing") > 0)
 
