@@ -56,3 +56,13 @@ def rank_score(rank: Column, total: Column) -> Column:
 def trapezoid(x: Column, a: float, b: float, c: float, d: float) -> Column:
     """0 outside a..d, 1 within b..c, straight between."""
     return F.when((x <= a) | (x >= d), 0.0).when(x < b, (x - a) / (b - a)).when(x <= c, 1.0).otherwise((d - x) / (d - c))
+
+
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to some decimals: the double x * 10^digits, half away from zero, as DuckDB rounds.
+
+    ``F.round`` goes by a double's shortest decimal form, which lies on the other side of some halves.
+    """
+    y = F.abs(x) * F.lit(10.0**digits)
+    whole = F.floor(y).cast("double")
+    return F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)

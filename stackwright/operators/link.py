@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackwright.sources.shared import stored
+
 
 def block_join(left: DataFrame, right: DataFrame, keys: str, left_id: str, right_id: str) -> DataFrame:
     """Pairs that share a blocking key, once each; ``keys`` is an array column on both sides."""
@@ -51,9 +53,13 @@ def shelf_score(rating: Column, ratings: Column, lists: Column, editions: Column
 
 
 def rerank(rows: DataFrame, blend: Column, old_rank: str, key: str, rank: str = "new_rank") -> DataFrame:
-    """Rows by falling blend, then old rank, then key, numbered from 1."""
+    """Rows by falling blend, then old rank, then key, numbered from 1.
+
+    The blend is stored first: sums of doubles can differ in their last bits each time they are made, and the
+    ranks read it several times.
+    """
     from .etl import ranked
 
-    scored = rows.withColumn("blend", blend)
+    scored = stored(rows.withColumn("blend", blend), "blended")
     order = scored.withColumn("order_", F.struct((-F.col("blend")).alias("b"), F.col(old_rank).alias("o"), F.col(key).alias("k"))).withColumn("zero_", F.lit(0))
     return ranked(order, "order_", "zero_", rank).drop("order_", "zero_")
