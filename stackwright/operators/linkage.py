@@ -1,6 +1,8 @@
 """Linking records by title and author: blocks, an author gate, identity, scores per title, a margin.
 
-Only ids and keys are shuffled to form pairs; a pair's titles and people are joined to it afterwards.
+Pairs are formed of what rows have in common, not of rows: people meet once a block, a title's score is made once a
+pair of cores, and a core's best row is chosen before titles meet.  Each step has at most a row a pair of distinct
+(core, people, keys) of the two sides, so that copies of a record cost no pairs.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stackwright.functions import names as na
 from stackwright.functions import text as tx
+from stackwright.operators.etl import running_totals
 from stackwright.sources.shared import stored
 
 #: Least score of a title, and least distance to the next one.
@@ -28,54 +31,96 @@ def described(rows: DataFrame, key: str, title: str, author: str, *more: str) ->
     return stored(two.select(key, "core", "people", "spelled", numbers.alias("numbers"), words.alias("sorted"), keys.alias("keys"), *more), "described")
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Distinct pairs of keys that share a block; both sides as ``described``."""
-    each = lambda d, k: d.select(k, F.explode("keys").alias("block_"))
-    return each(left, left_key).join(each(right, right_key), "block_").select(left_key, right_key).distinct()
+def _people(side: DataFrame) -> DataFrame:
+    """``side`` with who: what the gate reads of the people."""
+    return side.withColumn("who", F.transform("people", lambda p: F.struct(p["tokens"].alias("tokens"), p["family"].alias("family"))))
 
 
-def scored_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """Candidate pairs whose people may be the same: both keys, core_b, editions, same and raw.
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Distinct rows with a number each, stored: joins by numbers shuffle no text."""
+    return stored(rows.distinct().withColumn(name, F.monotonically_increasing_id()), "numbers")
 
-    ``raw`` is 100 for the same title, 0 where both hold volume numbers and share none, else the ratio of the
-    sorted words.
+
+def _places(right: DataFrame, right_key: str) -> DataFrame:
+    """For each (core, who) of the right side its rows with most editions, the one with the largest key and the one with
+    the smallest: core, who, large_key and small_key, and their places large (more is better) and small (less is better).
+
+    Places are whole numbers, so that the best of many pairs is a plain maximum or minimum.
     """
-    shared = ["core", "people", "spelled", "numbers", "sorted"]
-    a = left.select(left_key, *(F.col(c).alias(f"{c}_a") for c in shared))
-    b = right.select(right_key, "editions", *(F.col(c).alias(f"{c}_b") for c in shared))
-    pairs = candidate_pairs(left, right, left_key, right_key).join(a, left_key).join(b, right_key)
-    pairs = pairs.filter(na.same_people(F.col("people_a"), F.col("people_b")))
-    no = F.lit(False)
-    same = (F.col("core_a") == F.col("core_b")) | F.coalesce(F.col("spelled_a") == F.col("core_b"), no) | F.coalesce(F.col("spelled_b") == F.col("core_a"), no)
-    apart = (F.size("numbers_a") > 0) & (F.size("numbers_b") > 0) & ~F.arrays_overlap("numbers_a", "numbers_b")
-    raw = F.when(F.col("same"), 100.0).when(apart, 0.0).otherwise(tx.ratio_udf("sorted_a", "sorted_b"))
-    return pairs.withColumn("same", same).select(left_key, right_key, "core_b", "editions", "same", raw.alias("raw"))
+    up = F.max(F.struct("editions", F.col(right_key).alias("key"))).alias("up")
+    down = F.min(F.struct(F.col("editions").isNull().alias("none"), (-F.col("editions")).alias("less"), F.col(right_key).alias("key"))).alias("down")
+    each = stored(right.groupBy("core", "who").agg(up, down), "places")
+    placed = running_totals(each, [F.col("up.editions"), F.col("up.key")], F.lit(1), "large")
+    placed = running_totals(stored(placed, "places"), [F.col("down.none"), F.col("down.less"), F.col("down.key")], F.lit(1), "small")
+    return stored(placed.select("core", "who", "large", "small", F.col("up.key").alias("large_key"), F.col("down.key").alias("small_key")), "places")
 
 
-def decided(pairs: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    """left_key, right_key, method, score and margin from scored pairs (core_b, editions, same, raw).
+def scored_titles(left: DataFrame, right: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For each (core, who) of the left side, by its number ``asked``, the cores of the right one that share a block
+    with it and whose people may be the same: asked, core_b (a number), same, raw, and the best places of that core's
+    rows.  With it the numbers of the left side: core, who and asked.  Both sides as ``described`` and ``_people``,
+    ``places`` as ``_places``; a row without a core has no pair.
+
+    ``raw`` is 100 for the same title, 0 where both hold volume numbers and share none, else the ratio of the
+    sorted words.  All rows of a core have the same ``raw``.
+    """
+    x, y = left, right
+    block, shared = F.explode("keys").alias("block"), ["core", "spelled", "numbers", "sorted"]
+    best = [F.max("large").alias("large"), F.min("small").alias("small")]
+    cores = {s: _numbered(side.select(*shared), f"core_{s}") for s, side in (("a", x), ("b", y))}
+    people = _numbered(x.select("who").union(y.select("who")), "person")
+    asked = _numbered(x.select("core", "who"), "asked")
+    blocks = _numbered(x.select(block).distinct().join(y.select(block).distinct(), "block"), "block_")
+
+    a = x.select("core", "who", block).distinct().join(blocks, "block").join(asked, ["core", "who"]).join(people, "who").join(cores["a"].select("core", "core_a"), "core")
+    a = stored(a.select("block_", "person", "core_a", "asked"), "blocks")
+    b = y.select("core", "who", block).distinct().join(blocks, "block").join(places, ["core", "who"]).join(people, "who").join(cores["b"].select("core", "core_b"), "core")
+    b = stored(b.select("block_", F.col("person").alias("person_b"), "core_b", "large", "small"), "blocks")
+
+    met = stored(a.select("block_", "person").distinct().join(b.select("block_", "person_b").distinct(), "block_"), "people")
+    gate = met.select("person", "person_b").distinct().join(people, "person").join(people.select(F.col("person").alias("person_b"), F.col("who").alias("who_b")), "person_b")
+    allowed = met.join(gate.filter(na.same_people(F.col("who"), F.col("who_b"))).select("person", "person_b"), ["person", "person_b"])
+    near = allowed.join(b, ["block_", "person_b"]).groupBy("block_", "person", "core_b").agg(*best)
+    found = stored(a.join(near, ["block_", "person"]).groupBy("asked", "core_a", "core_b").agg(*best), "titles")
+
+    one = lambda s: cores[s].select(f"core_{s}", *(F.col(c).alias(f"{c}_of_{s}") for c in shared))
+    pairs = found.select("core_a", "core_b").distinct().join(one("a"), "core_a").join(one("b"), "core_b")
+    no, col = F.lit(False), F.col
+    same = (col("core_of_a") == col("core_of_b")) | F.coalesce(col("spelled_of_a") == col("core_of_b"), no) | F.coalesce(col("spelled_of_b") == col("core_of_a"), no)
+    apart = (F.size("numbers_of_a") > 0) & (F.size("numbers_of_b") > 0) & ~F.arrays_overlap("numbers_of_a", "numbers_of_b")
+    raw = F.when(col("same"), 100.0).when(apart, 0.0).otherwise(tx.ratio_udf("sorted_of_a", "sorted_of_b"))
+    scored = found.join(pairs.withColumn("same", same).select("core_a", "core_b", "same", raw.alias("raw")), ["core_a", "core_b"])
+    return scored.drop("core_a"), asked
+
+
+def decided(titles: DataFrame) -> DataFrame:
+    """asked, method, score and margin from ``scored_titles``, and the linked row's place, large or small.
 
     Of rows with the same title the one with most editions wins, then the largest key; no margin counts
-    there.  Else each title keeps its row with most editions (then the best score, then the smallest key);
+    there.  Else each title keeps its row with most editions (then the smallest key);
     the best title must reach ``ACCEPT`` and lead the next by ``MARGIN``; a single title leads.
     """
-    same = pairs.filter("same").groupBy(left_key).agg(F.max(F.struct("editions", right_key)).alias("w"))
-    same = same.select(left_key, F.col(f"w.{right_key}").alias(right_key), F.lit("title_author").alias("method"), F.lit(100.0).alias("score"), F.lit(None).cast("double").alias("margin"))
-    rest = pairs.join(same.select(left_key), left_key, "left_anti")
-    per = Window.partitionBy(left_key, "core_b").orderBy(F.desc("editions"), F.desc("raw"), right_key)
-    best = rest.withColumn("n_", F.row_number().over(per)).filter("n_ = 1")
-    order = Window.partitionBy(left_key).orderBy(F.desc("raw"), F.desc("editions"), right_key)
-    top = best.withColumn("p_", F.row_number().over(order)).withColumn("next_", F.lead("raw").over(order)).filter("p_ = 1")
+    none = F.lit(None).cast("long")
+    same = titles.filter("same").groupBy("asked").agg(F.max("large").alias("large"))
+    same = same.select("asked", "large", none.alias("small"), F.lit("title_author").alias("method"), F.lit(100.0).alias("score"), F.lit(None).cast("double").alias("margin"))
+    rest = titles.join(same.select("asked"), "asked", "left_anti")
+    order = Window.partitionBy("asked").orderBy(F.desc("raw"), "small")
+    top = rest.withColumn("p_", F.row_number().over(order)).withColumn("next_", F.lead("raw").over(order)).filter("p_ = 1")
     gap = F.col("raw") - F.col("next_")
     good = (F.col("raw") >= ACCEPT) & (gap.isNull() | (gap >= MARGIN))
-    scored = top.select(left_key, F.when(good, F.col(right_key)).alias(right_key), F.when(good, "title_author").otherwise("ambiguous").alias("method"), F.when(good, 0.7 * F.col("raw") + 30.0).otherwise(F.col("raw")).alias("score"), gap.alias("margin"))
+    scored = top.select("asked", none.alias("large"), F.when(good, F.col("small")).alias("small"), F.when(good, "title_author").otherwise("ambiguous").alias("method"), F.when(good, 0.7 * F.col("raw") + 30.0).otherwise(F.col("raw")).alias("score"), gap.alias("margin"))
     return same.unionByName(scored)
 
 
 def match_title_author(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """A row for each left key: the right key it is linked to, if any, with method, score and margin."""
-    found = decided(scored_pairs(left, right, left_key, right_key), left_key, right_key)
-    return left.select(left_key).join(found, left_key, "left").withColumn("method", F.coalesce("method", F.lit("unmatched")))
+    x, y = _people(left), _people(right)
+    places = _places(y, right_key)
+    titles, asked = scored_titles(x, y, places)
+    found = decided(titles).join(places.select("large", "large_key"), "large", "left").join(places.select("small", "small_key"), "small", "left")
+    found = asked.join(found, "asked").select("core", "who", F.coalesce("large_key", "small_key").alias(right_key), "method", "score", "margin")
+    each = x.select(left_key, "core", "who").join(stored(found, "links"), ["core", "who"], "left")
+    return each.select(left_key, right_key, F.coalesce("method", F.lit("unmatched")).alias("method"), "score", "margin")
 
 
 def match_cascade(left: DataFrame, isbns: DataFrame, by_title: DataFrame, left_key: str, isbn: str, right_key: str) -> DataFrame:

@@ -182,8 +182,8 @@ def link_methods(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT work, count(*) AS n, count(DISTINCT core) AS cores FROM r GROUP BY work HAVING count(*) >= 2), k AS (SELECT work, max(c) AS most FROM (SELECT work, w, count(*) AS c FROM (SELECT work, unnest(ws) AS w FROM r) GROUP BY ALL) GROUP BY work)
 SELECT work, n::BIGINT AS n, cores::BIGINT AS cores, cores > 1 OR coalesce(most, 0) < n AS suspicious FROM g LEFT JOIN k USING (work)""")
 def suspicious_works(spark: SparkSession, d: str) -> DataFrame:
-    left, _ = _sides(spark, d)
-    return linkage.suspicious_works(_linked(spark, d), left, "id", "work")
+    left, right = _sides(spark, d)
+    return linkage.suspicious_works(linkage.match_title_author(left, right, "id", "work"), left, "id", "work")
 
 
 @query(f"""WITH {_LINK}, lb AS (SELECT id, CASE WHEN id % 8 = 0 THEN id + 1 WHEN id % 8 = 4 THEN NULL ELSE id - 1 END AS truth FROM b WHERE id % 4 = 0)
