@@ -32,14 +32,16 @@ def consolidate(left: DataFrame, right: DataFrame, key: str, left_flag: str, rig
     return out.select(*cols, F.col("in_a_").isNotNull().alias(left_flag), F.col("in_b_").isNotNull().alias(right_flag))
 
 
-def decide(scores: DataFrame, query: str, candidate: str, score: str, threshold: float = 90, margin: float = 8) -> DataFrame:
+def decide(scores: DataFrame, query: str, candidate: str, score: str, threshold: float = 90, margin: float = 8, many: str | None = None) -> DataFrame:
     """query, best candidate, its score, the gap to the next candidate and a decision.
 
-    A candidate's best row counts.  Without a second candidate the gap is null and passes.
+    A candidate's best row counts.  Without a second candidate the gap is null and passes.  With ``many`` a row stands
+    for so many candidates of that score, the first of which it names.
     """
-    best = scores.groupBy(query, candidate).agg(F.max(score).alias("score"))
+    best = scores.groupBy(query, candidate).agg(F.max(score).alias("score"), *([F.max_by(many, score).alias("many_")] if many else []))
     w = Window.partitionBy(query).orderBy(F.desc("score"), candidate)
-    top = best.withColumn("n_", F.row_number().over(w)).withColumn("next_", F.lead("score").over(w)).filter("n_ = 1")
+    after = F.lead("score").over(w)
+    top = best.withColumn("n_", F.row_number().over(w)).withColumn("next_", F.when(F.col("many_") > 1, F.col("score")).otherwise(after) if many else after).filter("n_ = 1")
     gap = F.col("score") - F.col("next_")
     decision = F.when(F.col("score") < threshold, "rejected").when(gap.isNull() | (gap >= margin), "accepted").otherwise("ambiguous")
     return top.select(query, candidate, "score", gap.alias("margin"), decision.alias("decision"))
