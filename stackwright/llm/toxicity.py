@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -426,8 +427,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # One row a doc_id (of several texts one by a hash), then rows in the order of the hash up to the bound:
-    # at most 2 x sample rows and 2 x SAMPLE_CHARS characters reach the driver.
+    # One row a doc_id (of several texts one by a hash), then rows in the order of the hash up to the bound: at most
+    # 2 x sample rows and 2 x SAMPLE_CHARS characters reach the fit, which is a task's work; the driver gets the network.
     each = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.xxhash64("text")).alias("text"))
     sizes = each.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")]).to_pylist()
     fits, held = [], {0: 0, 1: 0}
@@ -437,11 +438,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
             fits.append(r["doc_id"])
         else:
             held[r["toxic"]] -= r["n"]
-    rows = (each if len(fits) == len(sizes) else each.filter(F.col("doc_id").isin(fits))).toArrow().sort_by("doc_id")
-    net = Network()
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else 0.0
-    net.fit([words_of(t) for t in rows.column("text").to_pylist()], rows.column("toxic").to_numpy().astype(np.int64), share)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        net = Network()
+        net.fit([words_of(text) for _, _, text in rows], np.array([toxic for _, toxic, _ in rows], np.int64), share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    rows = each if len(fits) == len(sizes) else each.filter(F.col("doc_id").isin(fits))
+    made = rows.repartition(1).mapInArrow(fitted, "net binary").collect() if fits else []
+    if made:
+        return pickle.loads(made[0].net)
+    net = Network()
+    net.rate = share
     return net
 
 

@@ -104,6 +104,14 @@ def test_toxicity_learns_stems_and_holds_out(spark, awkward, empty):
     assert {r.score for r in toxicity.score(awkward, none).collect()} == {0.0}
 
 
+def test_toxicity_is_fitted_in_a_task_not_in_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"clean words number {i}" if i % 2 else f"rude nasty number {i}") for i in range(80)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(1 - doc_id % 2 as int) as toxic")
+    monkeypatch.setattr(toxicity.Network, "fit", lambda *_, **__: pytest.fail("the driver fits"))
+    net = toxicity.train(docs, labels)
+    assert net.fitted and 0 < net.rate < 1
+
+
 # --- 3: pieces
 
 
