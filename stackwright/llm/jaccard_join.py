@@ -49,6 +49,7 @@ U = np.uint64
 M1, M2, M3, M4 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
 BLOCK = 300_000  # elements of a block of a cluster
 SETS = 2_000  # sets of a block of a cluster
+STRIP = 256  # rows of a block's matrix that are multiplied and judged at once
 HELD = 3_000_000  # index rows held at once
 SALTS = 32
 
@@ -198,13 +199,23 @@ def linked_groups(sets: list[np.ndarray], num: int, den: int, sides: np.ndarray
         own = (cols >= a) & (cols < a + wide)
         x = np.zeros((n, wide), np.float32)
         x[o[own], cols[own] - a] = 1
-        shared += np.triu(x @ x.T)
-    i, j = np.nonzero(np.triu(shared, 1))
-    both = shared[i, j].astype(np.int64)
-    ok = den * both >= num * (size[i] + size[j] - both)
-    if sides is not None:
-        ok &= sides[i] != sides[j]
-    i, j = i[ok], j[ok]
+        for top in range(0, n, STRIP):
+            shared[top : top + STRIP, top:] += x[top : top + STRIP] @ x[top:].T
+    # Strip by strip, so that beside the matrix only a strip's pairs are held.
+    for top in range(0, n, STRIP):
+        part = shared[top : top + STRIP, top:]
+        i, j = np.nonzero(np.triu(part, 1))
+        both = part[i, j].astype(np.int64)
+        i, j = i + top, j + top
+        ok = den * both >= num * (size[i] + size[j] - both)
+        if sides is not None:
+            ok &= sides[i] != sides[j]
+        root = _joined(root, i[ok], j[ok])
+    return root
+
+
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first member of each one's group, after the groups of i and j are made one."""
     while len(i):
         low = np.minimum(root[i], root[j])
         new = root.copy()
@@ -258,9 +269,12 @@ def met(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows, owner = rows[by], owner[by]
     new = np.ones(len(rows), bool)
     new[1:] = rows[1:] != rows[:-1]
-    least = owner[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
-    pair = np.unique(np.stack([owner[~new], least[~new]]), axis=1)
+    del by
+    start, again = np.flatnonzero(new), np.flatnonzero(~new)
+    pair = np.stack([owner[again], owner[start[np.searchsorted(start, again) - 1]]])
     pair = pair[:, pair[0] != pair[1]]
+    pair = pair[:, np.lexsort(pair[::-1])]
+    pair = pair[:, np.concatenate([[True], (pair[:, 1:] != pair[:, :-1]).any(0)])[: pair.shape[1]]]
     own = _mix(_mix(pair[0].astype(np.uint64) + M1) + pair[1].astype(np.uint64))
     return np.concatenate([rows[new], own, own]), np.concatenate([owner[new], pair[0], pair[1]])
 
@@ -275,7 +289,10 @@ def _index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
             rows, owners, n = [], [], 0
 
             def out() -> pa.RecordBatch:
-                row, owner = met(np.concatenate(rows), np.concatenate(owners))
+                each = np.concatenate(rows), np.concatenate(owners)
+                rows.clear()
+                owners.clear()
+                row, owner = met(*each)
                 return pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), pa.array(owner)], ["row", "doc_id"])
 
             for i, s, digest in _batches(batch, words):
@@ -289,7 +306,7 @@ def _index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
                 n += len(r)
                 if n > HELD:
                     yield out()
-                    rows, owners, n = [], [], 0
+                    n = 0
             if n:
                 yield out()
 
