@@ -19,9 +19,12 @@ count there), the rows are dealt by hash, summed to count tables, and joined bac
 totals of those of its n-grams that other batches hold too.  Any other total is the batch's own count.  An n-gram of
 three words or more can stand in another batch only if the two shorter ones that it ends and begins with do, so
 that only such are exploded: that drops no count.  An n-gram that is everywhere is a row a batch, so no key is hot,
-and a batch sends a row to those parts only that it has n-grams for.  The batch's documents are then scored and
-summed.  Batches are written to files in the shared folder first, named only by the rows of the attempt that wrote
-them, and read back by range.
+and a batch sends a row to those parts only that it has n-grams for.
+
+The n-grams are worked off in ``SLICES`` slices by their hash, one after another, so that only a slice's rows are on
+disk at a time.  What a slice leaves are the counts at the words of a batch, in a file, without hashes; the batch's
+documents are scored from these and summed.  Batches and counts are written to files in the shared folder, named
+only by the rows of the attempt that wrote them, and read back by range.
 
 Defined results
 ---------------
@@ -42,15 +45,17 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import opened, released, scratch, stored, table
+from .common import opened, released, scratch, shuffles_freed, stored, table
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BACKOFF = 0.4
 ORDER = 3
 BATCH_CHARS = 10_000_000
 PART_ROWS = 4_000_000
+SLICES = 4
 U = np.uint64
 BATCH = "batch long, words long, file string, at long, parts array<long>"
+COUNTS = "batch long, length int, slice int, file string, width int"
 ASKED = "gram long, batch long, n long"
 RESULT = "doc_id long, n_words long, log_score double, mean_log double"
 
@@ -114,73 +119,85 @@ def _batches(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class Batch:
-    """A batch's documents, its words' places, and its distinct n-grams by length."""
+    """A batch's documents, its words' places, and its n-grams by length and slice."""
 
-    def __init__(self, folder: str, row: dict, order: int = ORDER) -> None:
-        fs, base = opened(folder)
-        with fs.open_input_file(f"{base}/{row['file']}") as file:
+    def __init__(self, folder: str, row: dict) -> None:
+        self.fs, self.base = opened(folder)
+        with self.fs.open_input_file(f"{self.base}/{row['file']}") as file:
             file.seek(row["at"])
             blobs = [zstandard.decompress(file.read(n)) for n in row["parts"]]
-        self.batch = row["batch"]
+        self.batch, self.counted = row["batch"], row.get("counted") or []
         self.ids = np.frombuffer(blobs[0], np.int64)
         self.null = np.frombuffer(blobs[1], np.uint8) > 0
         self.sizes = np.frombuffer(blobs[2], np.uint32).astype(np.int64)
-        words, places = np.frombuffer(blobs[3], np.uint64), np.frombuffer(blobs[4], np.uint32)
+        self.words, self.places = np.frombuffer(blobs[3], np.uint64), np.frombuffer(blobs[4], np.uint32)
         self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.sizes)
-        h = words[places]
+
+    def grams(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of the last words of n-grams, and the n-grams' hashes."""
+        if length == 1:
+            return np.arange(len(self.places)), _mix(self.words ^ U(0x5851F42D4C957F2D))[self.places]
+        gram = h = self.words[self.places]
         nth = np.arange(len(h)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        # By length: the positions of last words, distinct keys, and the key of each position.
-        self.grams = [(np.arange(len(h)), _mix(words ^ U(0x5851F42D4C957F2D)), places)]
-        gram = h
-        for n in range(2, order + 1):
+        for n in range(2, length + 1):
             after = np.flatnonzero(nth >= n - 1)
             whole = np.zeros(len(h), np.uint64)
             whole[after] = _mix(_mix(gram[after - 1] + U(n - 1)) + h[after])
-            keys, at = np.unique(whole[after], return_inverse=True)
-            self.grams.append((after, keys, at.astype(np.uint32)))
             gram = whole
-
-    def rows(self, length: int, shared: np.ndarray | None = None) -> pa.Table:
-        """Rows of the n-grams of a length; with ``shared``, the sorted shorter ones that other batches hold,
-        only of those whose beginning and end are among them."""
-        after, keys, at = self.grams[length - 1]
-        counts = np.bincount(at, minlength=len(keys))
-        if shared is not None:
-            before, shorter, which = self.grams[length - 2]
-            place = np.minimum(np.searchsorted(shared, shorter), max(0, len(shared) - 1))
-            good = shared[place] == shorter if len(shared) else np.zeros(len(shorter), bool)
-            whole = np.zeros(len(self.doc), bool)
-            whole[before] = good[which]
-            keep = np.zeros(len(keys), bool)
-            keep[at[whole[after] & whole[after - 1]]] = True
-            keys, counts = keys[keep], counts[keep]
+        return after, gram[after]
+
+    def rows(self, length: int, part: int) -> pa.Table:
+        """Rows of the n-grams of a length and slice; of three words or more only of those whose beginning and end
+        other batches hold."""
+        after, whole = self.grams(length)
+        keep = whole % U(SLICES) == part
+        if length > 2:
+            shared = self.counts(length - 1) & 1 > 0
+            keep &= shared[after] & shared[after - 1]
+        keys, counts = np.unique(whole[keep], return_counts=True)
         return pa.table({"gram": keys.view(np.int64), "batch": np.full(len(keys), self.batch), "n": counts})
 
-    def scores(self, grams: np.ndarray, totals: np.ndarray, corpus: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words and summed logarithms of each document; totals of the n-grams that other batches hold."""
-        by = np.argsort(grams)
-        grams, totals = grams[by], totals[by]
-
-        def others(keys: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-            """At each position the n-gram's count in all other documents."""
-            total = np.bincount(at, minlength=len(keys))
-            if len(grams):
-                place = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
-                total = np.where(grams[place] == keys, totals[place], total)
-            _, back, own = np.unique(doc * np.int64(max(1, len(keys))) + at, return_inverse=True, return_counts=True)
-            return total[at] - own[back]
-
-        one = others(self.grams[0][1], self.grams[0][2], self.doc)
+    def count(self, length: int, part: int, grams: np.ndarray, totals: np.ndarray) -> dict:
+        """Writes, for each position of a length and slice, twice the n-gram's count in all other documents, and one
+        more if other batches hold it; ``grams`` are sorted and hold those that do, with their totals."""
+        after, whole = self.grams(length)
+        pick = whole % U(SLICES) == part
+        keys, at = np.unique(whole[pick], return_inverse=True)
+        total, known = np.bincount(at, minlength=len(keys)), np.zeros(len(keys), bool)
+        if len(grams):
+            place = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+            known = grams[place] == keys
+            total = np.where(known, totals[place], total)
+        _, back, own = np.unique(self.doc[after[pick]] * np.int64(max(1, len(keys))) + at, return_inverse=True, return_counts=True)
+        found = (total[at] - own[back]) * 2 + known[at]
+        found = found.astype(np.min_scalar_type(int(found.max(initial=0))))
+        name = f"counts-{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(f"{self.base}/{name}") as out:
+            out.write(zstandard.compress(found.tobytes()))
+        return {"batch": self.batch, "length": length, "slice": part, "file": name, "width": found.itemsize}
+
+    def counts(self, length: int) -> np.ndarray:
+        """What ``count`` has written of a length, by position; 0 where no n-gram ends."""
+        after, whole = self.grams(length)
+        out = np.zeros(len(self.places), np.int64)
+        for row in self.counted:
+            if row["length"] == length:
+                with self.fs.open_input_file(f"{self.base}/{row['file']}") as file:
+                    out[after[whole % U(SLICES) == row["slice"]]] = np.frombuffer(zstandard.decompress(file.read()), f"u{row['width']}")
+        return out
+
+    def scores(self, corpus: int, order: int) -> np.ndarray:
+        """The summed logarithms of each document."""
+        one = self.counts(1) >> 1
         rest = (corpus - self.sizes)[self.doc].astype(np.float64)
         log = np.where(one > 0, np.log10(np.maximum(one, 1)) - np.log10(np.maximum(rest, 1)), np.log10(BACKOFF) - np.log10(rest + 1))
         shorter = one
-        for after, keys, at in self.grams[1:]:
-            found = others(keys, at, self.doc[after])
-            seen = np.log10(np.maximum(found, 1)) - np.log10(np.maximum(shorter[after - 1], 1))
-            log[after] = np.where(found > 0, seen, log[after] + np.log10(BACKOFF))
-            shorter = np.zeros(len(self.doc), np.int64)
-            shorter[after] = found
-        return self.sizes, np.bincount(self.doc, weights=log, minlength=len(self.ids))
+        for n in range(2, order + 1):
+            after, found = self.grams(n)[0], self.counts(n) >> 1
+            seen = np.log10(np.maximum(found[after], 1)) - np.log10(np.maximum(shorter[after - 1], 1))
+            log[after] = np.where(found[after] > 0, seen, log[after] + np.log10(BACKOFF))
+            shorter = found
+        return np.bincount(self.doc, weights=log, minlength=len(self.ids))
 
 
 def shared_counts(asked: DataFrame, parts: int) -> DataFrame:
@@ -202,44 +219,53 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     corpus, batches = held.agg(F.sum("words"), F.count("*")).first()
     corpus = corpus or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, corpus // PART_ROWS + 1)
-
-    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = max(least, corpus // (PART_ROWS * SLICES) + 1)
+    counted = None
+
+    def spread() -> DataFrame:
+        """A row a batch, with the counts written so far."""
+        if counted is None:
+            return held.repartition(max(least, batches or 1), "batch")
+        files = counted.groupBy("batch").agg(F.collect_list(F.struct("length", "slice", "file", "width")).alias("counted"))
+        return held.join(files, "batch", "left").repartition(max(least, batches or 1), "batch")
+
+    def slice_of(lengths: list[int], part: int) -> DataFrame:
+        def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in rows:
+                for row in some.to_pylist():
+                    b = Batch(folder, row)
+                    for n in lengths:
+                        yield from b.rows(n, part).to_batches(200_000)
+
+        def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+            grams, totals = right.column("gram").to_numpy().view(U), right.column("total").to_numpy()
+            by = np.argsort(grams)
+            grams, totals = grams[by], totals[by]
+            found = [Batch(folder, row).count(n, part, grams, totals) for row in left.to_pylist() for n in lengths]
+            ints = {"batch": pa.int64(), "length": pa.int32(), "slice": pa.int32(), "file": pa.string(), "width": pa.int32()}
+            return pa.table({k: pa.array([f[k] for f in found], t) for k, t in ints.items()})
+
+        totals = shared_counts(spread().mapInArrow(ask, ASKED), parts)
+        return held.groupBy("batch").cogroup(totals.groupBy("batch")).applyInArrow(answer, COUNTS)
+
+    def finish(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in rows:
             for row in some.to_pylist():
-                b = Batch(folder, row, min(order, 2))
-                for n in range(1, min(order, 2) + 1):
-                    yield from b.rows(n).to_batches(200_000)
-
-    def ask_longer(length: int):
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            shared = np.sort(right.column("gram").to_numpy().view(U))
-            return pa.concat_tables([pa.table({"gram": pa.array([], pa.int64()), "batch": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}), *(Batch(folder, row, length).rows(length, shared) for row in left.to_pylist())])
-
-        return run
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, null, words, logs = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for row in left.to_pylist():
-            b = Batch(folder, row, order)
-            n, log = b.scores(right.column("gram").to_numpy().view(U), right.column("total").to_numpy(), corpus)
-            for x, y in ((ids, b.ids), (null, b.null), (words, n), (logs, log)):
-                x.append(y)
-        ids, null, words, logs = map(np.concatenate, (ids, null, words, logs))
-        mean = np.round(logs / np.maximum(words, 1), 6)
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=null), "n_words": pa.array(words, pa.int64()), "log_score": pa.array(np.round(logs, 4), pa.float64()), "mean_log": pa.array(mean, pa.float64(), mask=words == 0)})
-
-    spread = held.repartition(max(least, batches or 1), "batch")
-    answers = [stored(shared_counts(spread.mapInArrow(ask, ASKED), parts), "lm-counts")]
-    for length in range(3, order + 1):
-        released(spark)
-        longer = spread.groupBy("batch").cogroup(answers[-1].groupBy("batch")).applyInArrow(ask_longer(length), ASKED)
-        answers.append(stored(shared_counts(longer, parts), "lm-counts"))
-    released(spark)
-    every = answers[0]
-    for more in answers[1:]:
-        every = every.unionByName(more)
-    return spread.groupBy("batch").cogroup(every.groupBy("batch")).applyInArrow(finish, RESULT)
+                b = Batch(folder, row)
+                logs = b.scores(corpus, order)
+                mean = np.round(logs / np.maximum(b.sizes, 1), 6)
+                cols = [pa.array(b.ids, pa.int64(), mask=b.null), pa.array(b.sizes, pa.int64()), pa.array(np.round(logs, 4), pa.float64()), pa.array(mean, pa.float64(), mask=b.sizes == 0)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "log_score", "mean_log"])
+
+    for lengths in ([[1, 2], *([n] for n in range(3, order + 1))] if order > 1 else [[1]]):
+        done = []
+        for part in range(SLICES):
+            with shuffles_freed(spark):
+                done.append(stored(slice_of(lengths, part), "lm-counts"))
+            released(spark)
+        for one in done:
+            counted = one if counted is None else counted.unionByName(one)
+    return spread().mapInArrow(finish, RESULT)
 
 
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """What grows with the input: memory of a cluster's blocks, disk of n-gram rows, labels that a fit counts."""
 
+import random
 import tracemalloc
 
 import numpy as np
 
-from stackwright.llm import jaccard_join
+from stackwright.llm import jaccard_join, lm_score
 
 
 def test_pairs_of_full_blocks_take_little_beside_their_matrix():
@@ -29,3 +30,19 @@ def test_pairs_of_full_blocks_take_little_beside_their_matrix():
     assert jaccard_join.linked_groups(few, 80, 100).tolist() == want
     part = root[some]  # what links among a few links among all
     assert all(part[i] == part[j] for i, j in enumerate(want))
+
+
+def test_n_gram_rows_are_dealt_slice_by_slice(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choice("abcdefghijkl") for _ in range(60))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    dealt, whole = [], lm_score.shared_counts
+
+    def counted(asked, parts):
+        dealt.append(asked.count())
+        return whole(asked, parts)
+
+    monkeypatch.setattr(lm_score, "shared_counts", counted)
+    assert lm_score.score_documents(docs, 3).count() == 200
+    grams = {tuple(t.split()[i : i + n]) for _, t in texts for n in (1, 2, 3) for i in range(60 - n + 1)}
+    assert sum(dealt) >= len(grams) and max(dealt) <= 0.3 * sum(dealt)
