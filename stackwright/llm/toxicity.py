@@ -5,11 +5,13 @@ the word if it is a frequent one.  A second bidirectional GRU with attention run
 from every eighth word; all windows of a text are scored, and the highest decides.  A one-dimensional logistic fit
 on the labelled documents' highest window scores turns that into a probability at the labels' own rates.
 
-Training: labels count only from rows whose crc32(doc_id as text) mod 4 is not 2.  The network is fitted
-on at most ``SAMPLE`` labelled documents and ``SAMPLE_CHARS`` characters of either class (in the order of a hash
-of their id, a document that passes the second bound is left out); the rates of
-the classes are counted over all labelled rows.  Scoring is one narrow pass over all texts; characters of a
-distinct word are run once a batch.
+Training: labels count only from rows whose crc32(doc_id as text) mod 4 is not 2, and from all of these: the marks that
+tell the classes apart are counted over all labelled documents (those of one class that share their least shingle are
+copies and count once), the network steps over windows of all of them, and the final curve is fitted on all their
+scores.  Documents are dealt into shards of about ``SHARD``; a phase goes over all windows of a shard, and after each
+of its ``ROUNDS`` the shards' weights are averaged.  Of a clean document the windows are one at random and, from the
+second phase on, the highest scoring one of those that lie side by side.  Scoring is one narrow pass over all texts;
+characters of a distinct word are run once a batch.
 
 Defined results
 ---------------
@@ -27,13 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dropped, scratch, shuffles_freed, stored, table
 
-SAMPLE = 1000
-SAMPLE_CHARS = 12_000_000  # of the sampled documents of a class
+SHARD = 16_000  # documents whose windows one task steps over
+PHASES, ROUNDS, STEPS, BATCH = 3, 4, 160, 64
+TELLING, TIMES = 3.5, 2.0  # deviations, and times the clean rate, by which a telling mark's toxic rate is higher
+FREQUENT = 1000
+BITS = 1 << 25  # of the filter that spares shuffling texts without a label
+WINDOWS = "h long, toxic int, sure double, words string"
 WINDOW, STEP = 32, 8
 H = 8  # states of a direction
 LONGEST = 20  # characters of a word; longer ones are cut into several
@@ -41,7 +48,6 @@ THRESHOLD = 0.3
 WORDS = re.compile(rf"[^\W\d_]{{1,{LONGEST}}}|\d{{1,{LONGEST}}}")
 CHARS = 512
 F32 = np.float32
-PHASES = 3
 
 
 def words_of(text: str | None) -> list[str]:
@@ -54,6 +60,26 @@ def marks(word: str) -> tuple[str, str, str]:
     return word, word[:4] + "*", word[:5] + "*"
 
 
+def sketch(words: list[str]) -> int:
+    """The least hash of three words in a row: copies share it, and near copies mostly."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    if len(h) > 2:
+        h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) + h[2:]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return int((h ^ (h >> np.uint64(32))).min(initial=2**64 - 1).view(np.int64))
+
+
+def _summed(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by place: np.add.at, by sorting."""
+    out = np.zeros((n, rows.shape[1]), F32)
+    if len(at):
+        by = np.argsort(at, kind="stable")
+        at = at[by]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        out[at[first]] = np.add.reduceat(rows[by], first, axis=0)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -153,6 +179,9 @@ class Network:
         self.p |= {"out": d(2 * H, k=0.3), "bias": np.zeros(1, F32)}
         self.vocabulary: dict[str, int] = {}
         self.p["embed"] = np.zeros((1, 6 * H), F32)
+        self.p |= {"top": d(2 * H, k=0.3), "tip": np.zeros(1, F32)}  # of the first steps alone
+        self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.t = 0
         self.slope, self.shift, self.rate = 1.0, 0.0, 0.0
         self.fitted = False
 
@@ -188,158 +217,70 @@ class Network:
         p, g = self.p, {}
         g["out"], g["bias"] = pooled.T @ d, np.array([d.sum()], F32)
         dxf, dxb = Encoder.backward(p, g, "w", d[:, None] * p["out"], held)
-        dx = np.zeros_like(x)
-        np.add.at(dx, at.T.ravel(), np.concatenate([dxf, dxb], 2).reshape(-1, 6 * H))
+        dx = _summed(at.T.ravel(), np.concatenate([dxf, dxb], 2).reshape(-1, 6 * H), len(x))
         g["wb"] = dx.sum(0)
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], known, dx)
+        g["embed"] = _summed(known, dx, len(p["embed"]))
         g["embed"][0] = 0
         g["wxf"], g["wxb"] = char_pool.T @ dx[:, : 3 * H], char_pool.T @ dx[:, 3 * H :]
         dcf, dcb = Encoder.backward(p, g, "c", dx[:, : 3 * H] @ p["wxf"].T + dx[:, 3 * H :] @ p["wxb"].T, char_held)
         for name, dc in (("cxf", dcf), ("cxb", dcb)):
-            g[name] = np.zeros_like(p[name])
-            np.add.at(g[name], codes.ravel(), dc.reshape(-1, 3 * H))
+            g[name] = _summed(codes.ravel(), dc.reshape(-1, 3 * H), CHARS)
         loss = float(-(weight * np.where(y > 0, np.log(q + 1e-7), np.log(1 - q + 1e-7))).sum() / weight.sum())
         return g, loss
 
-    def _warm(self, told: list[str], others: list[str], rng: np.random.Generator, steps: int = 400, half: int = 96) -> None:
+    def move(self, g: dict, rate: float, decay: float, second: float) -> None:
+        """One step of Adam along the gradients of some of the weights."""
+        self.t += 1
+        for name, x in g.items():
+            m, v = self.moments.setdefault(name, (np.zeros_like(x), np.zeros_like(x)))
+            m += 0.1 * (x - m)
+            v += second * (x * x - v)
+            self.p[name] = self.p[name] - (rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - (1 - second) ** self.t)) + 1e-6) + decay * rate * self.p[name]).astype(F32)
+
+    def warm(self, told: list[str], others: list[str], rng: np.random.Generator, span: range, steps: int = 400, half: int = 96) -> None:
         """First steps of the character network alone: telling words against words of clean documents."""
         p = self.p
-        names = ("cxf", "cxb", "cuf", "cub", "cv")
-        top, bias = (rng.standard_normal(2 * H) * 0.3).astype(F32), F32(0)
-        m, v2 = ({k: np.zeros_like(x) for k, x in [*((n, p[n]) for n in names), ("top", top)]} for _ in range(2))
-        for t in range(1, steps + 1):
+        for t in span:
             words = [told[i] for i in rng.integers(len(told), size=half)] + [others[i] for i in rng.integers(len(others), size=half)]
             y = np.repeat([F32(1), F32(0)], half)
             codes, mask = _char_codes(words)
             pooled, held = Encoder.forward(p, "c", p["cxf"][codes], p["cxb"][codes], mask, True)
-            d = (_sigmoid(pooled @ top + bias) - y) / len(y)
+            d = (_sigmoid(pooled @ p["top"] + p["tip"][0]) - y) / len(y)
             g = {"top": pooled.T @ d}
-            dcf, dcb = Encoder.backward(p, g, "c", d[:, None] * top, held)
+            dcf, dcb = Encoder.backward(p, g, "c", d[:, None] * p["top"], held)
             for name, dc in (("cxf", dcf), ("cxb", dcb)):
-                g[name] = np.zeros_like(p[name])
-                np.add.at(g[name], codes.ravel(), dc.reshape(-1, 3 * H))
-            bias -= F32(0.05) * d.sum()
-            for name, x in g.items():
-                m[name] += 0.1 * (x - m[name])
-                v2[name] += 0.01 * (x * x - v2[name])
-                move = (0.02 * (1 - 0.8 * t / steps) * (m[name] / (1 - 0.9**t)) / (np.sqrt(v2[name] / (1 - 0.99**t)) + 1e-6)).astype(F32)
-                if name == "top":
-                    top -= move
-                else:
-                    p[name] -= move
-        # The direction found is where the word network begins.
-        for name in ("wxf", "wxb"):
-            p[name] += np.outer(top, rng.standard_normal(3 * H) * 0.3).astype(F32)
-
-    def fit(self, docs: list[list[str]], toxic: np.ndarray, share: float, steps: int = 160, batch: int = 64, seed: int = 11) -> None:
-        """``share``: the rate of toxic labels among all labelled rows, for the final curve."""
-        self.rate = share
-        if not len(docs) or toxic.min() == toxic.max():
-            return
-        rng = np.random.default_rng(seed)
-        # Documents with a word or beginning, by class; copies of one count once, as the word before is then
-        # the same: distinct (mark, class, word before), one a document at most, counted in arrays.
-        marked: dict[str, int] = {}
-        own: dict[str, list[int]] = {}
-        number: dict[str, int] = {"": 0}
-        triples = []
-        for words, y in zip(docs, toxic):
-            for w in words:
-                if w not in own:
-                    own[w] = [marked.setdefault(f, len(marked)) for f in marks(w)]
-                    number[w] = len(number)
-            m = np.array([own[w] for w in words], np.int64).reshape(-1, 3)
-            b = np.array([number[w] for w in ["", *words[:-1]]], np.int64)[: len(m)]
-            flat, last = np.repeat(b, 3), m.ravel()
-            kept = len(last) - 1 - np.unique(last[::-1], return_index=True)[1]
-            triples.append((last[kept] << 32 | flat[kept]) << 1 | int(y))
-        triples = np.unique(np.concatenate(triples))
-        tally = np.zeros((len(marked), 2), np.int64)
-        np.add.at(tally, (triples >> 33, triples & 1), 1)
-        seen: dict[str, list[int]] = dict(zip(marked, tally.tolist()))
-        del triples, tally, own, number
-        n1 = max(1, int(toxic.sum()))
-        n0 = len(docs) - n1
-        # Telling words and beginnings of words: those whose rate in toxic documents exceeds the other rate by over 3.5 deviations.
-        odds = {}
-        for w, (a, b) in seen.items():
-            mean = (a + b) / len(docs)
-            gap = (b / n1 - a / max(1, n0)) / np.sqrt(max(mean * (1 - mean), 1e-9) * (1 / n1 + 1 / max(1, n0)))
-            if b >= 3 and gap > 3.5:
-                odds[w] = gap
-        frequent = sorted((w for w, k in seen.items() if w[-1] != "*" and sum(k) >= max(3, len(docs) // 100)), key=lambda w: (-odds.get(w, 0.0), -sum(seen[w]), w))[:1000]
-        self.vocabulary = {w: i + 1 for i, w in enumerate(frequent)}
-        self.p["embed"] = np.zeros((len(frequent) + 1, 6 * H), F32)
-        # A toxic document's window holds its most telling word; one without any may owe its label to chance
-        # and counts little.  Clean documents give a window at random, then, twice, the one that scores highest.
-        windows, ys, trust = [], [], []
-
-        def add(words: list[str], at: int, y: float, sure: float) -> None:
-            start = max(0, min(at - int(rng.integers(WINDOW)), len(words) - WINDOW))
-            windows.append(words[start : start + WINDOW])
-            ys.append(y)
-            trust.append(sure)
-
-        clean = []
-        for words, y in zip(docs, toxic):
-            if not words:
-                continue
-            tell = [max(odds.get(f, 0.0) for f in marks(w)) for w in words]
-            best = int(np.argmax(tell))
-            if not y:
-                clean.append(words)
-                add(words, int(rng.integers(len(words))), 0.0, 1.0)
-            elif tell[best]:
-                add(words, best, 1.0, 1.0)
-            else:
-                add(words, best, 1.0, 0.02)
-        if not windows:
-            return
-        told = sorted({w for words, y in zip(docs, toxic) if y for w in words if any(f in odds for f in marks(w))})
-        if told and clean:
-            self._warm(told, [w for words in clean for w in words], rng)
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t = 0
-        for phase in range(PHASES):
-            if phase:
-                scorer = Scorer(self)
-                for s in range(0, len(clean), 200):
-                    some = clean[s : s + 200]
-                    for words, at in zip(some, scorer.highest(some)[1].tolist()):
-                        windows.append(words[at : at + WINDOW])
-                        ys.append(0.0)
-                        trust.append(1.0)
-            y, sure = np.array(ys, F32), np.array(trust, F32)
-            weight = (sure * np.where(y > 0, 0.5 / max(1e-3, float((y * sure).sum())), 0.5 / max(1, (1 - y).sum())) * len(y)).astype(F32)
-            chance = np.sqrt(weight / weight.sum())
-            chance /= chance.sum()
-            for k in range(steps):
-                some = rng.choice(len(windows), size=min(batch, len(windows)), p=chance)
-                g, _ = self.step([windows[i] for i in some], y[some], (weight / np.maximum(chance, 1e-12))[some])
-                norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-                t += 1
-                now = 0.02 * (1 - 0.9 * (phase * steps + k) / (PHASES * steps))
-                for name, x in g.items():
-                    x = x * min(1.0, 1.0 / max(norm, 1e-9))
-                    m[name] += 0.1 * (x - m[name])
-                    v2[name] += 0.01 * (x * x - v2[name])
-                    self.p[name] -= (now * (m[name] / (1 - 0.9**t)) / (np.sqrt(v2[name] / (1 - 0.99**t)) + 1e-6) + 1e-3 * now * self.p[name]).astype(F32)
-        self.fitted = True
-        raw = Scorer(self).raw(docs).astype(np.float64)
-        w = np.where(toxic > 0, share / n1, (1 - share) / max(1, n0))
-        a, b = 1.0, float(np.log(share / (1 - share)))
-        center = float(np.average(raw, weights=w))
-        z = raw - center
-        for _ in range(50):  # Newton steps of a weighted logistic regression, lightly held to a slope of 1
-            q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            e, k = w * (q - toxic), w * q * (1 - q)
-            hess = np.array([[(k * z * z).sum() + 1e-3, (k * z).sum()], [(k * z).sum(), k.sum() + 1e-6]])
-            move = np.linalg.solve(hess, [(e * z).sum() + 1e-3 * (a - 1), e.sum()])
-            move *= min(1.0, 2.0 / max(1e-9, float(np.abs(move).max())))
-            a, b = a - move[0], b - move[1]
-        self.slope, self.shift = max(float(a), 1e-3), float(b) - max(float(a), 1e-3) * center
+                g[name] = _summed(codes.ravel(), dc.reshape(-1, 3 * H), CHARS)
+            p["tip"] = p["tip"] - F32(0.05) * d.sum()
+            self.move(g, 0.02 * (1 - 0.8 * t / steps), 0, 0.01)
+
+    def fit(self, windows: list[list[str]], y: np.ndarray, weight: np.ndarray, often: int, phase: int, span: range, rng: np.random.Generator) -> None:
+        """Steps ``span`` of the ``STEPS`` of a phase, which goes over all windows, the toxic ones ``often`` times each."""
+        at = np.concatenate([np.flatnonzero(y == 0), np.repeat(np.flatnonzero(y), often)])
+        weight = weight / np.where(y > 0, often, 1)
+        size = max(BATCH, -(-len(at) // STEPS))
+        order = np.concatenate([rng.permutation(at) for _ in range(-(-STEPS * size // len(at)))])
+        for k in span:
+            some = order[k * size : (k + 1) * size]
+            g, _ = self.step([windows[i] for i in some], y[some], weight[some].astype(F32))
+            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            g = {name: x * F32(min(1.0, 1.0 / max(norm, 1e-9))) for name, x in g.items()}
+            self.move(g, 0.02 * (1 - 0.9 * (phase * STEPS + k) / (PHASES * STEPS)), 1e-3, 0.01)
+
+    def state(self) -> np.ndarray:
+        """Weights and moments in one row, by name."""
+        return np.concatenate([self.p[k].ravel() for k in sorted(self.p)] + [x.ravel() for k in sorted(self.moments) for x in self.moments[k]])
+
+    def take(self, state: np.ndarray, names: list[str], t: int) -> None:
+        """Sets what ``state`` gave, for moments of ``names``."""
+        self.t, i = t, 0
+
+        def next_like(x: np.ndarray) -> np.ndarray:
+            nonlocal i
+            i += x.size
+            return state[i - x.size : i].reshape(x.shape).astype(F32)
+
+        self.p = {k: next_like(self.p[k]) for k in sorted(self.p)}
+        self.moments = {k: (next_like(self.p[k]), next_like(self.p[k])) for k in names}
 
     def chance(self, raw: np.ndarray) -> np.ndarray:
         if not self.fitted:
@@ -373,7 +314,7 @@ class Scorer:
         """The highest window logit of each document."""
         return self.highest(docs)[0]
 
-    def highest(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    def highest(self, docs: list[list[str]], step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
         """The highest window logit of each document and where that window begins."""
         if self.used > self.keep:
             self._clear()
@@ -386,11 +327,11 @@ class Scorer:
         flat = np.fromiter((self.ids[w] for d in docs for w in d), np.int64, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
         best = np.full(len(docs), -np.inf, F32)
-        # Full windows: at every STEP words and at the end.  Shorter documents have one window each.
-        n = np.where(sizes >= WINDOW, -(-(sizes - WINDOW) // STEP) + 1, 0)
+        # Full windows: at every ``step`` words and at the end.  Shorter documents have one window each.
+        n = np.where(sizes >= WINDOW, -(-(sizes - WINDOW) // step) + 1, 0)
         owner = np.repeat(np.arange(len(docs)), n)
         k = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        start = first[owner] + np.minimum(k * STEP, sizes[owner] - WINDOW)
+        start = first[owner] + np.minimum(k * step, sizes[owner] - WINDOW)
         span, logits = np.arange(WINDOW), np.zeros(len(owner), F32)
         for s in range(0, len(owner), self.batch):
             some = slice(s, s + self.batch)
@@ -420,42 +361,251 @@ class Scorer:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """A network fitted on labelled rows of ``docs`` that are not held out."""
+def _likely(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose doc_id is in ``known``, and some others: what need not be shuffled to find the labelled."""
+    at = F.expr(f"pmod(xxhash64(doc_id), {BITS}) + 1")
+    found = known.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("at")).groupBy("k").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    bits = np.zeros(BITS // 8, np.uint8)
+    for r in found:
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    held = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy() - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "text"]).filter(pa.array(held.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0))
+
+    return texts.filter("doc_id is not null").select("doc_id", "text", at.alias("at")).mapInArrow(run, "doc_id long, text string")
+
+
+def _some(batch: pa.RecordBatch, words: int = 300_000) -> Iterator[tuple[list, list[list[str]]]]:
+    """(h, toxic) and words of a batch's rows, a bounded number of words at once."""
+    keys, docs, n = [], [], 0
+    for h, toxic, text in zip(batch.column("h").to_pylist(), batch.column("toxic").to_pylist(), batch.column("words")):
+        keys.append((h, toxic))
+        docs.append(text.as_py().split())
+        n += len(docs[-1])
+        if n > words:
+            yield keys, docs
+            keys, docs, n = [], [], 0
+    if keys:
+        yield keys, docs
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        docs = [words_of(t.as_py()) for t in batch.column(2)]
+        cols = [batch.column(0), batch.column(1), pa.array([sketch(d) for d in docs], pa.int64()), pa.array([" ".join(d) for d in docs], pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["h", "toxic", "sketch", "words"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of either class with a mark."""
+    tally: dict[str, list[int]] = {}
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array([v[k] for v in tally.values()], pa.int64()) for k in (0, 1))], ["mark", "clean", "toxic"])
+
+    for batch in batches:
+        for keys, docs in _some(batch):
+            for (_, toxic), words in zip(keys, docs):
+                for m in {m for w in set(words) for m in marks(w)}:
+                    tally.setdefault(m, [0, 0])[toxic] += 1
+            if len(tally) > 500_000:
+                yield out()
+                tally.clear()
+    yield out()
+
+
+def _windows(rows: list[tuple[int, int, float, list[str]]]) -> pa.RecordBatch:
+    cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64()), pa.array([" ".join(r[3]) for r in rows], pa.string())]
+    return pa.RecordBatch.from_arrays(cols, ["h", "toxic", "sure", "words"])
+
+
+def _rounds(net: Network, windows: DataFrame, shards: int, rounds: int, learn, steps: int) -> None:
+    """``learn(net, rows, shard, span)`` in a task for each shard, its weights averaged after each round."""
+    spark = windows.sparkSession
+    for k in range(rounds):
+        span = range(steps * k // rounds, steps * (k + 1) // rounds)
+        held = spark.sparkContext.broadcast(pickle.dumps(net))
+
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            mine = pickle.loads(held.value)  # noqa: B023
+            known: dict[str, str] = {}
+            rows = sorted(zip(group.column("h").to_pylist(), group.column("toxic").to_pylist(), group.column("sure").to_pylist(), group.column("words").to_pylist()))
+            rows = [(h, y, sure, [known.setdefault(w, w) for w in words.split()]) for h, y, sure, words in rows]
+            n = len(rows) if learn(mine, rows, key[0].as_py(), span) else 0  # noqa: B023
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "t": pa.array([mine.t], pa.int64()), "names": pa.array([sorted(mine.moments)], pa.list_(pa.string())), "state": pa.array([mine.state().astype(np.float64).tobytes()], pa.binary())})
+
+        def mean(key: tuple, group: pa.Table) -> pa.Table:
+            rows = sorted((r for r in group.to_pylist()), key=lambda r: r["shard"])
+            full = [r for r in rows if r["n"]] or rows[:1]
+            n = sum(r["n"] for r in full)
+            state = sum(np.frombuffer(r["state"]) * (r["n"] / n if n else 1.0) for r in full)
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n], pa.int64()), "t": pa.array([full[0]["t"]], pa.int64()), "names": pa.array([full[0]["names"]], pa.list_(pa.string())), "state": pa.array([state.tobytes()], pa.binary())})
+
+        what = "shard long, n long, t long, names array<string>, state binary"
+        made = windows.groupBy(F.expr(f"pmod(h, {shards})").alias("shard")).applyInArrow(run, what)
+        n = shards
+        while n > 1:  # 32 shards' weights to a task, and so on: the driver gets one row
+            n = -(-n // 32)
+            made = made.withColumn("part", F.expr("shard div 32")).groupBy("part").applyInArrow(mean, what)
+        row = made.first()
+        net.take(np.frombuffer(bytes(row.state)), list(row.names), row.t)
+        held.unpersist()
+
+
+def train(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> Network:
+    """A network fitted on all labelled rows of ``docs`` that are not held out."""
+    spark, made = docs.sparkSession, []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        made.append(scratch(spark, what))
+        return stored(df, what, made[-1])
+
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    picked = known.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).unionByName(known.filter("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # One row a doc_id (of several texts one by a hash), then rows in the order of the hash up to the bound: at most
-    # 2 x sample rows and 2 x SAMPLE_CHARS characters reach the fit, which is a task's work; the driver gets the network.
-    each = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.xxhash64("text")).alias("text"))
-    sizes = each.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.xxhash64("doc_id").alias("h")).toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")]).to_pylist()
-    fits, held = [], {0: 0, 1: 0}
-    for r in sizes:
-        held[r["toxic"]] += r["n"]
-        if held[r["toxic"]] <= SAMPLE_CHARS:
-            fits.append(r["doc_id"])
-        else:
-            held[r["toxic"]] -= r["n"]
     total = sum(counts.values())
-    share = counts.get(1, 0) / total if total else 0.0
-
-    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
-        net = Network()
-        net.fit([words_of(text) for _, _, text in rows], np.array([toxic for _, toxic, _ in rows], np.int64), share)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
-
-    rows = each if len(fits) == len(sizes) else each.filter(F.col("doc_id").isin(fits))
-    made = rows.repartition(1).mapInArrow(fitted, "net binary").collect() if fits else []
-    if made:
-        return pickle.loads(made[0].net)
     net = Network()
-    net.rate = share
+    net.rate = counts.get(1, 0) / total if total else 0.0
+    if len(counts) < 2:
+        return net
+    with shuffles_freed(spark):
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        # One row a doc_id, of several texts one by a hash.
+        each = _likely(texts, known).join(known.hint("merge"), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("text", F.xxhash64("text")).alias("text"))
+        rows = kept(each.select(F.xxhash64("doc_id").alias("h"), "toxic", "text").mapInArrow(_words, "h long, toxic int, sketch long, words string"), "toxicity-rows")
+        _fit(net, rows, kept, shard)
+    for path in made:
+        dropped(spark, path)
     return net
 
 
+def _fit(net: Network, rows: DataFrame, kept, shard: int) -> None:
+    spark = rows.sparkSession
+    found = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(found) < 2:
+        return
+    shards = -(-(found[0] + found[1]) // shard)
+    # Marks by class, over one of the copies each.
+    reps = rows.groupBy("toxic", "sketch").agg(F.min("h").alias("h"))
+    n = {r.toxic: r.n for r in reps.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    one = rows.drop("sketch").join(reps.select("toxic", "h").hint("merge"), ["toxic", "h"], "left_semi").select("h", "toxic", "words")
+    tally = kept(one.mapInArrow(_marked, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")), "toxicity-marks")
+    whole = n[0] + n[1]
+    rate = F.expr(f"(a + b) / {whole}D")
+    gap = (F.expr(f"b / {n[1]}D - a / {n[0]}D") / F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / n[1] + 1 / n[0]))).alias("gap")
+    tells = (F.col("b") >= 3) & (F.col("gap") > TELLING) & F.expr(f"b / {n[1]}D >= {TIMES} * a / {n[0]}D")
+    tally = tally.select("mark", "a", "b", gap).withColumn("gap", F.when(tells, F.col("gap")).otherwise(0.0))
+    odds = {r.mark: r.gap for r in tally.filter("gap > 0").select("mark", "gap").collect()}
+    frequent = tally.filter((F.substring("mark", -1, 1) != "*") & (F.col("a") + F.col("b") >= max(3, whole // 100))).orderBy(F.desc("gap"), F.desc(F.col("a") + F.col("b")), "mark").limit(FREQUENT).collect()
+    net.vocabulary = {r.mark: i + 1 for i, r in enumerate(frequent)}
+    net.p["embed"] = np.zeros((len(frequent) + 1, 6 * H), F32)
+    held = spark.sparkContext.broadcast(odds)
+
+    # A toxic document's window holds its most telling word; one without any may owe its label to chance
+    # and counts little.  Clean documents give a window at random, then, twice, the one that scores highest.
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, float] = {}
+        for batch in batches:
+            for keys, docs in _some(batch):
+                out = []
+                for (h, toxic), words in zip(keys, docs):
+                    if not words:
+                        continue
+                    at, sure = (h >> 8) % len(words), 1.0
+                    if toxic:
+                        for w in set(words).difference(best):
+                            best[w] = max(held.value.get(f, 0.0) for f in marks(w))
+                        tell = [best[w] for w in words]
+                        at = int(np.argmax(tell))
+                        sure = 1.0 if tell[at] else 0.02
+                    start = max(0, min(at - h % WINDOW, len(words) - WINDOW))
+                    out.append((h, toxic, sure, words[start : start + WINDOW]))
+                if len(best) > 500_000:
+                    best.clear()
+                yield _windows(out)
+
+    start = kept(rows.select("h", "toxic", "words").mapInArrow(first, WINDOWS), "toxicity-windows")
+    sums = {r.toxic: (r.n, r.sure) for r in start.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("sure").alias("sure")).collect()}
+    if not sums:
+        return
+
+    def warmed(mine: Network, some: list, key: int, span: range) -> bool:
+        told = sorted({w for _, y, _, words in some if y for w in words if any(f in held.value for f in marks(w))})
+        others = [w for _, y, _, words in some if not y for w in words]
+        if told and others:
+            mine.warm(told, others, np.random.default_rng([11, key, span.start]), span)
+        return bool(told and others)
+
+    if odds and 0 in sums:
+        _rounds(net, start, shards, 2, warmed, 400)
+        # The direction found is where the word network begins.
+        rng = np.random.default_rng(11)
+        for name in ("wxf", "wxb"):
+            net.p[name] = net.p[name] + np.outer(net.p["top"], rng.standard_normal(3 * H) * 0.3).astype(F32)
+    net.t, net.moments = 0, {}
+    net.fitted = True
+    for phase in range(PHASES):
+        windows, clean = start, sums.get(0, (0, 0))[0]
+        if phase and clean:
+            windows, clean = start.unionByName(_hardest(rows, net, kept)), 2 * clean
+        scale = (0.5 / max(1, clean), 0.5 / max(1e-3, sums.get(1, (0, 0.0))[1]))
+        often = max(1, round((scale[1] / scale[0]) ** 0.5)) if clean else 1
+
+        def learn(mine: Network, some: list, key: int, span: range) -> bool:
+            y = np.array([r[1] for r in some], F32)
+            weight = np.array([r[2] * scale[r[1]] for r in some])  # noqa: B023
+            mine.fit([r[3] for r in some], y, weight / weight.max(), often, phase, span, np.random.default_rng([11, phase, key]))  # noqa: B023
+            return True
+
+        _rounds(net, windows, shards, ROUNDS, learn, STEPS)
+    net.t, net.moments = 0, {}
+    _curve(net, rows, found, kept)
+
+
+def _hardest(rows: DataFrame, net: Network, kept) -> DataFrame:
+    """Of each clean document with words the window that scores highest, of windows side by side."""
+    held = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            for keys, docs in _some(batch):
+                yield _windows([(h, 0, 1.0, d[at : at + WINDOW]) for (h, _), d, at in zip(keys, docs, scorer.highest(docs, WINDOW)[1].tolist()) if d])
+
+    return kept(rows.filter("toxic = 0").select("h", "toxic", "words").mapInArrow(run, WINDOWS), "toxicity-hardest")
+
+
+def _curve(net: Network, rows: DataFrame, found: dict[int, int], kept) -> None:
+    """The logistic curve from all labelled documents' highest scores to their labels, at the labels' rate."""
+    held = rows.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            for keys, docs in _some(batch):
+                yield pa.RecordBatch.from_arrays([pa.array([t for _, t in keys], pa.int32()), pa.array(scorer.raw(docs).astype(np.float64))], ["toxic", "raw"])
+
+    share = net.rate
+    raws = kept(rows.select("h", "toxic", "words").mapInArrow(run, "toxic int, raw double"), "toxicity-scores")
+    raws = raws.withColumn("w", F.when(F.col("toxic") > 0, share / found[1]).otherwise((1 - share) / found[0]))
+    center = raws.agg(F.sum(F.col("w") * F.col("raw")) / F.sum("w")).first()[0]
+    z = F.col("raw") - center
+    a, b = 1.0, float(np.log(share / (1 - share)))
+    for _ in range(50):  # Newton steps of a weighted logistic regression, lightly held to a slope of 1
+        q = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * z + b))))
+        e, k = F.col("w") * (q - F.col("toxic")), F.col("w") * q * (1 - q)
+        r = raws.agg(*(F.sum(x) for x in (k * z * z, k * z, k, e * z, e))).first()
+        step = np.linalg.solve([[r[0] + 1e-3, r[1]], [r[1], r[2] + 1e-6]], [r[3] + 1e-3 * (a - 1), r[4]])
+        step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+        a, b = float(a - step[0]), float(b - step[1])
+        if np.abs(step).max() < 1e-7:
+            break
+    net.slope, net.shift = max(a, 1e-3), b - max(a, 1e-3) * center
+
+
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``docs``."""
     held = docs.sparkSession.sparkContext.broadcast(net)

@@ -2,10 +2,11 @@
 
 import random
 import tracemalloc
+import zlib
 
 import numpy as np
 
-from stackwright.llm import jaccard_join, lm_score
+from stackwright.llm import jaccard_join, lm_score, toxicity
 
 
 def test_pairs_of_full_blocks_take_little_beside_their_matrix():
@@ -46,3 +47,24 @@ def test_n_gram_rows_are_dealt_slice_by_slice(spark, monkeypatch):
     assert lm_score.score_documents(docs, 3).count() == 200
     grams = {tuple(t.split()[i : i + n]) for _, t in texts for n in (1, 2, 3) for i in range(60 - n + 1)}
     assert sum(dealt) >= len(grams) and max(dealt) <= 0.3 * sum(dealt)
+
+
+def test_all_labelled_documents_are_counted_and_stepped_over(spark, monkeypatch):
+    rng = random.Random(8)
+    plain = [f"w{a}{b}" for a in "abcdefgh" for b in "klmnopqr"]
+    rows, rare = [], set()
+    for i in range(6000):
+        words = [rng.choice(plain) for _ in range(12)]
+        if i % 2 and (i // 2) % 150 == 0:  # too few for any sample of a thousand documents a class
+            words[5] = "grumble"
+            rare.add(i)
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    seen = []
+    monkeypatch.setattr(toxicity, "_rounds", lambda net, windows, *_: seen.append(windows.collect()), raising=False)
+    net = toxicity.train(docs, labels)
+    taught = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert seen and len(seen[0]) == len(taught)
+    assert sorted("grumble" in r.words for r in seen[0] if r.sure == 1 and r.toxic).count(True) == len(rare & set(taught))
+    assert net.rate == sum(i % 2 for i in taught) / len(taught)
