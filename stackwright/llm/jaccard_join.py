@@ -51,6 +51,7 @@ BLOCK = 300_000  # elements of a block of a cluster
 SETS = 2_000  # sets of a block of a cluster
 STRIP = 256  # rows of a block's matrix that are multiplied and judged at once
 HELD = 3_000_000  # index rows held at once
+SENT = 100_000  # index rows of a batch that goes to the executor
 SALTS = 32
 
 
@@ -288,12 +289,13 @@ def _index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
             held: dict[bytes, int] = {}
             rows, owners, n = [], [], 0
 
-            def out() -> pa.RecordBatch:
+            def out() -> Iterator[pa.RecordBatch]:
                 each = np.concatenate(rows), np.concatenate(owners)
                 rows.clear()
                 owners.clear()
                 row, owner = met(*each)
-                return pa.RecordBatch.from_arrays([pa.array(row.view(np.int64)), pa.array(owner)], ["row", "doc_id"])
+                for at in range(0, len(row), SENT):  # the executor holds each batch beside its heap
+                    yield pa.RecordBatch.from_arrays([pa.array(row[at : at + SENT].view(np.int64)), pa.array(owner[at : at + SENT])], ["row", "doc_id"])
 
             for i, s, digest in _batches(batch, words):
                 if digest in held:  # a copy here: it meets the first one, and its other sets meet theirs
@@ -305,10 +307,10 @@ def _index(docs: DataFrame, words: int, plan: Plan) -> DataFrame:
                 owners.append(np.full(len(r), ids[i], np.int64))
                 n += len(r)
                 if n > HELD:
-                    yield out()
+                    yield from out()
                     n = 0
             if n:
-                yield out()
+                yield from out()
 
     return _small(docs).mapInArrow(run, "row long, doc_id long")
 
