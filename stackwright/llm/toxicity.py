@@ -26,6 +26,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,7 @@ SHARD = 16_000  # documents whose windows one task steps over
 PHASES, ROUNDS, STEPS, BATCH = 3, 4, 160, 64
 TELLING, TIMES = 3.5, 2.0  # deviations, and times the clean rate, by which a telling mark's toxic rate is higher
 FREQUENT = 1000
+FEW = 4_000_000  # scores of a task that a step of the curve reads
 BITS = 1 << 25  # of the filter that spares shuffling texts without a label
 WINDOWS = "h long, toxic int, sure double, words string"
 WINDOW, STEP = 32, 8
@@ -84,86 +86,123 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+class Ragged:
+    """Rows of different sizes, longest first, laid out step by step: a step holds the rows that are left.
+
+    ``row`` and ``step`` say what stands at a place; ``flip`` says where it stands if its row is read from the end.
+    """
+
+    def __init__(self, sizes: np.ndarray) -> None:
+        self.n, live = len(sizes), np.searchsorted(-sizes, -np.arange(sizes[0]))
+        first = np.cumsum(live) - live
+        self.steps = [(slice(a, a + k), k) for a, k in zip(first.tolist(), live.tolist())]
+        self.step = np.repeat(np.arange(len(live)), live)
+        self.row = np.arange(len(self.step)) - first[self.step]
+        self.flip = first[sizes[self.row] - 1 - self.step] + self.row
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Sums by row."""
+        return np.bincount(self.row, x, self.n).astype(F32)
+
+    def shares(self, s: np.ndarray) -> np.ndarray:
+        """The softmax within each row."""
+        top = np.full(self.n, -np.inf, F32)
+        for at, k in self.steps:
+            np.maximum(top[:k], s[at], out=top[:k])
+        a = np.exp(s - top[self.row])
+        return a / self.sums(a)[self.row]
+
+
 class Gru:
-    """One direction.  Inputs are already projected: (steps, n, 3H) for reset, update and candidate."""
+    """One direction.  Inputs are rows of a table of projected inputs, 3H for reset, update and candidate; states are
+    columns, (H, places), so that each gate is one run of memory."""
 
     @staticmethod
-    def forward(x: np.ndarray, mask: np.ndarray | None, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        steps, n, _ = x.shape
-        h, states, held = np.zeros((n, H), F32), np.empty((steps, n, H), F32), []
-        for t in range(steps):
-            hu = h @ u
-            rz = _sigmoid(x[t, :, : 2 * H] + hu[:, : 2 * H])
-            r, z = rz[:, :H], rz[:, H:]
-            c = np.tanh(x[t, :, 2 * H :] + r * hu[:, 2 * H :])
-            new = c + z * (h - c)
-            if mask is not None:
-                new = np.where(mask[t, :, None], new, h)
+    def forward(table: np.ndarray, codes: np.ndarray, shape: Ragged, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        states, held, w, last = np.empty((H, len(codes)), F32), [], np.ascontiguousarray(u.T), np.zeros((H, shape.n), F32)
+        for at, k in shape.steps:
+            x, h = table[codes[at]].T, last[:, :k]
+            hu = w @ h
+            rz = x[: 2 * H] + hu[: 2 * H]
+            rz *= F32(0.5)
+            np.tanh(rz, out=rz)
+            rz *= F32(0.5)
+            rz += F32(0.5)
+            r, z = rz[:H], rz[H:]
+            c = r * hu[2 * H :]
+            c += x[2 * H :]
+            np.tanh(c, out=c)
+            new = states[:, at]
+            np.subtract(h, c, out=new)
+            new *= z
+            new += c
             if keep:
-                held.append((h, r, z, c, hu[:, 2 * H :]))
-            h = states[t] = new
+                held.append((h, r, z, c, hu[2 * H :]))
+            last = new
         return states, held
 
     @staticmethod
-    def backward(grad: np.ndarray, held: list, mask: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        steps, n, _ = grad.shape
-        dx, du, dh = np.zeros((steps, n, 3 * H), F32), np.zeros_like(u), np.zeros((n, H), F32)
-        for t in range(steps - 1, -1, -1):
-            h, r, z, c, hc = held[t]
-            d = dh + grad[t]
-            live = d * mask[t, :, None]
-            dc = live * (1 - z) * (1 - c * c)
-            dz = live * (h - c) * z * (1 - z)
+    def backward(grad: np.ndarray, held: list, shape: Ragged, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dx, du, dh = np.empty((3 * H, grad.shape[1]), F32), np.zeros_like(u), np.zeros((H, 0), F32)
+        for (at, _), (h, r, z, c, hc) in zip(reversed(shape.steps), reversed(held)):
+            d = grad[:, at].copy()
+            d[:, : dh.shape[1]] += dh
+            left = d * (1 - z)
+            dc = left * (1 - c * c)
             dr = dc * hc * r * (1 - r)
-            dx[t] = np.concatenate([dr, dz, dc], 1)
-            dhu = np.concatenate([dr, dz, dc * r], 1)
-            du += h.T @ dhu
-            dh = d - live + live * z + dhu @ u.T
+            dhu = np.concatenate([dr, left * (h - c) * z, dc])
+            dx[:, at] = dhu
+            dhu[2 * H :] *= r
+            du += h @ dhu.T
+            dh = d * z + u @ dhu
         return dx, du
 
 
-def _pooled(states: np.ndarray, mask: np.ndarray | None, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = states @ v
-    if mask is not None:
-        s = np.where(mask, s, F32(-1e9))
-    a = np.exp(s - s.max(0))
-    if mask is not None:
-        a *= mask
-    a /= np.maximum(a.sum(0), F32(1e-9))
-    return np.einsum("tn,tnh->nh", a, states, optimize=True), a
-
-
-def _pooled_back(grad: np.ndarray, states: np.ndarray, a: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    da = np.einsum("nh,tnh->tn", grad, states)
-    ds = a * (da - (a * da).sum(0))
-    return a[:, :, None] * grad + ds[:, :, None] * v, np.einsum("tn,tnh->h", ds, states)
-
-
 class Encoder:
-    """A bidirectional GRU with attention over rows of projected inputs."""
+    """A bidirectional GRU with attention over ragged rows of projected inputs."""
+
+    @staticmethod
+    def states(p: dict, name: str, xf: np.ndarray, xb: np.ndarray, codes: np.ndarray, shape: Ragged, keep: bool = False):
+        """Both directions' states, the second from each row's end, and the attention by place."""
+        f, hf = Gru.forward(xf, codes, shape, p[name + "uf"], keep)
+        b, hb = Gru.forward(xb, codes[shape.flip], shape, p[name + "ub"], keep)
+        v = p[name + "v"]
+        return f, b, shape.shares(v[:H] @ f + (v[H:] @ b)[shape.flip]), hf, hb
 
     @staticmethod
-    def forward(p: dict, name: str, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray | None, keep: bool = False):
-        f, hf = Gru.forward(xf, mask, p[name + "uf"], keep)
-        b, hb = Gru.forward(xb[::-1], None if mask is None else mask[::-1], p[name + "ub"], keep)
-        states = np.concatenate([f, b[::-1]], 2)
-        out, a = _pooled(states, mask, p[name + "v"])
-        return out, (states, a, hf, hb, mask)
+    def forward(p: dict, name: str, xf: np.ndarray, xb: np.ndarray, codes: np.ndarray, shape: Ragged, keep: bool = False):
+        """(2H, rows): the attended states."""
+        f, b, a, hf, hb = Encoder.states(p, name, xf, xb, codes, shape, keep)
+        out, back = np.zeros((2 * H, shape.n), F32), a[shape.flip]
+        for at, k in shape.steps:
+            out[:H, :k] += a[at] * f[:, at]
+            out[H:, :k] += back[at] * b[:, at]
+        return out, (f, b, a, hf, hb, shape)
 
     @staticmethod
-    def backward(p: dict, g: dict, name: str, grad: np.ndarray, held: tuple) -> tuple[np.ndarray, np.ndarray]:
-        states, a, hf, hb, mask = held
-        ds, g[name + "v"] = _pooled_back(grad, states, a, p[name + "v"])
-        dxf, g[name + "uf"] = Gru.backward(ds[:, :, :H], hf, mask, p[name + "uf"])
-        dxb, g[name + "ub"] = Gru.backward(ds[::-1, :, H:], hb, mask[::-1], p[name + "ub"])
-        return dxf, dxb[::-1]
+    def backward(p: dict, g: dict, name: str, grad: np.ndarray, held: tuple) -> np.ndarray:
+        """(places, 6H): gradients of the inputs of both directions; those of the weights go into ``g``."""
+        f, b, a, hf, hb, shape = held
+        v, flip, wide = p[name + "v"], shape.flip, grad[:, shape.row]
+        da = (wide[:H] * f).sum(0) + (wide[H:] * b).sum(0)[flip]
+        ds = a * (da - shape.sums(a * da)[shape.row])
+        g[name + "v"] = np.concatenate([f @ ds, b @ ds[flip]])
+        dxf, g[name + "uf"] = Gru.backward(a * wide[:H] + ds * v[:H, None], hf, shape, p[name + "uf"])
+        dxb, g[name + "ub"] = Gru.backward(a[flip] * wide[H:] + ds[flip] * v[H:, None], hb, shape, p[name + "ub"])
+        return np.concatenate([dxf.T, dxb.T[flip]], 1)
+
 
+def _longest_first(sizes: np.ndarray) -> tuple[np.ndarray, Ragged, np.ndarray]:
+    """The order of rows by size, their layout, and the place of each of its places in the rows as they stand."""
+    by = np.argsort(-sizes, kind="stable")
+    shape = Ragged(sizes[by])
+    return by, shape, (np.cumsum(sizes) - sizes)[by][shape.row] + shape.step
 
-def _char_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(longest, n) character numbers, and which of them are characters."""
-    size = max(map(len, words))
-    codes = np.frombuffer("".join(w.ljust(size, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(-1, size).T
-    return (codes % CHARS).astype(np.int64), codes > 0
+
+def _characters(words: list[str]) -> tuple[np.ndarray, Ragged, np.ndarray]:
+    """The order of words by length, their layout, and the character numbers in it."""
+    by, shape, at = _longest_first(np.fromiter(map(len, words), np.int64, len(words)))
+    return by, shape, (np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) % CHARS).astype(np.int64)[at]
 
 
 class Network:
@@ -187,44 +226,43 @@ class Network:
 
     def word_inputs(self, words: list[str], keep: bool = False):
         """(n, 6H): projected inputs of both directions for distinct words, by their characters and themselves."""
-        codes, mask = _char_codes(words)
+        by, shape, codes = _characters(words)
         p = self.p
-        pooled, held = Encoder.forward(p, "c", p["cxf"][codes], p["cxb"][codes], mask, keep)
+        some, held = Encoder.forward(p, "c", p["cxf"], p["cxb"], codes, shape, keep)
+        pooled = np.empty((len(words), 2 * H), F32)
+        pooled[by] = some.T
         known = np.fromiter((self.vocabulary.get(w, 0) for w in words), np.int64, len(words))
         x = np.concatenate([pooled @ p["wxf"], pooled @ p["wxb"]], 1) + p["embed"][known] + p["wb"]
-        return x, (codes, pooled, known, held)
+        return x, (by, codes, pooled, known, held)
 
-    def logits(self, x: np.ndarray, windows: np.ndarray, mask: np.ndarray | None, keep: bool = False):
-        """Of windows (n, WINDOW) of rows of x."""
-        at = windows.T
-        xs = x[at]
-        pooled, held = Encoder.forward(self.p, "w", xs[:, :, : 3 * H], xs[:, :, 3 * H :], None if mask is None else mask.T, keep)
-        return pooled @ self.p["out"] + self.p["bias"][0], (pooled, held)
+    def logits(self, x: np.ndarray, codes: np.ndarray, shape: Ragged) -> np.ndarray:
+        """Of windows of rows of x."""
+        out = self.p["out"]
+        f, b, a, *_ = Encoder.states(self.p, "w", x[:, : 3 * H], x[:, 3 * H :], codes, shape)
+        return shape.sums(a * (out[:H] @ f + (out[H:] @ b)[shape.flip])) + self.p["bias"][0]
 
     # --- training ---
 
     def step(self, windows: list[list[str]], y: np.ndarray, weight: np.ndarray) -> tuple[dict, float]:
         """Gradients of the weighted log loss."""
-        distinct = {w: i for i, w in enumerate(sorted(set().union(*windows)))} or {"\0": 0}
-        at, mask = np.zeros((len(windows), WINDOW), np.int64), np.zeros((len(windows), WINDOW), bool)
-        for i, ws in enumerate(windows):
-            at[i, : len(ws)] = [distinct[w] for w in ws]
-            mask[i, : len(ws)] = True
-        x, (codes, char_pool, known, char_held) = self.word_inputs(list(distinct), True)
-        logit, (pooled, held) = self.logits(x, at, mask, True)
-        q = _sigmoid(logit)
-        d = ((q - y) * weight / weight.sum()).astype(F32)
+        distinct = {w: i for i, w in enumerate(sorted(set().union(*windows)))}
+        order, shape, at = _longest_first(np.fromiter(map(len, windows), np.int64, len(windows)))
+        codes = np.fromiter((distinct[w] for ws in windows for w in ws), np.int64)[at]
+        y, weight = y[order], weight[order]
+        x, (by, chars, char_pool, known, char_held) = self.word_inputs(list(distinct), True)
         p, g = self.p, {}
-        g["out"], g["bias"] = pooled.T @ d, np.array([d.sum()], F32)
-        dxf, dxb = Encoder.backward(p, g, "w", d[:, None] * p["out"], held)
-        dx = _summed(at.T.ravel(), np.concatenate([dxf, dxb], 2).reshape(-1, 6 * H), len(x))
+        pooled, held = Encoder.forward(p, "w", x[:, : 3 * H], x[:, 3 * H :], codes, shape, True)
+        q = _sigmoid(p["out"] @ pooled + p["bias"][0])
+        d = ((q - y) * weight / weight.sum()).astype(F32)
+        g["out"], g["bias"] = pooled @ d, np.array([d.sum()], F32)
+        dx = _summed(codes, Encoder.backward(p, g, "w", p["out"][:, None] * d, held), len(x))
         g["wb"] = dx.sum(0)
         g["embed"] = _summed(known, dx, len(p["embed"]))
         g["embed"][0] = 0
         g["wxf"], g["wxb"] = char_pool.T @ dx[:, : 3 * H], char_pool.T @ dx[:, 3 * H :]
-        dcf, dcb = Encoder.backward(p, g, "c", dx[:, : 3 * H] @ p["wxf"].T + dx[:, 3 * H :] @ p["wxb"].T, char_held)
-        for name, dc in (("cxf", dcf), ("cxb", dcb)):
-            g[name] = _summed(codes.ravel(), dc.reshape(-1, 3 * H), CHARS)
+        dchar = dx[:, : 3 * H] @ p["wxf"].T + dx[:, 3 * H :] @ p["wxb"].T
+        dc = _summed(chars, Encoder.backward(p, g, "c", np.ascontiguousarray(dchar[by].T), char_held), CHARS)
+        g["cxf"], g["cxb"] = dc[:, : 3 * H], dc[:, 3 * H :]
         loss = float(-(weight * np.where(y > 0, np.log(q + 1e-7), np.log(1 - q + 1e-7))).sum() / weight.sum())
         return g, loss
 
@@ -243,13 +281,12 @@ class Network:
         for t in span:
             words = [told[i] for i in rng.integers(len(told), size=half)] + [others[i] for i in rng.integers(len(others), size=half)]
             y = np.repeat([F32(1), F32(0)], half)
-            codes, mask = _char_codes(words)
-            pooled, held = Encoder.forward(p, "c", p["cxf"][codes], p["cxb"][codes], mask, True)
-            d = (_sigmoid(pooled @ p["top"] + p["tip"][0]) - y) / len(y)
-            g = {"top": pooled.T @ d}
-            dcf, dcb = Encoder.backward(p, g, "c", d[:, None] * p["top"], held)
-            for name, dc in (("cxf", dcf), ("cxb", dcb)):
-                g[name] = _summed(codes.ravel(), dc.reshape(-1, 3 * H), CHARS)
+            by, shape, codes = _characters(words)
+            pooled, held = Encoder.forward(p, "c", p["cxf"], p["cxb"], codes, shape, True)
+            d = (_sigmoid(p["top"] @ pooled + p["tip"][0]) - y[by]) / len(y)
+            g = {"top": pooled @ d}
+            dc = _summed(codes, Encoder.backward(p, g, "c", p["top"][:, None] * d, held), CHARS)
+            g["cxf"], g["cxb"] = dc[:, : 3 * H], dc[:, 3 * H :]
             p["tip"] = p["tip"] - F32(0.05) * d.sum()
             self.move(g, 0.02 * (1 - 0.8 * t / steps), 0, 0.01)
 
@@ -291,8 +328,9 @@ class Network:
 class Scorer:
     """Scores texts; the inputs of distinct words are kept up to a bound."""
 
-    def __init__(self, net: Network, keep: int = 300_000, batch: int = 2048) -> None:
+    def __init__(self, net: Network, keep: int = 300_000, batch: int = 1000) -> None:
         self.net, self.keep, self.batch = net, keep, batch
+        self.even: dict[int, Ragged] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -300,7 +338,7 @@ class Scorer:
         self.x, self.used = np.zeros((4096, 6 * H), F32), 0
 
     def _learn(self, words: list[str]) -> None:
-        words.sort(key=len)
+        words.sort(key=len)  # a batch of words of much the same length has long steps
         for s in range(0, len(words), 4096):
             some = words[s : s + 4096]
             x, _ = self.net.word_inputs(some)
@@ -321,12 +359,12 @@ class Scorer:
         if not docs:
             return np.zeros(0, F32), np.zeros(0, np.int64)
         new = set().union(*docs).difference(self.ids)
-        if new or not self.used:
-            self._learn(list(new) or ["\0"])
+        if new:
+            self._learn(list(new))
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
-        flat = np.fromiter((self.ids[w] for d in docs for w in d), np.int64, int(sizes.sum()))
+        flat = np.fromiter(map(self.ids.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
         first = np.cumsum(sizes) - sizes
-        best = np.full(len(docs), -np.inf, F32)
+        best = np.where(sizes > 0, F32(-np.inf), self.net.p["bias"][0])  # no words: no states
         # Full windows: at every ``step`` words and at the end.  Shorter documents have one window each.
         n = np.where(sizes >= WINDOW, -(-(sizes - WINDOW) // step) + 1, 0)
         owner = np.repeat(np.arange(len(docs)), n)
@@ -334,19 +372,22 @@ class Scorer:
         start = first[owner] + np.minimum(k * step, sizes[owner] - WINDOW)
         span, logits = np.arange(WINDOW), np.zeros(len(owner), F32)
         for s in range(0, len(owner), self.batch):
-            some = slice(s, s + self.batch)
-            logits[some], _ = self.net.logits(self.x, flat[start[some, None] + span], None)
+            places = start[s : s + self.batch]
+            if len(places) not in self.even:
+                if len(self.even) > 1:
+                    self.even.popitem()
+                self.even[len(places)] = Ragged(np.full(len(places), WINDOW))
+            logits[s : s + self.batch] = self.net.logits(self.x, flat[places + span[:, None]].ravel(), self.even[len(places)])
         np.maximum.at(best, owner, logits)
         place = np.zeros(len(docs), np.int64)
         top = logits == best[owner]
         place[owner[top]] = (start - first[owner])[top]
-        short = np.flatnonzero(n == 0)
+        short = np.flatnonzero((n == 0) & (sizes > 0))
+        short = short[np.argsort(-sizes[short], kind="stable")]
         for s in range(0, len(short), self.batch):
             some = short[s : s + self.batch]
-            mask = span < sizes[some, None]
-            at = np.where(mask, first[some, None] + span, 0)
-            rows = flat[np.minimum(at, len(flat) - 1)] if len(flat) else np.zeros_like(at)
-            best[some] = self.net.logits(self.x, np.where(mask, rows, 0), mask)[0]
+            shape = Ragged(sizes[some])
+            best[some] = self.net.logits(self.x, flat[first[some][shape.row] + shape.step], shape)
         return best, place
 
     def scores(self, texts: list[str | None], chars: int = 2_000_000) -> np.ndarray:
@@ -590,14 +631,24 @@ def _curve(net: Network, rows: DataFrame, found: dict[int, int], kept) -> None:
 
     share = net.rate
     raws = kept(rows.select("h", "toxic", "words").mapInArrow(run, "toxic int, raw double"), "toxicity-scores")
-    raws = raws.withColumn("w", F.when(F.col("toxic") > 0, share / found[1]).otherwise((1 - share) / found[0]))
-    center = raws.agg(F.sum(F.col("w") * F.col("raw")) / F.sum("w")).first()[0]
-    z = F.col("raw") - center
+    # Every step reads all scores: they lie in few files, so that a step is few tasks, and its plan never changes.
+    raws = kept(raws.coalesce(sum(found.values()) // FEW + 1), "toxicity-scores")
+    weigh = (1 - share) / found[0], share / found[1]
+    center = raws.withColumn("w", F.when(F.col("toxic") > 0, weigh[1]).otherwise(weigh[0])).agg(F.sum(F.col("w") * F.col("raw")) / F.sum("w")).first()[0]
     a, b = 1.0, float(np.log(share / (1 - share)))
     for _ in range(50):  # Newton steps of a weighted logistic regression, lightly held to a slope of 1
-        q = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * z + b))))
-        e, k = F.col("w") * (q - F.col("toxic")), F.col("w") * q * (1 - q)
-        r = raws.agg(*(F.sum(x) for x in (k * z * z, k * z, k, e * z, e))).first()
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = np.zeros(5)
+            for batch in batches:
+                toxic, z = batch.column(0).to_numpy(), batch.column(1).to_numpy() - center
+                q = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))  # noqa: B023
+                w = np.where(toxic > 0, weigh[1], weigh[0])
+                e, k = w * (q - toxic), w * q * (1 - q)
+                r += [(k * z * z).sum(), (k * z).sum(), k.sum(), (e * z).sum(), e.sum()]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in r], [f"r{i}" for i in range(5)])
+
+        r = np.sum([list(x) for x in raws.mapInArrow(sums, ", ".join(f"r{i} double" for i in range(5))).collect()], 0)
         step = np.linalg.solve([[r[0] + 1e-3, r[1]], [r[1], r[2] + 1e-6]], [r[3] + 1e-3 * (a - 1), r[4]])
         step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
         a, b = float(a - step[0]), float(b - step[1])

@@ -68,3 +68,32 @@ def test_all_labelled_documents_are_counted_and_stepped_over(spark, monkeypatch)
     assert seen and len(seen[0]) == len(taught)
     assert sorted("grumble" in r.words for r in seen[0] if r.sure == 1 and r.toxic).count(True) == len(rare & set(taught))
     assert net.rate == sum(i % 2 for i in taught) / len(taught)
+
+
+def test_a_short_word_takes_its_own_steps_only(monkeypatch):
+    words = ["x" * 20] + [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    done, tanh = [], np.tanh
+    monkeypatch.setattr(np, "tanh", lambda x, *a, **k: done.append(np.size(x)) or tanh(x, *a, **k))
+    net = toxicity.Network()
+    together, _ = net.word_inputs(words)
+    assert sum(done) == 2 * 3 * toxicity.H * sum(map(len, words))  # padded to the longest word it was nine times that
+    each = np.concatenate([net.word_inputs([w])[0] for w in words])
+    assert np.allclose(together, each, atol=1e-5)
+
+
+def test_gradients_are_the_slopes_of_the_loss():
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdef"), rng.integers(1, 9))) for _ in range(30)]
+    windows = [[words[i] for i in rng.integers(0, 30, n)] for n in (5, 32, 1, 17, 32, 9)]
+    y, weight = np.array([1, 0, 0, 1, 1, 0], np.float32), np.array([1, 0.5, 2, 1, 0.2, 1], np.float32)
+    net = toxicity.Network()
+    g, _ = net.step(windows, y, weight)
+    for name, slope in g.items():
+        if name != "embed":
+            way = slope / np.sqrt((slope * slope).sum())
+            at, loss = net.p[name], []
+            for eps in (-1e-2, 1e-2):
+                net.p[name] = (at + eps * way).astype(np.float32)
+                loss.append(net.step(windows, y, weight)[1])
+            net.p[name] = at
+            assert np.isclose((loss[1] - loss[0]) / 2e-2, np.sqrt((slope * slope).sum()), rtol=0.02, atol=1e-4), name
