@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, scratch, stored
+from .common import dropped, released, scratch, stored
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Each round joins the edges with each node's smallest neighbour.  A hub's rows are summed before the
     shuffle, and the joins are plain equality joins whose large partitions Spark splits.  Each round is
-    written to the shared folder, so that a lost executor costs one round.
+    written to the shared folder, so that a lost executor costs one round, and leaves nothing in the driver.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     path = scratch(edges.sparkSession, "edges")
@@ -31,6 +31,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         last, path = path, scratch(edges.sparkSession, "edges")
         now = stored(small, "edges", path)
         dropped(edges.sparkSession, last)
+        released(edges.sparkSession)
         sums = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (sums.n, sums.h):
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

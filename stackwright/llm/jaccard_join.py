@@ -346,7 +346,9 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
 
     def kept(df: DataFrame, what: str) -> DataFrame:
         made.append(scratch(spark, what))
-        return stored(df, what, made[-1])
+        df = stored(df, what, made[-1])
+        released(spark)
+        return df
 
     plan = Plan(num, den, docs.count())
     sets = kept(_sets(docs, words), "jaccard-sets")
@@ -361,7 +363,6 @@ def jaccard_components(docs: DataFrame, words: int = 3, num: int = 90, den: int
     per = reps.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
     copies = kept(per.filter("lo = hi and lo <> doc_id").select("doc_id", F.col("lo").alias("rep")), "jaccard-copies")
     found = components(_chains(_index(docs, words, plan), copies), "a", "b")
-    released(spark)  # the index rows, the largest shuffle, are read
     # Every cluster into blocks, every pair of its blocks into one group.
     sizes = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n")).withColumnRenamed("doc_id", "node")
     salted = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))

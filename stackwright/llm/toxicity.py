@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, scratch, shuffles_freed, stored, table
+from .common import dropped, released, scratch, shuffles_freed, stored, table
 
 SHARD = 16_000  # documents whose windows one task steps over
 PHASES, ROUNDS, STEPS, BATCH = 3, 4, 160, 64
@@ -494,6 +494,7 @@ def _rounds(net: Network, windows: DataFrame, shards: int, rounds: int, learn, s
         row = made.first()
         net.take(np.frombuffer(bytes(row.state)), list(row.names), row.t)
         held.unpersist()
+        released(spark)
 
 
 def train(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> Network:
@@ -502,7 +503,9 @@ def train(docs: DataFrame, labels: DataFrame, shard: int = SHARD) -> Network:
 
     def kept(df: DataFrame, what: str) -> DataFrame:
         made.append(scratch(spark, what))
-        return stored(df, what, made[-1])
+        df = stored(df, what, made[-1])
+        released(spark)
+        return df
 
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.filter("doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))

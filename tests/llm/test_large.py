@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 
-from stackwright.llm import jaccard_join, lm_score, toxicity
+from stackwright.llm import components, jaccard_join, lm_score, toxicity
 
 
 def test_pairs_of_full_blocks_take_little_beside_their_matrix():
@@ -70,6 +70,15 @@ def test_all_labelled_documents_are_counted_and_stepped_over(spark, monkeypatch)
     assert net.rate == sum(i % 2 for i in taught) / len(taught)
 
 
+def test_each_round_of_components_leaves_nothing_in_the_driver(spark, monkeypatch):
+    rounds, freed, stored = [], [], components.stored
+    monkeypatch.setattr(components, "stored", lambda *a: rounds.append(1) or stored(*a))
+    monkeypatch.setattr(components, "released", lambda _: freed.append(len(rounds)), raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert sorted(components.components(edges, "a", "b").collect()) == [(i, 0) for i in range(1, 21)]
+    assert freed == list(range(2, len(rounds) + 1))
+
+
 def test_a_short_word_takes_its_own_steps_only(monkeypatch):
     words = ["x" * 20] + [a + b for a in "abcdefgh" for b in "klmnopqr"]
     done, tanh = [], np.tanh
