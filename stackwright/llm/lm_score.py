@@ -17,12 +17,11 @@ Logarithms (base 10) are summed per document.
 Counts are rows of DataFrames: a batch of documents is exploded into a row for each distinct n-gram (hash, batch,
 count there), the rows are dealt by hash, summed to count tables, and joined back to the tables; a batch gets the
 totals of those of its n-grams that other batches hold too.  Any other total is the batch's own count.  An n-gram of
-three words or more can stand in another batch only if the two shorter ones that it ends and begins with do, so
+two words or more can stand in another batch only if the two shorter ones that it ends and begins with do, so
 that only such are exploded: that drops no count.  An n-gram that is everywhere is a row a batch, so no key is hot,
 and a batch sends a row to those parts only that it has n-grams for.
 
-The n-grams are worked off in ``SLICES`` slices by their hash, one after another, so that only a slice's rows are on
-disk at a time.  What a slice leaves are the counts at the words of a batch, in a file, without hashes; the batch's
+The n-grams are worked off length by length in slices by their hash, one after another, so that only a slice's rows are on disk at a time.  What a slice leaves are the counts at the words of a batch, in a file, without hashes; the batch's
 documents are scored from these and summed.  Batches and counts are written to files in the shared folder, named
 only by the rows of the attempt that wrote them, and read back by range.
 
@@ -66,6 +65,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def slices(length: int) -> int:
+    """Slices of a length: words alone are fewer rows than longer n-grams."""
+    return SLICES // 2 if length == 1 else SLICES
+
+
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
@@ -147,11 +151,11 @@ class Batch:
         return after, gram[after]
 
     def rows(self, length: int, part: int) -> pa.Table:
-        """Rows of the n-grams of a length and slice; of three words or more only of those whose beginning and end
+        """Rows of the n-grams of a length and slice; of two words or more only of those whose beginning and end
         other batches hold."""
         after, whole = self.grams(length)
-        keep = whole % U(SLICES) == part
-        if length > 2:
+        keep = whole % U(slices(length)) == part
+        if length > 1:
             shared = self.counts(length - 1) & 1 > 0
             keep &= shared[after] & shared[after - 1]
         keys, counts = np.unique(whole[keep], return_counts=True)
@@ -161,7 +165,7 @@ class Batch:
         """Writes, for each position of a length and slice, twice the n-gram's count in all other documents, and one
         more if other batches hold it; ``grams`` are sorted and hold those that do, with their totals."""
         after, whole = self.grams(length)
-        pick = whole % U(SLICES) == part
+        pick = whole % U(slices(length)) == part
         keys, at = np.unique(whole[pick], return_inverse=True)
         total, known = np.bincount(at, minlength=len(keys)), np.zeros(len(keys), bool)
         if len(grams):
@@ -183,7 +187,7 @@ class Batch:
         for row in self.counted:
             if row["length"] == length:
                 with self.fs.open_input_file(f"{self.base}/{row['file']}") as file:
-                    out[after[whole % U(SLICES) == row["slice"]]] = np.frombuffer(zstandard.decompress(file.read()), f"u{row['width']}")
+                    out[after[whole % U(slices(length)) == row["slice"]]] = np.frombuffer(zstandard.decompress(file.read()), f"u{row['width']}")
         return out
 
     def scores(self, corpus: int, order: int) -> np.ndarray:
@@ -229,19 +233,17 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
         files = counted.groupBy("batch").agg(F.collect_list(F.struct("length", "slice", "file", "width")).alias("counted"))
         return held.join(files, "batch", "left").repartition(max(least, batches or 1), "batch")
 
-    def slice_of(lengths: list[int], part: int) -> DataFrame:
+    def slice_of(length: int, part: int) -> DataFrame:
         def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for some in rows:
                 for row in some.to_pylist():
-                    b = Batch(folder, row)
-                    for n in lengths:
-                        yield from b.rows(n, part).to_batches(200_000)
+                    yield from Batch(folder, row).rows(length, part).to_batches(200_000)
 
         def answer(left: pa.Table, right: pa.Table) -> pa.Table:
             grams, totals = right.column("gram").to_numpy().view(U), right.column("total").to_numpy()
             by = np.argsort(grams)
             grams, totals = grams[by], totals[by]
-            found = [Batch(folder, row).count(n, part, grams, totals) for row in left.to_pylist() for n in lengths]
+            found = [Batch(folder, row).count(length, part, grams, totals) for row in left.to_pylist()]
             ints = {"batch": pa.int64(), "length": pa.int32(), "slice": pa.int32(), "file": pa.string(), "width": pa.int32()}
             return pa.table({k: pa.array([f[k] for f in found], t) for k, t in ints.items()})
 
@@ -257,11 +259,11 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 cols = [pa.array(b.ids, pa.int64(), mask=b.null), pa.array(b.sizes, pa.int64()), pa.array(np.round(logs, 4), pa.float64()), pa.array(mean, pa.float64(), mask=b.sizes == 0)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_words", "log_score", "mean_log"])
 
-    for lengths in ([[1, 2], *([n] for n in range(3, order + 1))] if order > 1 else [[1]]):
+    for length in range(1, order + 1):
         done = []
-        for part in range(SLICES):
+        for part in range(slices(length)):
             with shuffles_freed(spark):
-                done.append(stored(slice_of(lengths, part), "lm-counts"))
+                done.append(stored(slice_of(length, part), "lm-counts"))
             released(spark)
         for one in done:
             counted = one if counted is None else counted.unionByName(one)

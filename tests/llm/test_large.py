@@ -106,3 +106,21 @@ def test_gradients_are_the_slopes_of_the_loss():
                 loss.append(net.step(windows, y, weight)[1])
             net.p[name] = at
             assert np.isclose((loss[1] - loss[0]) / 2e-2, np.sqrt((slope * slope).sum()), rtol=0.02, atol=1e-4), name
+
+
+def test_word_pairs_with_a_word_of_one_batch_are_not_dealt(spark, monkeypatch):
+    texts = [(i, " ".join(w for k in range(30) for w in ("same", f"own{i}x{k}"))) for i in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4, "doc_id")
+    dealt, whole = [], lm_score.shared_counts
+
+    def counted(asked, parts):
+        dealt.append(asked.count())
+        return whole(asked, parts)
+
+    monkeypatch.setattr(lm_score, "shared_counts", counted)
+    got = {r.doc_id: r.log_score for r in lm_score.score_documents(docs, 2).collect()}
+    # 120 own words and "same" a batch; their pairs stand nowhere else and were dealt, 236 of them, before.
+    assert 121 <= sum(dealt) <= 124
+    same, rest = np.log10(90 / 180), np.log10(0.4 / 181)
+    pair = np.log10(0.4) + same
+    assert all(np.isclose(x, same + 29 * pair + 30 * (np.log10(0.4) + rest), atol=1e-3) for x in got.values()) and len(got) == 4
