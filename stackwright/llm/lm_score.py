@@ -21,7 +21,8 @@ two words or more can stand in another batch only if the two shorter ones that i
 that only such are exploded: that drops no count.  An n-gram that is everywhere is a row a batch, so no key is hot,
 and a batch sends a row to those parts only that it has n-grams for.
 
-The n-grams are worked off length by length in slices by their hash, one after another, so that only a slice's rows are on disk at a time.  What a slice leaves are the counts at the words of a batch, in a file, without hashes; the batch's
+The n-grams are worked off length by length in slices by their hash, one after another, so that only a slice's
+rows are on disk at a time.  What a slice leaves are the counts at the words of a batch, in a file, without hashes; the batch's
 documents are scored from these and summed.  Batches and counts are written to files in the shared folder, named
 only by the rows of the attempt that wrote them, and read back by range.
 
